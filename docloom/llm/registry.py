@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding
+from . import bpe, decontamination, secrets, sharding, simhash
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (sharding, bpe):
+for module in (sharding, bpe, secrets, simhash, decontamination):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
