@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -35,26 +36,43 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """Token ids of each word. Every merge is applied in rank order at all places in all words."""
-    tokens: list[bytes] = []
-    right: list[int] = []
-    starts = []
+#: Token pairs are held as one number, left * WIDE + right.
+WIDE = 1 << 20
+
+
+def merges(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Every pair of tokens whose bytes together are a token, and that token, whose number is also the merge's rank."""
+    out = {}
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None:
+                out[left * WIDE + right] = rank
+    return out
+
+
+def replay(words: list[bytes], single: list[int], pairs: dict[int, int]) -> list[bytes]:
+    """Token ids of each word, as int32 bytes. Every merge is applied in rank order at all places in all words.
+
+    ``single`` has the tokens of single bytes, ``pairs`` is what ``merges`` made.
+    """
+    tokens: list[int] = list(map(single.__getitem__, b"".join(words)))
+    size = len(tokens)
+    left, right = list(range(-1, size - 1)), list(range(1, size + 1))
+    starts, at = [], 0
     for word in words:
-        starts.append(len(tokens))
-        tokens += [word[i : i + 1] for i in range(len(word))]
-        right += range(len(right) + 1, len(tokens) + 1)
+        starts.append(at)
         if word:
-            right[-1] = -1
-    left = [-1] * len(tokens)
-    for i, j in enumerate(right):
-        if j >= 0:
-            left[j] = i
+            left[at] = -1
+            at += len(word)
+            right[at - 1] = -1
+    merged = pairs.get
     index: dict[int, list[int]] = {}
-    rank_of = ranks.get
     for i, j in enumerate(right):
-        if j >= 0 and (rank := rank_of(tokens[i] + tokens[j])) is not None:
-            index.setdefault(rank, []).append(i)
+        if j >= 0 and (rank := merged(tokens[i] * WIDE + tokens[j])) is not None:
+            if rank in index:
+                index[rank].append(i)
+            else:
+                index[rank] = [i]
     queue = list(index)
     heapq.heapify(queue)
     while queue:
@@ -65,24 +83,27 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
         places.sort()  # in a word, from left to right
         for n, i in enumerate(places):
             j = right[i]
-            if not tokens[i] or j < 0 or rank_of(merged := tokens[i] + tokens[j]) != rank:
+            if j < 0 or tokens[i] < 0 or merged(tokens[i] * WIDE + tokens[j]) != rank:
                 continue
-            tokens[i], tokens[j] = merged, b""
+            tokens[i], tokens[j] = rank, -1
             right[i] = k = right[j]
             sooner = False
             if k >= 0:
                 left[k] = i
-                if (new := rank_of(merged + tokens[k])) is not None:
-                    if new not in index:
-                        index[new] = []
+                if (new := merged(rank * WIDE + tokens[k])) is not None:
+                    if new in index:
+                        index[new].append(i)
+                    else:
+                        index[new] = [i]
                         heapq.heappush(queue, new)
-                    index[new].append(i)
                     sooner = new < rank
-            if (h := left[i]) >= 0 and (new := rank_of(tokens[h] + merged)) is not None:
-                if new not in index:
-                    index[new] = []
+            h = left[i]
+            if h >= 0 and (new := merged(tokens[h] * WIDE + rank)) is not None:
+                if new in index:
+                    index[new].append(h)
+                else:
+                    index[new] = [h]
                     heapq.heappush(queue, new)
-                index[new].append(h)
                 sooner |= new < rank
             if sooner and n + 1 < len(places):  # a merge of lower rank has come up: it goes before the rest of these
                 if rank not in index:
@@ -90,14 +111,12 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
                     heapq.heappush(queue, rank)
                 index[rank] += places[n + 1 :]
                 break
-    out = []
-    for at, word in zip(starts, words, strict=True):
-        ids, i = [], at if word else -1
-        while i >= 0:
-            ids.append(ranks[tokens[i]])
-            i = right[i]
-        out.append(ids)
-    return out
+    flat = np.array(tokens, dtype=np.int32)
+    kept = flat >= 0
+    counts = np.concatenate([[0], np.cumsum(kept)]) * 4
+    raw = flat[kept].tobytes()
+    ends = [*starts[1:], size]
+    return [raw[a:b] for a, b in zip(counts[starts].tolist() if starts else [], counts[ends].tolist() if starts else [], strict=True)]
 
 
 class _Encoder:
@@ -108,9 +127,10 @@ class _Encoder:
     def __init__(self, pattern: str, ranks: dict[bytes, int]):
         import public_tokenizers
 
-        self.pattern, self.ranks = regex.compile(pattern), ranks
+        self.pattern = regex.compile(pattern)
         self.plain = pattern == public_tokenizers.PATTERN
-        self.ids: dict[str, list[int]] = {}
+        self.single, self.pairs = [ranks[bytes([b])] for b in range(256)], merges(ranks)
+        self.ids: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, key: str, pattern: str, ranks: dict[bytes, int]) -> _Encoder:
@@ -122,22 +142,23 @@ class _Encoder:
     def split(self, text: str) -> list[str]:
         return (_LATIN if self.plain and not _NOT_LATIN.search(text) else self.pattern).findall(text)
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+    def encode(self, texts: list[str]) -> pa.ListArray:
         split = [self.split(text) for text in texts]
         new = list(set(chain.from_iterable(split)) - self.ids.keys())
         if len(self.ids) + len(new) > CACHE_WORDS:
             self.ids, new = {}, list(set(chain.from_iterable(split)))
-        self.ids.update(zip(new, replay([word.encode() for word in new], self.ranks), strict=True))
-        for words in split:
-            yield list(chain.from_iterable(map(self.ids.__getitem__, words)))
+        self.ids.update(zip(new, replay([word.encode() for word in new], self.single, self.pairs), strict=True))
+        ids = [b"".join(map(self.ids.__getitem__, words)) for words in split]
+        offsets = np.cumsum([0, *map(len, ids)]) // 4
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
 
 
-def _blocks(column: pa.Array, rows: int = 2_000, chars: int = 4_000_000) -> Iterator[list]:
-    """The values of a column in runs of bounded size."""
+def _blocks(column: pa.Array, rows: int = 2_000, chars: int = 4_000_000) -> Iterator[list[str]]:
+    """The texts of a column in runs of bounded size."""
     block, size = [], 0
-    for value in column.to_pylist():
-        block.append(value)
-        size += len(value or "")
+    for value in column:
+        block.append(value.as_py() or "")
+        size += len(block[-1])
         if len(block) >= rows or size >= chars:
             yield block
             block, size = [], 0
@@ -160,8 +181,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, id_col:
         for batch in batches:
             at = 0
             for block in _blocks(batch.column(1)):
-                ids = pa.array(encoder.encode([text or "" for text in block]), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), ids], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), encoder.encode(block)], ["id", "ids"])
                 at += len(block)
 
     kind = dict(docs.dtypes)[id_col]
@@ -177,7 +197,8 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out: str =
         token = [piece for piece, _ in sorted(ranks.value.items(), key=lambda item: item[1])]
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(ids_col))
-            texts = (None if one is None else b"".join(map(token.__getitem__, one)) for one in (row.as_py() for row in ids))
+            rows = (row.values if row.is_valid else None for row in ids)
+            texts = (None if row is None else b"".join(map(token.__getitem__, row.to_numpy(zero_copy_only=False).tolist())) for row in rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(texts), pa.binary())], [*batch.schema.names, out])
 
     return encoded.mapInArrow(run, schema)
