@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, secrets, sharding, simhash
+from . import bpe, decontamination, secrets, sharding, simhash, substrings, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (sharding, bpe, secrets, simhash, decontamination):
+for module in (sharding, bpe, warc, secrets, toxicity, simhash, substrings, decontamination):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
