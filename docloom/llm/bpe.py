@@ -18,7 +18,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -204,15 +204,18 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out: str =
     return encoded.mapInArrow(run, schema)
 
 
-def roundtrip(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """The digests of op2: what ``encode`` made of each text and what ``decode`` makes of its ids."""
-    both = decode(encode(docs, ranks_path), ranks_path)
-    return both.select(
-        "doc_id",
+def digests() -> list[Column]:
+    """n_tokens, ids_sha256 and decoded_sha256 of the columns ids and decoded."""
+    return [
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    ]
+
+
+def roundtrip(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """The digests of op2: what ``encode`` made of each text and what ``decode`` makes of its ids."""
+    return decode(encode(docs, ranks_path), ranks_path).select("doc_id", *digests())
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,6 +117,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows in which a window of the benchmark occurs."""
+    bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col).where("contaminated").select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"))
+    bad = cut(bad.distinct(), "contaminated")
+    if bad.count() <= SMALL_BYTES // 40:
+        bad = F.broadcast(bad)
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & (F.xxhash64(docs[text_col]) == bad["_digest"]), "left_anti")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("digest")
 

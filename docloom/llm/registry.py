@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, embeddings, secrets, sharding, simhash, substrings, toxicity, warc
+from . import bpe, decontamination, embeddings, licenses, secrets, sharding, simhash, substrings, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (sharding, bpe, warc, secrets, toxicity, simhash, substrings, embeddings, decontamination):
+for module in (sharding, bpe, licenses, warc, secrets, toxicity, simhash, substrings, embeddings, decontamination):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

@@ -20,7 +20,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import components, cut
@@ -197,6 +197,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id, of repeated ids that with the least digest."""
+    texts = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("_digest"))
+    kept = near_duplicates(docs, id_col, text_col)
+    prints = texts.select(F.col(id_col).alias("_id"), "_digest").distinct()
+    first = kept.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
+    chosen = prints.join(first, prints["_id"].eqNullSafe(first["_kept"]), "left_semi").groupBy("_id").agg(F.min("_digest").alias("_least"))
+    rows = docs.withColumn("_digest", F.xxhash64(text_col))
+    rows = rows.join(chosen, rows[id_col].eqNullSafe(chosen["_id"]) & (rows["_digest"] == chosen["_least"]), "left_semi")
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(id_col, "_digest").orderBy("_digest"))).where("_n = 1").drop("_n", "_digest")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

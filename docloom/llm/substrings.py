@@ -48,20 +48,28 @@ def _power_tables(size: int) -> list[np.ndarray]:
     return _powers
 
 
+def gram_hashes(words: list[bytes], gram: int) -> np.ndarray:
+    """A 64-bit hash of every run of ``gram`` words, from prefix sums of a polynomial over their bytes."""
+    if len(words) < gram:
+        return np.zeros(0, dtype=np.uint64)
+    data = np.frombuffer(b" ".join(words), dtype=np.uint8)
+    power, inverse = _power_tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
+    starts = np.concatenate([[0], np.flatnonzero(data == 32) + 1])
+    ends = np.concatenate([starts[1:] - 1, [len(data)]])
+    h = (total[ends[gram - 1 :]] - total[starts[: len(words) - gram + 1]]) * inverse[starts[: len(words) - gram + 1]]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h
+
+
 def anchors(words: list[bytes], width: int = WIDTH, gram: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, windows) of every segment of a list of words."""
     out = []
     for base in range(0, max(len(words) - width + 1, 0), BLOCK_WORDS):
         own = words[base : base + BLOCK_WORDS + width - 1]
-        data = np.frombuffer(b" ".join(own), dtype=np.uint8)
-        power, inverse = _power_tables(len(data) + 1)
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-        starts = np.concatenate([[0], np.flatnonzero(data == 32) + 1])
-        ends = np.concatenate([starts[1:] - 1, [len(data)]])
-        h = (total[ends[gram - 1 :]] - total[starts[: len(own) - gram + 1]]) * inverse[starts[: len(own) - gram + 1]]
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
-            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        h = gram_hashes(own, gram)
         grams, span, size = h, width - gram + 1, 1
         while 2 * size <= span:
             h, size = np.minimum(h[:-size], h[size:]), 2 * size

@@ -186,18 +186,25 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int
     return Model(lexicon, base, trees, curve)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """(id, score) for each row of ``docs``, from its text alone; null and empty texts are scored, too.
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text", out: str = "score") -> DataFrame:
+    """The columns ``keep`` of each row (its id if not given) with ``out``, from the text alone; null and empty texts, too.
 
     The calibrated value has steps; a hundredth of the plain logistic value of the margin orders texts within a step.
-    Repeated rows stay separate, an empty table gives no rows, other columns are ignored.
+    Repeated rows stay separate, an empty table gives no rows, other columns are carried along or ignored.
     """
+    keep = ["doc_id"] if keep is None else keep
     if model.trees is None:
-        return docs.select(id_col, F.lit(model.base).alias("score"))
-    rows = _margin(features(docs, model.lexicon, [id_col]), model.trees)
-    rows = model.curve.setPredictionCol("level").transform(rows.select(id_col, "margin"))
+        return docs.select(*keep, F.lit(model.base).alias(out))
+    rows = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
+    rows = _margin(features(rows, model.lexicon, ["row"]), model.trees)
+    rows = model.curve.setPredictionCol("level").transform(rows.select("row", "margin"))
     level = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("level")))
-    return rows.select(id_col, (0.99 * level + 0.01 / (1 + F.exp(-2 * F.col("margin")))).alias("score"))
+    return rows.select("row.*", (0.99 * level + 0.01 / (1 + F.exp(-2 * F.col("margin")))).alias(out))
+
+
+def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more, by a model fitted on the labelled rows among them."""
+    return score(docs, fit(docs, labels), docs.columns, text_col, "_score").where(F.col("_score") < threshold).drop("_score")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
