@@ -15,7 +15,7 @@ one row from the start, and a task reports links that join its fingerprints into
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from .shared import components, cut
 
 BITS, BUDGET, SHINGLE, SEED = 64, 3, 3, 42
-#: Fingerprints of one key that a task walks; larger keys are taken apart further while they have bits left.
-GROUP_ROWS = 512
+#: Fingerprints of one key up to which it is walked as it is; larger keys are taken apart further, at most so many times
+#: (each time over four parts; a key that is still larger is walked by one task in bounded memory).
+GROUP_ROWS, DEPTH = 4_096, 3
 #: Node pairs that are held at once during a walk; further ones wait on a stack.
 FRONTIER = 200_000
 
@@ -84,9 +85,9 @@ def deal(prints: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     ``way`` names the parts chosen so far, ``key`` their bits. A pair within the budget shares a key in at least one way:
     what is taken apart is whole keys, again over BUDGET + 1 parts of the bits that are left.
     """
-    level = [("", [(0, BITS)], prints.select("fp").distinct(), F.lit(""))]
+    level = [("", [(0, BITS)], cut(prints.select("fp").distinct(), "distinct"), F.lit(""))]
     done: list[DataFrame] = []
-    while level:
+    for depth in range(1, DEPTH + 1):
         dealt, rest = None, {}
         for way, free, rows, key in level:
             for part, left in _parts(free):
@@ -95,17 +96,19 @@ def deal(prints: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
                 own = rows.select(F.lit(name).alias("way"), value.alias("key"), "fp")
                 dealt, rest[name] = own if dealt is None else dealt.union(own), left
         dealt = cut(dealt, "trie")
+        if depth == DEPTH:
+            break
         large = dealt.groupBy("way", "key").count().where(F.col("count") > group_rows).select("way", "key")
         large = cut(large, "large")
         ways = [row[0] for row in large.select("way").distinct().collect()]  # at most 4 to the power of the depth
         ways = [way for way in ways if sum(n for _, n in rest[way]) > BUDGET]
         if not ways:
-            return dealt if not done else _union([*done, dealt])
+            break
         split = large.where(F.col("way").isin(ways))
         done.append(dealt.join(split, ["way", "key"], "left_anti"))
         again = cut(dealt.join(split, ["way", "key"], "left_semi"), "trie")
         level = [(way, rest[way], again.where(F.col("way") == way), F.col("key")) for way in ways]
-    return _union(done)
+    return _union([*done, dealt])
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -115,11 +118,13 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def trie_links(prints: np.ndarray, budget: int = BUDGET, frontier: int = FRONTIER) -> list[tuple[int, int]]:
-    """Links (as places in ``prints``, distinct and sorted) that join all prints within the budget into trees.
+def trie_links(prints: np.ndarray, groups: np.ndarray | None = None, budget: int = BUDGET, frontier: int = FRONTIER) -> list[tuple[int, int]]:
+    """Links (as places in ``prints``) that join all prints of a group within the budget into trees.
 
-    A node is a range [a, b) of rows that agree on all bits above a level. A frontier holds node pairs with the bits they
-    differ in so far; one step takes all of them one level down. Wide frontiers are halved, and one half waits.
+    ``groups`` has the places where groups start (one group if None); prints are distinct and sorted within each. A node
+    is a range [a, b) of rows that agree on all bits above a level. A frontier holds node pairs with the bits they differ
+    in so far, at first each group with itself; one step takes all of them one level down. Wide frontiers are halved, and
+    one half waits.
     """
     n = len(prints)
     if n < 2:
@@ -136,8 +141,11 @@ def trie_links(prints: np.ndarray, budget: int = BUDGET, frontier: int = FRONTIE
         return i
 
     links: list[tuple[int, int]] = []
-    zero = np.zeros(1, dtype=np.int32)
-    wait = [(0, np.array([[0, n, 0, n]], dtype=np.int32), zero)]
+    starts = np.zeros(1, dtype=np.int64) if groups is None else np.asarray(groups)
+    ends = np.append(starts[1:], n)
+    whole = ends - starts > 1
+    starts, ends = starts[whole].astype(np.int32), ends[whole].astype(np.int32)
+    wait = [(0, np.stack([starts, ends, starts, ends], 1), np.zeros(len(starts), dtype=np.int32))]
     while wait:
         level, pairs, spent = wait.pop()
         while level < BITS and len(pairs):
@@ -171,15 +179,34 @@ def trie_links(prints: np.ndarray, budget: int = BUDGET, frontier: int = FRONTIE
 
 
 def links(prints: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) whose components are those of all links."""
+    """(a, b): links between distinct fingerprints (column fp) whose components are those of all links.
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        own = np.unique(rows["fp"].to_numpy(np.int64).view(np.uint64))
-        found = np.array(trie_links(own), dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": own[found[:, 0]].view(np.int64), "b": own[found[:, 1]].view(np.int64)})
+    The keys of a partition come sorted, and all that a batch holds whole are walked together.
+    """
 
-    dealt = deal(prints, group_rows)
-    return dealt.groupBy("way", "key").applyInPandas(walk, "a long, b long")
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in chain(batches, [None]):
+            if batch is None:
+                ready = held
+            else:
+                held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+                names = held["way"].to_numpy() + "|" + held["key"].to_numpy()
+                last = np.flatnonzero(names != names[-1])  # the last key may go on in the next batch
+                at = int(last[-1]) + 1 if len(last) else 0
+                ready, held = held.iloc[:at], held.iloc[at:]
+            if ready is None or ready.empty:
+                continue
+            names = ready["way"].to_numpy() + "|" + ready["key"].to_numpy()
+            own = ready["fp"].to_numpy(np.int64).view(np.uint64)
+            group = np.concatenate([[0], np.cumsum(names[1:] != names[:-1])])
+            own = own[np.lexsort((own, group))]
+            found = np.array(trie_links(own, np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1])), dtype=np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"a": own[found[:, 0]].view(np.int64), "b": own[found[:, 1]].view(np.int64)})
+
+    n = max(1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = deal(prints, group_rows).repartition(n, "way", "key").sortWithinPartitions("way", "key")
+    return dealt.mapInPandas(walk, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
