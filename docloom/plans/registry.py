@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from docloom.operators import aggregates, relational
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for module in (aggregates, relational):
+    QUERIES |= module.BOOK.queries
+    ORACLE_SQL |= module.BOOK.sql
