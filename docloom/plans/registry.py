@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docloom.operators import aggregates, relational
+from docloom.operators import aggregates, documents, extraction, relational, retrieval
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (aggregates, relational):
+for module in (aggregates, relational, retrieval, documents, extraction):
     QUERIES |= module.BOOK.queries
     ORACLE_SQL |= module.BOOK.sql
