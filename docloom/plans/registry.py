@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from docloom.operators import aggregates, documents, extraction, relational, retrieval
+from docloom.sources import files
+from docloom.streaming import events
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (aggregates, relational, retrieval, documents, extraction):
+for module in (aggregates, relational, retrieval, documents, extraction, files, events):
     QUERIES |= module.BOOK.queries
     ORACLE_SQL |= module.BOOK.sql
