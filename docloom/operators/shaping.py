@@ -154,7 +154,7 @@ def srt10_event_page(spark, sf_dir):
     return table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).offset(40).limit(20).select("event_id")
 
 
-@BOOK.add("WITH w AS (SELECT unnest([5,3,9,1]) AS doc_id, unnest([0,1,2,3]) AS pos) SELECT pos, doc_id, source FROM w JOIN documents USING (doc_id)")
+@BOOK.add("WITH w AS (SELECT unnest([5,3,9,1]::BIGINT[]) AS doc_id, unnest([0,1,2,3]) AS pos) SELECT pos, doc_id, source FROM w JOIN documents USING (doc_id)")
 def srt11_requested_order(spark, sf_dir):
     wanted = spark.range(1).select(F.posexplode(F.array(*(F.lit(i).cast("long") for i in (5, 3, 9, 1)))).alias("pos", "doc_id"))
     return table(spark, sf_dir, "documents").select("doc_id", "source").join(F.broadcast(wanted), "doc_id").select("pos", "doc_id", "source")
