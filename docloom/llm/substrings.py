@@ -182,7 +182,8 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(anchor), pa.array(start), pa.array(n)], ["id", "digest", "anchor", "start", "n"])
 
     every = cut(docs.select("id", "digest", "text").mapInArrow(segments, "id long, digest long, anchor long, start int, n int"), "segments")
-    twice = every.groupBy("anchor").count().where("count > 1").select("anchor")
+    # Written first, so that the join's sides are plain exchanges and adaptive execution can split an anchor with very many rows.
+    twice = cut(every.groupBy("anchor").count().where("count > 1").select("anchor"), "twice")
     some = cut(every.join(twice, "anchor").select("id", "digest", "anchor", "start", "n"), "repeated")
     forget(every)
     wanted = some.groupBy("id", "digest").agg(F.collect_set(F.struct("start", "n", "anchor")).alias("parts"))
@@ -200,7 +201,11 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     texts = docs.select("id", "digest", "text")
     spelled = texts.join(wanted, ["id", "digest"]).select("id", "digest", "text", "parts").mapInArrow(spell, "id long, digest long, anchor long, start int, n int, same binary, part string")
     spelled = cut(spelled, "spelled")
+    forget(some)
+    forget(twice)
     held = cut(spelled.groupBy("anchor", "same").agg(F.min(F.struct("id", "start")).alias("first"), F.max("n").alias("n"), F.first("part").alias("part")), "held")
+    occurrences = cut(spelled.drop("part"), "occurrences")
+    forget(spelled)
     kinds = cut(held.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + width).alias("size")).where("kinds > 1"), "kinds")
     size = kinds.where(F.col("kinds") <= HOT_SEGMENTS).agg(F.sum("size")).first()[0] or 0
     shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_WORDS))
@@ -222,7 +227,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     gone = cut(cold.where(F.size("gone") > 0).unionByName(hot), "gone")
     seen = held.select("anchor", "same", "first").join(gone, ["anchor", "same"], "left")
     every = F.struct("id", "start") > F.col("first")
-    runs = spelled.select("id", "digest", "anchor", "same", "start", "n").join(seen, ["anchor", "same"])
+    runs = occurrences.join(seen, ["anchor", "same"])
     whole = runs.where(every).select("id", "digest", "start", (F.col("n") + width - 1).alias("length"))
     single = runs.where(~every & F.col("gone").isNotNull()).select("id", "digest", F.explode(F.transform("gone", lambda i: F.col("start") + i)).alias("start"), F.lit(width).alias("length"))
     return whole.unionByName(single)
