@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from .shared import text_batches
+
 #: Distinct words that a worker keeps between blocks; more are replayed again.
 CACHE_WORDS = 400_000
 #: Pattern of the contract's tokenizer for texts in which no character is beyond U+024F, a control separator or a number
@@ -174,6 +176,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, id_col:
     import public_tokenizers
 
     pattern = pattern or public_tokenizers.PATTERN
+    text_batches(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

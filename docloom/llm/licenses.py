@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import text_batches
 from .substrings import gram_hashes
 
 SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 48
@@ -158,6 +159,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_col:
             out += look(block)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["id", "matches"])
 
+    text_batches(docs.sparkSession)
     own = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))
     return rows.mapInArrow(run, f"id {own}, matches array<struct<license:string,first:int,end:int,containment:double>>").withColumnRenamed("id", id_col)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, forget
+from .shared import cut, forget, text_batches
 
 WIDTH, ANCHOR = 20, 6
 #: Words of a document that are hashed at once, windows that are searched at once.
@@ -173,6 +173,7 @@ def _words(text: str | None) -> list[bytes]:
 def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(id, digest, start, length): runs of words that are to be removed; ``docs`` has id (long), digest and text."""
     spark = docs.sparkSession
+    text_batches(spark)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

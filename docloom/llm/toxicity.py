@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, text_batches
 
 #: About so many labelled rows are used to fit; of more, a fixed random part is drawn by hash of the id.
 FIT_ROWS = 30_000
@@ -120,6 +120,7 @@ def features(docs: DataFrame, lexicon: Lexicon, keep: list[str], text_col: str =
             rows = [measure(text.as_py() or "", findings) for text in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(rows, pa.list_(pa.float64()))], [*keep, "x"])
 
+    text_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     return docs.select(*keep, F.col(text_col).cast("string")).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", x array<double>")
 
