@@ -59,7 +59,10 @@ def prefixes(docs: DataFrame, wins: DataFrame, text_col: str) -> DataFrame:
     """
     each = wins.select("win").distinct()
     placed = each.select("win", F.posexplode("win").alias("offset", "word"))
-    counts = rarity(docs, placed.select("word").distinct(), text_col)
+    vocabulary = cut(placed.select("word").distinct(), "vocabulary")
+    counts = cut(rarity(docs, vocabulary, text_col), "rarity")
+    if _bytes(counts, "word") <= SMALL_BYTES:  # else a common word is split by adaptive execution
+        counts = F.broadcast(counts)
     known = placed.join(counts, "word", "left").groupBy("win").agg(
         F.min(F.struct("n", "word", "offset")).alias("first"), F.count("n").alias("known")
     )
