@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from docloom.operators import aggregates, documents, extraction, relational, retrieval, shaping
+from docloom.operators import aggregates, documents, extraction, relational, retrieval, shaping, views
 from docloom.sources import files
 from docloom.streaming import events
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (aggregates, relational, retrieval, documents, extraction, shaping, files, events):
+for module in (aggregates, relational, retrieval, documents, extraction, shaping, views, files, events):
     QUERIES |= module.BOOK.queries
     ORACLE_SQL |= module.BOOK.sql
