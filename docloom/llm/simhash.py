@@ -210,6 +210,15 @@ def links(prints: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     return dealt.mapInPandas(walk, "a long, b long")
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) for each row of ``docs`` and (fp, component_id) for each distinct fingerprint."""
+    prints = cut(fingerprints(docs, id_col, text_col), "prints")
+    edges = components(links(prints, group_rows)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    least = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    least = cut(least.join(edges, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "classes")
+    return prints, least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
     """(id, fingerprint, component_id) for each row of ``docs``; component_id is the smallest id reachable by links.
 
@@ -217,22 +226,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     name a component unless it has no other id. Repeated rows get equal results, an empty table gives no rows, other
     columns are ignored.
     """
-    prints = cut(fingerprints(docs, id_col, text_col), "prints")
-    edges = components(links(prints, group_rows)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    least = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    least = cut(least.join(edges, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "classes")
-    named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    prints, named = _classes(docs, id_col, text_col, group_rows)
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest id, of repeated ids that with the least digest."""
-    texts = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("_digest"))
-    kept = near_duplicates(docs, id_col, text_col)
-    prints = texts.select(F.col(id_col).alias("_id"), "_digest").distinct()
-    first = kept.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    chosen = prints.join(first, prints["_id"].eqNullSafe(first["_kept"]), "left_semi").groupBy("_id").agg(F.min("_digest").alias("_least"))
+    """``docs`` with one row of each component: the one with the smallest id, nulls last, of repeated ids that with the least digest.
+
+    An id that is null or repeated can lie in several components, so components are named by id and digest together:
+    these stand for one text, which lies in one component.
+    """
     rows = docs.withColumn("_digest", F.xxhash64(text_col))
+    names = rows.select(F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.col("_digest").alias("digest")).alias("_name"), text_col)
+    chosen = _classes(names, "_name", text_col)[1].select(F.col("component_id.id").alias("_id"), F.col("component_id.digest").alias("_least")).distinct()
     rows = rows.join(chosen, rows[id_col].eqNullSafe(chosen["_id"]) & (rows["_digest"] == chosen["_least"]), "left_semi")
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(id_col, "_digest").orderBy("_digest"))).where("_n = 1").drop("_n", "_digest")
 

@@ -95,3 +95,17 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()), key=str)
     assert got == sorted([(5, 3), (3, 3), (9, 9), (9, 9), (None, 9), (None, None)], key=str)
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_keep_one_of_null_and_repeated_ids(spark):
+    r = random.Random(7)
+    a, b, c, d, e, f = (" ".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=200)) for _ in range(6))
+    rows = [(0, a), (1, a), (1, b), (2, b), (None, b), (None, c), (None, c), (None, d), (None, None), (7, e), (7, f), (7, f), (8, e), (9, f)]
+    group = classes([slow_fingerprint(t) for _, t in rows])
+    want = {g: min((i is None, i or 0, t or "") for (i, t), own in zip(rows, group, strict=True) if own == g) for g in group}
+    assert len(want) == 7
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.text or "") for x in got) == sorted(want.values())
+    named = spark.createDataFrame([(None if i is None else f"n{i}", t) for i, t in rows], "doc_id string, text string")
+    assert simhash.keep_one(named).count() == 7
+    assert simhash.keep_one(named.limit(0)).count() == 0
