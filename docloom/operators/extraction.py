@@ -131,8 +131,7 @@ def calibrated(points: DataFrame, ticks: DataFrame) -> DataFrame:
     return points.join(fit, "fig").select("fig", "px", value.alias("value"), F.when(F.col("log"), "log10").otherwise("linear").alias("scale"), F.coalesce(F.when(F.col("log"), F.col("r2")).otherwise(F.col("r1")), F.lit(0.0)).alias("r2"))
 
 
-def _candidates(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_partkey % 7 = 0")
+def _candidates(rows):
     source = F.when(F.col("l_returnflag") == "A", "section").when(F.col("l_returnflag") == "N", "table").otherwise("figure")
     status = F.when(F.col("l_tax") < 0.02, "unsupported").when(F.col("l_tax") < 0.05, "insufficient").otherwise("sufficient")
     key = F.concat_ws("|", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice")))
@@ -144,12 +143,21 @@ def _candidates(spark, sf_dir):
 v AS (SELECT * FROM c WHERE status <> 'unsupported'), g AS (SELECT entity, field, count(*) AS n, count(DISTINCT value) AS k FROM v GROUP BY ALL)
 SELECT entity, field, CASE WHEN n = 1 THEN 'single_candidate' WHEN k = 1 THEN 'rule_merge_consistent' ELSE 'contradicting_evidence' END AS decision, CAST(CASE WHEN k = 1 THEN 1 ELSE n END AS BIGINT) AS rows FROM g""")
 def ext9_fusion_decisions(spark, sf_dir):
-    return fuse(_candidates(spark, sf_dir)).groupBy("entity", "field", "decision").agg(F.count("*").alias("rows"))
+    """Decisions on the parts that the SQL names; those on all parts are in ext9_fusion_decisions_all."""
+    rows = table(spark, sf_dir, "lineitem").where("l_partkey % 7 = 0")
+    return fuse(_candidates(rows)).groupBy("entity", "field", "decision").agg(F.count("*").alias("rows"))
+
+
+@BOOK.add("""WITH c AS (SELECT 'E' || l_partkey AS entity, l_linestatus AS field, CAST(CAST(floor(l_quantity / 20) AS BIGINT) AS VARCHAR) AS value, CASE WHEN l_tax < 0.02 THEN 'unsupported' WHEN l_tax < 0.05 THEN 'insufficient' ELSE 'sufficient' END AS status FROM lineitem),
+v AS (SELECT * FROM c WHERE status <> 'unsupported'), g AS (SELECT entity, field, count(*) AS n, count(DISTINCT value) AS k FROM v GROUP BY ALL)
+SELECT entity, field, CASE WHEN n = 1 THEN 'single_candidate' WHEN k = 1 THEN 'rule_merge_consistent' ELSE 'contradicting_evidence' END AS decision, CAST(CASE WHEN k = 1 THEN 1 ELSE n END AS BIGINT) AS rows FROM g""")
+def ext9_fusion_decisions_all(spark, sf_dir):
+    return fuse(_candidates(table(spark, sf_dir, "lineitem"))).groupBy("entity", "field", "decision").agg(F.count("*").alias("rows"))
 
 
 @BOOK.add()
 def ext9_fusion(spark, sf_dir):
-    return fuse(_candidates(spark, sf_dir))
+    return fuse(_candidates(table(spark, sf_dir, "lineitem")))
 
 
 @BOOK.add("""SELECT p_partkey, CAST(p_size AS VARCHAR) AS value, 's⁻¹' AS unit, p_size::DOUBLE AS normalized_value FROM part""")

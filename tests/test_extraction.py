@@ -61,3 +61,11 @@ def test_scalars(spark):
     assert one(numbers.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
     assert [one(text.claim_type(F.lit(t))) for t in ("It cannot hold", "better than all", "our model", "therefore", "x")] == ["limitation", "comparison", "method", "conclusion", "result"]
     assert one(numbers.phase_percent(F.lit(1), F.lit(2))) == 60
+
+
+def test_fusion_takes_all_candidates(spark):
+    at = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{at}/lineitem.parquet").where("l_tax >= 0.02")
+    want = {(f"e{r.l_partkey}", r.l_linestatus.lower()) for r in lines.select("l_partkey", "l_linestatus").collect()}
+    got = e.ext9_fusion(spark, at).select("entity", "field").collect()
+    assert {(r.entity.lower(), r.field.lower()) for r in got} == want
