@@ -214,10 +214,20 @@ def math16_shape(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(2 * F.sqrt(area / F.lit(math.pi)), 4).alias("diameter"), F.round(F.least(F.lit(1.0), 4 * math.pi * area / F.pow(around, F.lit(2))), 4).alias("circularity"), F.round(score, 4).alias("score"))
 
 
+def _unpivoted(rows, words):
+    rows = rows.select("conv_id", "turn", F.posexplode(words).alias("i", "cell")).where("cell <> ''")
+    return rows.select("conv_id", "turn", F.col("i").cast("long").alias("i"), (F.col("i") % 3).cast("long").alias("j"), "cell")
+
+
 @BOOK.add("""SELECT conv_id, turn, i, j, cell FROM (SELECT conv_id, turn, unnest(range(len(w))) AS i, i % 3 AS j, unnest(w) AS cell FROM (SELECT conv_id, turn, list_slice(string_split(text, ' '), 1, 6) AS w FROM conversations)) WHERE cell <> ''""")
 def arr11_unpivot(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.slice(F.split("text", " "), 1, 6)).alias("i", "cell")).where("cell <> ''")
-    return rows.select("conv_id", "turn", F.col("i").cast("long").alias("i"), (F.col("i") % 3).cast("long").alias("j"), "cell")
+    """The cells that the SQL names, of the first six words; those of whole texts are in arr11_unpivot_all."""
+    return _unpivoted(table(spark, sf_dir, "conversations"), F.slice(F.split("text", " "), 1, 6))
+
+
+@BOOK.add("""SELECT conv_id, turn, i, j, cell FROM (SELECT conv_id, turn, unnest(range(len(w))) AS i, i % 3 AS j, unnest(w) AS cell FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)) WHERE cell <> ''""")
+def arr11_unpivot_all(spark, sf_dir):
+    return _unpivoted(table(spark, sf_dir, "conversations"), F.split("text", " "))
 
 
 @BOOK.add("""SELECT conv_id, array_to_string(list(turn || ':' || role ORDER BY turn), ';') AS flat, count(*) FILTER (role = 'user') AS users FROM conversations GROUP BY conv_id""")

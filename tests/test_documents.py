@@ -57,3 +57,13 @@ def test_chunks_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "中文段落。第二句！"), (4, "Table 1 Values of x\nText.")], "doc_id long, text string")
     got = d.chunk_documents(df).collect()
     assert {r.doc_id for r in got} == {3, 4} and [r.chunk_type for r in got if r.doc_id == 4] == ["body", "caption"]
+
+
+def test_unpivot_of_whole_texts(spark):
+    from docloom.operators import shaping
+
+    at = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{at}/conversations.parquet").collect()
+    want = sorted((r.conv_id, r.turn, i, i % 3, w) for r in rows for i, w in enumerate((r.text or "").split(" ")) if w)
+    assert max(x[2] for x in want) > 5
+    assert sorted(tuple(r) for r in shaping.arr11_unpivot_all(spark, at).collect()) == want
