@@ -345,16 +345,34 @@ def dml9_upsert(spark, sf_dir):
     return old.join(new, "doc_id", "full").select("doc_id", F.coalesce("new", "old").alias("quality"))
 
 
-@BOOK.add("""SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'queued' ELSE 'running' END AS status FROM orders WHERE o_orderkey % 2 = 0
-UNION ALL SELECT doc_id, 'succeeded' FROM labels WHERE doc_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)""")
-def dml11_migrate(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
+@BOOK.add("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(b.quality, a.quality) AS quality FROM labels a FULL JOIN (SELECT doc_id, CASE WHEN n_chars >= 1000 THEN 1 WHEN n_chars < 200 THEN 0 END AS quality FROM documents) b ON a.doc_id = b.doc_id""")
+def dml9_upsert_all(spark, sf_dir):
+    """All labels, merged with a quality by length of all documents; a length that says nothing leaves the label as it is."""
+    long = F.when(F.col("n_chars") >= 1000, 1).when(F.col("n_chars") < 200, 0)
+    old, new = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("old")), table(spark, sf_dir, "documents").select("doc_id", long.alias("new"))
+    return old.join(new, "doc_id", "full").select("doc_id", F.coalesce("new", "old").alias("quality"))
+
+
+def _migrated(orders, labels):
     status = F.when(F.col("o_orderstatus") == "F", "succeeded").when(F.col("o_orderstatus") == "O", "queued").otherwise("running")
     first = orders.select(F.col("o_orderkey").alias("job_id"), status.alias("status"))
-    second = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("job_id"), F.lit("succeeded").alias("status")).join(first, "job_id", "left_anti")
+    second = labels.select(F.col("doc_id").alias("job_id"), F.lit("succeeded").alias("status")).join(first, "job_id", "left_anti")
     return first.unionByName(second)
 
 
+@BOOK.add("""SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'queued' ELSE 'running' END AS status FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT doc_id, 'succeeded' FROM labels WHERE doc_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)""")
+def dml11_migrate(spark, sf_dir):
+    """The orders that the SQL names; dml11_migrate_all takes all."""
+    return _migrated(table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0"), table(spark, sf_dir, "labels"))
+
+
+@BOOK.add("""SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'queued' ELSE 'running' END AS status FROM orders
+UNION ALL SELECT doc_id, 'succeeded' FROM labels WHERE doc_id NOT IN (SELECT o_orderkey FROM orders)""")
+def dml11_migrate_all(spark, sf_dir):
+    return _migrated(table(spark, sf_dir, "orders"), table(spark, sf_dir, "labels"))
+
+
 @BOOK.add("""WITH i AS (SELECT l_orderkey, CASE WHEN l_linestatus = 'O' AND l_returnflag = 'N' THEN 'pending' WHEN l_linestatus = 'F' THEN 'done' ELSE 'failed' END AS s FROM lineitem)
 SELECT l_orderkey, count(*) FILTER (s = 'pending') AS pending, CASE WHEN count(*) FILTER (s = 'pending') > 0 THEN 'pending' WHEN count(*) FILTER (s = 'done') > 0 THEN 'done' ELSE 'failed' END AS job FROM i GROUP BY l_orderkey""")
 def dml12_recover(spark, sf_dir):

@@ -116,6 +116,11 @@ def str9_paragraphs(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"\n\s*\n")).select("doc_id", text.paragraphs(F.col("text")).alias("cleaned"))
 
 
+@BOOK.add(r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda p: trim(regexp_replace(regexp_replace(p, '\s*\n\s*', ' ', 'g'), '[ \t]+', ' ', 'g'), E' \n\t\r')), lambda p: p <> ''), E'\n\n') AS cleaned FROM documents""")
+def str9_paragraphs_all(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.paragraphs(F.col("text")).alias("cleaned"))
+
+
 @BOOK.add(r"""SELECT doc_id, CAST(len(list_filter(list_transform(regexp_extract_all(text, '[^。！？.!?]+[。！？.!?]?'), lambda s: trim(s, E' \n\t\r')), lambda s: s <> '')) AS BIGINT) AS sentences FROM documents""")
 def str13_sentences(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("sentences"))

@@ -67,3 +67,16 @@ def test_unpivot_of_whole_texts(spark):
     want = sorted((r.conv_id, r.turn, i, i % 3, w) for r in rows for i, w in enumerate((r.text or "").split(" ")) if w)
     assert max(x[2] for x in want) > 5
     assert sorted(tuple(r) for r in shaping.arr11_unpivot_all(spark, at).collect()) == want
+
+
+def test_whole_tables(spark, tmp_path):
+    from docloom.operators import relational, retrieval
+
+    at = f"file://{tmp_path}"
+    docs = [(1, "a\nb \n \n c\tc\n\n\n\n d", 1500), (2, "one", 10), (3, "", 500), (5, "x\n\n\n", 500)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, 0), (3, 1), (7, 0)], "doc_id long, quality int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, "O"), (2, "F"), (9, "P")], "o_orderkey long, o_orderstatus string").write.parquet(f"{at}/orders.parquet")
+    assert {tuple(r) for r in retrieval.str9_paragraphs_all(spark, at).collect()} == {(1, "a b\n\nc c\n\nd"), (2, "one"), (3, ""), (5, "x")}
+    assert {tuple(r) for r in relational.dml9_upsert_all(spark, at).collect()} == {(1, 1), (2, 0), (3, 1), (5, None), (7, 0)}
+    assert {tuple(r) for r in relational.dml11_migrate_all(spark, at).collect()} == {(1, "queued"), (2, "succeeded"), (9, "running"), (3, "succeeded"), (7, "succeeded")}
