@@ -93,19 +93,25 @@ def _replaced(text: str, stretches: str, by: str) -> str:
 
 #: c * log2(c) for the counts of a window.
 _WEIGHT = "array(" + ", ".join(f"{c * math.log2(c) if c else 0.0!r}D" for c in range(ENTROPY_WIDTH + 2)) + ")"
+#: Counts of a window are held five bits each, twelve to a number.
+_WORDS = len(ALPHABET) // 12 + 1
+_PLACE = "named_struct('at', cast({0} div 12 as int), 'by', cast(5 * ({0} % 12) as int))"
+_COUNT = "cast(shiftrightunsigned(s.n[v.{0}.at], v.{0}.by) & 31 as int)"
+_CHANGE = f"""if(v.new <=> v.old, 0D, {_WEIGHT}[{_COUNT.format("new")} + 1] - {_WEIGHT}[{_COUNT.format("new")}]
+    + if(v.old is null, 0D, {_WEIGHT}[{_COUNT.format("old")} - 1] - {_WEIGHT}[{_COUNT.format("old")}]))"""
 #: One step of the walk in piece p of the codes cs: 0 is a blank.
-_STEP = f"""transform(array(named_struct('new', cs[i], 'old', if(i - {ENTROPY_WIDTH} >= p * {WALK_PIECE}, cs[i - {ENTROPY_WIDTH}], -1))), v ->
+_STEP = f"""transform(array(named_struct('new', {_PLACE.format("cs[i]")}, 'old', if(i - {ENTROPY_WIDTH} >= p * {WALK_PIECE}, {_PLACE.format(f"cs[i - {ENTROPY_WIDTH}]")}, null))), v ->
     transform(array(named_struct(
-        'n', transform(s.n, (c, k) -> c + if(k = v.new, 1, 0) - if(k = v.old, 1, 0)),
-        'sum', s.sum + if(v.new = v.old, 0D, {_WEIGHT}[s.n[v.new] + 1] - {_WEIGHT}[s.n[v.new]] + if(v.old >= 0, {_WEIGHT}[s.n[v.old] - 1] - {_WEIGHT}[s.n[v.old]], 0D)))), w ->
-        transform(array(i - p * {WALK_PIECE} >= {ENTROPY_WIDTH - 1} and w.n[0] = 0 and {math.log2(ENTROPY_WIDTH)!r}D - w.sum / {ENTROPY_WIDTH} >= x.least - 1e-9D), hot ->
+        'n', transform(s.n, (c, k) -> c + if(k = v.new.at, shiftleft(1L, v.new.by), 0L) - if(v.old is not null and k = v.old.at, shiftleft(1L, v.old.by), 0L)),
+        'sum', s.sum + coalesce({_CHANGE}, 0D))), w ->
+        transform(array(i - p * {WALK_PIECE} >= {ENTROPY_WIDTH - 1} and w.n[0] & 31 = 0 and {math.log2(ENTROPY_WIDTH)!r}D - w.sum / {ENTROPY_WIDTH} >= x.least - 1e-9D), hot ->
             named_struct('n', w.n, 'sum', w.sum,
                 'a', if(hot and (s.a < 0 or i - {ENTROPY_WIDTH - 1} > s.b), i - {ENTROPY_WIDTH - 1}, s.a),
                 'b', if(hot, i + 1, s.b),
                 'out', if(hot and s.a >= 0 and i - {ENTROPY_WIDTH - 1} > s.b, array_append(s.out, named_struct('a', s.a, 'b', s.b)), s.out)))[0])[0])[0]"""
 _WALK = f"""aggregate(
     sequence(p * {WALK_PIECE}, least(p * {WALK_PIECE} + {WALK_PIECE + ENTROPY_WIDTH - 1}, size(cs)) - 1),
-    named_struct('n', array_repeat(0, {len(ALPHABET) + 1}), 'sum', 0D, 'a', -1, 'b', -1, 'out', cast(array() as {_ENDS})),
+    named_struct('n', array_repeat(0L, {_WORDS}), 'sum', 0D, 'a', -1, 'b', -1, 'out', cast(array() as {_ENDS})),
     (s, i) -> {_STEP},
     s -> if(s.a < 0, s.out, array_append(s.out, named_struct('a', s.a, 'b', s.b))))"""
 _CLASS = f"case when x.text rlike '^([0-9a-f]+|[0-9A-F]+)$' then {THRESHOLDS['hex']}D when x.text rlike '^[A-Za-z0-9]+$' then {THRESHOLDS['alnum']}D else {THRESHOLDS['mixed']}D end"
