@@ -7,19 +7,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only for sessions without spark.checkpoint.dir, as in tests.
+#: Only for local sessions without spark.checkpoint.dir, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints/docloom"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """This application's folder in the one that the driver and all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = FALLBACK_DIR
+    return f"{folder.rstrip('/')}/docloom-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Delete every table this application has cut, once its results are written elsewhere; results not yet written need them."""
+    _delete(spark, shared_dir(spark))
+
+
 def text_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Let Arrow batches hold at most so many rows from here on: rows with whole texts are long, and a batch is in memory at once."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -41,11 +56,8 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by ``cut`` that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
     for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 def _settled(edges: DataFrame) -> tuple:
