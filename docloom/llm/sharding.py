@@ -16,10 +16,21 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
-#: Rows that a bucket holds on average, while there are fewer than MAX_BUCKETS buckets.
-BUCKET_ROWS = 2_000
-#: The prefix sums over buckets run in one task for each stratum: at most so many rows.
-MAX_BUCKETS = 4_096
+#: Rows that a bucket holds on average.
+BUCKET_ROWS = 500
+#: Buckets whose counts are summed up in one task; the sums of such runs are summed up first.
+RUN_BUCKETS = 4_096
+
+
+def _before(rows: DataFrame, keys: list[str], bucket: str) -> DataFrame:
+    """(keys, bucket, before): the rows in all smaller buckets, summed up in two levels so that no task has all buckets."""
+    each = rows.groupBy(*keys, bucket).count().withColumn("run", F.expr(f"{bucket} div {RUN_BUCKETS}"))
+    runs = each.groupBy(*keys, "run").agg(F.sum("count").alias("all"))
+    ahead = Window.partitionBy(*keys).orderBy("run").rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.select(*keys, "run", (F.sum("all").over(ahead) - F.col("all")).alias("base"))
+    within = Window.partitionBy(*keys, "run").orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("own", F.sum("count").over(within) - F.col("count"))
+    return each.join(runs, [*keys, "run"]).select(*keys, bucket, (F.col("base") + F.col("own")).alias("before"))
 
 
 def interleave(docs: DataFrame, n_shards: int, stratum: str = "source", seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,29 +51,21 @@ def interleave(docs: DataFrame, n_shards: int, stratum: str = "source", seed: in
         F.crc32(text).alias("crc"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key"),
     )
-    n = docs.count()
-    buckets = max(1, min(MAX_BUCKETS, -(-n // BUCKET_ROWS)))
-    slim = slim.withColumn("bucket", F.expr(f"conv(substr(key, 1, 6), 16, 10)::long * {buckets} div {16**6}"))
+    slim = cut(slim, "rows")  # counted and ranked from one copy, whatever the source gives when it is read again
+    n = slim.count()
+    buckets = max(1, -(-n // BUCKET_ROWS))
+    slim = slim.withColumn("bucket", F.expr(f"cast(conv(substr(key, 1, 8), 16, 10) as long) * {buckets} div {16**8}"))
     order = ["key", "id", "crc", "size"]
-
-    by_stratum = Window.partitionBy("stratum")
-    before = (
-        slim.groupBy("stratum", "bucket").count()
-        .select(
-            "stratum", "bucket", F.sum("count").over(by_stratum).alias("total"),
-            (F.sum("count").over(by_stratum.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias("before"),
-        )
-    )
+    totals = slim.groupBy("stratum").agg(F.count("*").alias("total"))
     ranked = (
         slim.withColumn("rank", F.row_number().over(Window.partitionBy("stratum", "bucket").orderBy(*order)))
-        .join(before, ["stratum", "bucket"])
+        .join(_before(slim, ["stratum"], "bucket"), ["stratum", "bucket"]).join(totals, "stratum")
         .withColumn("fraction", (2 * (F.col("rank") + F.col("before")) - 1).cast("double") / (2 * F.col("total")).cast("double"))
         .withColumn("span", F.least(F.floor(F.col("fraction") * buckets), F.lit(buckets - 1)))
     )
     ranked = cut(ranked.select("id", "stratum", "size", "crc", "key", "fraction", "span"), "interleave")
 
-    spans = ranked.groupBy("span").count()
-    spans = spans.select("span", (F.sum("count").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias("before"))
+    spans = _before(ranked.select("span", F.lit(0).alias("whole")), ["whole"], "span").drop("whole")
     place = F.row_number().over(Window.partitionBy("span").orderBy("fraction", "stratum", *order)) + F.col("before") - 1
     return (
         ranked.join(spans, "span")

@@ -1,6 +1,10 @@
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
+from docloom.llm import sharding
 from docloom.llm.sharding import interleave
 
 SCHEMA = "doc_id long, text string, source string, shard string"
@@ -41,3 +45,34 @@ def test_same_result_for_any_partitioning(spark):
 def test_empty_and_fewer_rows_than_shards(spark):
     assert interleave(spark.createDataFrame([], SCHEMA), 40).count() == 0
     check([(1, "a", "s", "")], 40, interleave(spark.createDataFrame([(1, "a", "s", "")], SCHEMA), 40).collect())
+
+
+def brute(rows, n_shards, seed=42):
+    """The placement by two sorts: (id, crc, shard, slot)."""
+    strata = defaultdict(list)
+    for i, text, source, *_ in rows:
+        key = hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()
+        raw = (text or "").encode()
+        strata["" if source is None else "=" + source].append((key, i is not None, i or 0, zlib.crc32(raw), len(raw) + 16))
+    merged = sorted(((2 * k + 1) / (2 * len(own)), name, row) for name, own in strata.items() for k, row in enumerate(sorted(own)))
+    n, out = len(merged), []
+    for place, (_, _, (_, known, i, crc, _)) in enumerate(merged):
+        shard = place * n_shards // n
+        out.append((i if known else None, crc, shard, place - -(-shard * n // n_shards)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("bucket_rows", "run_buckets"), [(500, 4_096), (3, 4)])
+def test_brute_force(spark, monkeypatch, bucket_rows, run_buckets):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(sharding, "RUN_BUCKETS", run_buckets)
+    rows = [(i, f"té {i % 50}", None if i % 97 == 0 else "hot" if i % 3 else f"s{i % 5}", "x") for i in range(700)]
+    rows += [(1, "again", "hot", "x")] * 3 + [(None, None, "hot", None), (None, "b", "", None)]
+    out = interleave(spark.createDataFrame(rows, SCHEMA).repartition(3), 40).collect()
+    assert sorted(((r.doc_id, r.text_crc32, r.shard, r.slot) for r in out), key=str) == brute(rows, 40)
+
+
+def test_documents(spark):
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    out = sharding.op1_interleave(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(((r.doc_id, r.text_crc32, r.shard, r.slot) for r in out), key=str) == brute(rows, 40)
