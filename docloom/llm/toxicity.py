@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -25,8 +26,10 @@ from .shared import cut, text_batches
 
 #: About so many labelled rows are used to fit; of more, a fixed random part is drawn by hash of the id.
 FIT_ROWS = 30_000
-#: Lexicon entries that are kept at most, by support, and how much likelier than in clean texts they must be.
-LEXICON_ROWS, LEXICON_ODDS = 4_000, 20.0
+#: In how many toxic texts a lexicon entry must stand, and how much likelier than in clean texts it must be.
+LEXICON_SUPPORT, LEXICON_ODDS = 5, 20.0
+#: Hashes that decide if a row is drawn are compared with a share of this number.
+_WHOLE = 1 << 53
 #: Distinct words of which a worker keeps the findings between batches.
 CACHE_WORDS = 400_000
 PREFIXES = (3, 4, 5)
@@ -110,23 +113,28 @@ def measure(text: str, findings: _Findings) -> list[float]:
     ]
 
 
-def features(docs: DataFrame, lexicon: Lexicon, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of each row with ``x``, the features of its text; null texts count as empty."""
-    held = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most LEXICON_ROWS entries
+def features(docs: DataFrame, lexicon: Lexicon, keep: list[str], text_col: str = "text", within: bool = False) -> DataFrame:
+    """The columns ``keep`` of each row with ``x``, the features of its text; null texts count as empty.
+
+    ``within``: the text is a field of the first column kept and so goes to Python once only.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(lexicon)  # words of about FIT_ROWS texts at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         findings = _Findings(held.value)
         for batch in batches:
-            rows = [measure(text.as_py() or "", findings) for text in batch.column(len(keep))]
+            texts = pc.struct_field(batch.column(0), text_col) if within else batch.column(len(keep))
+            rows = [measure(text.as_py() or "", findings) for text in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(rows, pa.list_(pa.float64()))], [*keep, "x"])
 
     text_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
-    return docs.select(*keep, F.col(text_col).cast("string")).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", x array<double>")
+    own = docs.select(*keep) if within else docs.select(*keep, F.col(text_col).cast("string"))
+    return own.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", x array<double>")
 
 
 def learn_lexicon(texts: DataFrame) -> Lexicon:
-    """Word forms that stand out in toxic texts; ``texts`` has text and label."""
+    """Word forms that stand out in toxic texts; ``texts`` has text and label. What is collected is bounded by these texts, about half of FIT_ROWS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +149,7 @@ def learn_lexicon(texts: DataFrame) -> Lexicon:
     clean, toxic = max(sizes.get(0, 0), 1), max(sizes.get(1, 0), 1)
     odds = (F.col("toxic") / toxic) / ((F.col("clean") + 0.5) / clean)
     counts = texts.select("text", "label").mapInArrow(run, "form string, clean long, toxic long").groupBy("form").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    best = counts.where((F.col("toxic") >= 5) & (odds >= LEXICON_ODDS)).orderBy(F.desc("toxic"), "form").limit(LEXICON_ROWS)
+    best = counts.where((F.col("toxic") >= LEXICON_SUPPORT) & (odds >= LEXICON_ODDS))
     return Lexicon({row["form"]: float(row["weight"]) for row in best.select("form", F.log(odds).alias("weight")).collect()})
 
 
@@ -164,15 +172,15 @@ def _margin(df: DataFrame, trees: GBTClassificationModel) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 42, id_col: str = "doc_id") -> Model:
     """Learn from labelled rows whose crc32(id as text) mod 5 is not 0; ``labels`` has the id and toxic (0 or 1).
 
-    Null labels and ids are left out. Where a part lacks one of the two classes, the model gives the share of toxic
+    Null labels and ids are left out; an id with both labels is toxic. Where a part lacks one of the two classes, the model gives the share of toxic
     labels (0 without labels).
     """
     part = F.crc32(F.col(id_col).cast("string")) % 5
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col("toxic").cast("int").alias("label"), part.alias("part")).where("part <> 0")
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & (part != 0)).groupBy(id_col).agg(F.max(F.col("toxic").cast("int")).alias("label"))
     total, toxic = known.agg(F.count("*"), F.sum("label")).first()
     base = float(toxic or 0) / max(total, 1)
     share = min(1.0, fit_rows / max(total, 1))
-    drawn = known.where(F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates([id_col])
+    drawn = known.where(F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(_WHOLE)) < int(share * _WHOLE)).withColumn("part", part)
     # About fit_rows rows of three numbers: small at any size of the input.
     texts = cut(docs.select(id_col, "text").join(F.broadcast(drawn), id_col).select("text", "label", "part"), "labelled")
     seen = {(row["part"], row["label"]) for row in texts.select("part", "label").distinct().collect()}
@@ -194,18 +202,25 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col
     Repeated rows stay separate, an empty table gives no rows, other columns are carried along or ignored.
     """
     keep = ["doc_id"] if keep is None else keep
+    return _scored(docs, model, keep, text_col).select("row.*", F.col("score").alias(out))
+
+
+def _scored(docs: DataFrame, model: Model, keep: list[str], text_col: str) -> DataFrame:
+    """(row, score): the columns ``keep`` in a struct of their own, so that no name can clash."""
+    row = F.struct(*keep).alias("row")
     if model.trees is None:
-        return docs.select(*keep, F.lit(model.base).alias(out))
-    rows = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
-    rows = _margin(features(rows, model.lexicon, ["row"]), model.trees)
+        return docs.select(row, F.lit(model.base).alias("score"))
+    within = text_col in keep and dict(docs.dtypes)[text_col] == "string"
+    rows = docs.select(row) if within else docs.select(row, F.col(text_col).alias("text"))
+    rows = _margin(features(rows, model.lexicon, ["row"], text_col if within else "text", within), model.trees)
     rows = model.curve.setPredictionCol("level").transform(rows.select("row", "margin"))
     level = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("level")))
-    return rows.select("row.*", (0.99 * level + 0.01 / (1 + F.exp(-2 * F.col("margin")))).alias(out))
+    return rows.select("row", (0.99 * level + 0.01 / (1 + F.exp(-2 * F.col("margin")))).alias("score"))
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more, by a model fitted on the labelled rows among them."""
-    return score(docs, fit(docs, labels), docs.columns, text_col, "_score").where(F.col("_score") < threshold).drop("_score")
+    return _scored(docs, fit(docs, labels), docs.columns, text_col).where(F.col("score") < threshold).select("row.*")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

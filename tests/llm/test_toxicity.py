@@ -63,3 +63,12 @@ def test_measures():
     m = dict(zip(op.FEATURES, op.measure("You IDIOT!! zorvalon 1d10t st*p*d fine", found), strict=True))
     assert m["hits"] == 4 and m["disguised_hits"] == 2 and m["near_address"] == 4 and m["most_weight"] == 3.0
     assert op.measure("", found) == [0.0] * len(op.FEATURES) == op.measure(" \n", found)
+
+
+def test_columns_of_any_name_and_labels_that_disagree(spark):
+    docs, labels = table(spark)
+    docs = docs.selectExpr("*", "1 as _score", "2 as score", "3 as row", "text as x")
+    both = labels.unionByName(labels.selectExpr("doc_id", "quality", "case when doc_id % 4 = 0 then 0 else toxic end as toxic"))
+    assert op.reject(docs, both.repartition(3)).columns == docs.columns
+    a, b = (sorted((r.text or "", r.score) for r in op.score(docs.drop("score"), op.fit(docs, x), ["text"]).collect()) for x in (labels, both))
+    assert a == b
