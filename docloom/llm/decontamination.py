@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 WIDTH = 10
-#: UTF-8 bytes of benchmark words or windows up to which they are sent to every task; beyond, they are joined by shuffle.
+#: UTF-8 bytes of distinct words up to which texts are searched for them as they are split; beyond, positions are joined by word.
+WORD_BYTES = 2_000_000
+#: UTF-8 bytes of windows or counts up to which they are sent to every task; beyond, they are joined by shuffle.
 SMALL_BYTES = 4_000_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,7 +46,7 @@ def _in(names: list[str]) -> str:
 
 def rarity(docs: DataFrame, vocabulary: DataFrame, text_col: str) -> DataFrame:
     """(word, n): how often each word of the vocabulary stands in all documents; words that never do are left out."""
-    if _bytes(vocabulary, "word") <= SMALL_BYTES:
+    if _bytes(vocabulary, "word") <= WORD_BYTES:
         names = sorted(row[0] for row in vocabulary.collect())
         found = docs.select(words(F.col(text_col)).alias("w")).select(F.explode(F.expr(f"filter(w, x -> x in ({_in(names)}))")).alias("word"))
         return found.groupBy("word").agg(F.count("*").alias("n"))
@@ -77,26 +79,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: s
     """
     wins = cut(windows(benchmark, width, item_col, text_col), "windows")
     tokens = cut(prefixes(docs, wins, text_col), "prefixes")
-    small = _bytes(tokens.select(F.array_join("win", " ").alias("w")), "w") <= SMALL_BYTES
-    near = (
-        f"named_struct('pos', i, 'token', w, 'near', slice(ws, greatest(i - {width - 1}, 0) + 1, i + {width} - greatest(i - {width - 1}, 0)))"
-    )
-    if small:
-        test = f"w in ({_in([r[0] for r in tokens.select('token').distinct().orderBy('token').collect()])})"
-    else:
-        test = "true"
-    slim = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.array(words(F.col(text_col))).alias("held")
-    ).select(
-        "id", "digest",
-        F.expr(f"transform(held, ws -> named_struct('n', size(ws), 'at', filter(transform(ws, (w, i) -> if({test}, {near}, null)), x -> x is not null)))[0]").alias("s"),
-    )
+    near = f"named_struct('pos', i, 'token', ws[i], 'near', slice(ws, greatest(i - {width - 1}, 0) + 1, i + {width} - greatest(i - {width - 1}, 0)))"
+    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.array(words(F.col(text_col))).alias("held"))
+    names = cut(tokens.select("token").distinct(), "tokens")
+    if _bytes(names, "token") <= WORD_BYTES:
+        known = _in([row[0] for row in names.orderBy("token").collect()])
+        at = f"filter(transform(ws, (w, i) -> if(w in ({known}), {near}, null)), x -> x is not null)"
+    else:  # positions first; only those of prefix words go back to their text for the words around them
+        each = slim.select("id", "digest", F.posexplode(F.col("held")[0]).alias("pos", "token")).join(names, "token", "left_semi")
+        places = each.groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(F.array_sort(F.collect_set("pos")).alias("places"))
+        slim = slim.join(places, slim["id"].eqNullSafe(places["_id"]) & (slim["digest"] == places["_digest"]), "left")
+        at = f"transform(coalesce(places, array()), i -> {near})"
+    slim = slim.select("id", "digest", F.expr(f"transform(held, ws -> named_struct('n', size(ws), 'at', {at}))[0]").alias("s"))
     slim = cut(slim, "candidates")
     found = slim.select("id", "digest", F.col("s.n").alias("n"), F.explode("s.at").alias("c")).select("id", "digest", "n", "c.*")
     start = F.col("pos") - F.col("offset")
     same = F.slice("near", F.greatest(F.least("pos", F.lit(width - 1)) - F.col("offset") + 1, F.lit(1)), F.size("win")) == F.col("win")
     # The bounds and the comparison are part of the join, so that only true matches leave it.
     rule = (found["token"] == tokens["token"]) & (start >= 0) & (start + F.size("win") <= F.col("n")) & same
+    small = _bytes(tokens.select(F.array_join("win", " ").alias("w")), "w") <= SMALL_BYTES
     hits = found.join(F.broadcast(tokens) if small else tokens, rule).select("id", "digest", start.alias("start"), "win").distinct()
     hits = cut(hits, "hits")
     return slim.select("id", "digest", F.col("s.n").alias("n_words")), hits.join(wins, "win").select("id", "digest", "start", F.size("win").alias("length"), "item")
@@ -122,11 +123,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows in which a window of the benchmark occurs."""
-    bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col).where("contaminated").select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"))
+    bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col).where("contaminated").select(F.col(id_col).alias("bad"), F.col("digest").alias("bad_digest"))
     bad = cut(bad.distinct(), "contaminated")
     if bad.count() <= SMALL_BYTES // 40:
         bad = F.broadcast(bad)
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & (F.xxhash64(docs[text_col]) == bad["_digest"]), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"))
+    return rows.join(bad, rows["id"].eqNullSafe(bad["bad"]) & (rows["digest"] == bad["bad_digest"]), "left_anti").select("row.*")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

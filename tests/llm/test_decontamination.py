@@ -44,9 +44,10 @@ DOCS = [
 ]
 
 
-@pytest.mark.parametrize("limit", [op.SMALL_BYTES, 0])
-def test_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(op, "SMALL_BYTES", limit)
+@pytest.mark.parametrize(("words", "windows"), [(op.WORD_BYTES, op.SMALL_BYTES), (0, 0), (0, op.SMALL_BYTES), (op.WORD_BYTES, 0)])
+def test_brute_force(spark, monkeypatch, words, windows):
+    monkeypatch.setattr(op, "WORD_BYTES", words)
+    monkeypatch.setattr(op, "SMALL_BYTES", windows)
     docs = spark.createDataFrame([(a, b, "c") for a, b in DOCS], "doc_id long, text string, win string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert got(op.contamination(docs, items)) == brute(DOCS, ITEMS)
@@ -67,3 +68,10 @@ def test_sql_gives_the_same(spark):
     mine = op.op10_decontamination(spark, at)
     assert mine.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     assert got(mine) == sorted(want, key=str) and any(r[5] for r in want)
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(a, b, "c", "d", 1, 2) for a, b in DOCS], "doc_id long, text string, _id string, bad string, row int, digest int")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    kept = op.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and kept.count() == sum(not r[5] for r in brute(DOCS, ITEMS))
