@@ -20,15 +20,14 @@ from itertools import chain, repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import components, cut, text_batches
 
 BITS, BUDGET, SHINGLE, SEED = 64, 3, 3, 42
-#: Fingerprints of one key up to which it is walked as it is; larger keys are taken apart further, at most so many times
-#: (each time over four parts; a key that is still larger is walked by one task in bounded memory).
-GROUP_ROWS, DEPTH = 4_096, 3
+#: Fingerprints of one key up to which it is walked as it is; larger keys are taken apart further.
+GROUP_ROWS = 4_096
 #: Node pairs that are held at once during a walk; further ones wait on a stack.
 FRONTIER = 200_000
 
@@ -61,55 +60,30 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def _bits(fp: Column, low: int, n: int) -> Column:
-    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << n) - 1)) if n < 64 else fp
-
-
-def _parts(low: list[tuple[int, int]]) -> list[tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
-    """Ways to split ranges of bits (low, n): BUDGET + 1 parts of equal size, each with the ranges that are left."""
-    bits = [b for at, n in low for b in range(at, at + n)]
-    size = -(-len(bits) // (BUDGET + 1))
-
-    def ranges(some: list[int]) -> list[tuple[int, int]]:
-        out: list[tuple[int, int]] = []
-        for b in some:
-            out = [*out[:-1], (out[-1][0], out[-1][1] + 1)] if out and sum(out[-1]) == b else [*out, (b, 1)]
-        return out
-
-    cuts = [bits[i : i + size] for i in range(0, len(bits), size)]
-    return [(ranges(part), ranges([b for b in bits if b not in part])) for part in cuts]
+#: SQL: masks of BUDGET + 1 parts of equal size of the bits that are set in ``varying``; fewer where few are set.
+_PARTS = f"""transform(array(filter(sequence(0, {BITS - 1}), b -> getbit(varying, b) = 1)), bs -> transform(array(cast((size(bs) + {BUDGET}) div {BUDGET + 1} as int)), s ->
+    transform(sequence(0, cast((size(bs) - 1) div s as int)), j -> aggregate(slice(bs, j * s + 1, s), 0L, (m, b) -> m | shiftleft(1L, b))))[0])[0]"""
 
 
 def deal(prints: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(way, key, fp): each distinct fingerprint under every key at which the walk below is to go on.
+    """(key, fp): each distinct fingerprint under every key at which the walk below is to go on.
 
-    ``way`` names the parts chosen so far, ``key`` their bits. A pair within the budget shares a key in at least one way:
-    what is taken apart is whole keys, again over BUDGET + 1 parts of the bits that are left.
+    A key names the parts chosen so far and their bits. A pair within the budget shares at least one key: what is taken
+    apart is whole keys, again over BUDGET + 1 parts, now of the bits that vary among the key's own fingerprints. Each
+    round thus halves a large key at least, and it goes on until no key is larger than ``group_rows`` (or has no more
+    varying bits than the budget, which are 8 fingerprints at most).
     """
-    level = [("", [(0, BITS)], cut(prints.select("fp").distinct(), "distinct"), F.lit(""))]
+    dealt = cut(prints.select("fp").distinct(), "distinct").select(F.lit("").alias("key"), F.lit(-1).cast("long").alias("varying"), "fp")
+    dealt = dealt.select("key", F.explode(F.expr(_PARTS)).alias("mask"), "fp")
     done: list[DataFrame] = []
-    for depth in range(1, DEPTH + 1):
-        dealt, rest = None, {}
-        for way, free, rows, key in level:
-            for part, left in _parts(free):
-                name = f"{way}/{'+'.join(f'{a}.{n}' for a, n in part)}"
-                value = F.concat_ws(",", key, *(_bits(F.col("fp"), a, n).cast("string") for a, n in part))
-                own = rows.select(F.lit(name).alias("way"), value.alias("key"), "fp")
-                dealt, rest[name] = own if dealt is None else dealt.union(own), left
-        dealt = cut(dealt, "trie")
-        if depth == DEPTH:
-            break
-        large = dealt.groupBy("way", "key").count().where(F.col("count") > group_rows).select("way", "key")
-        large = cut(large, "large")
-        ways = [row[0] for row in large.select("way").distinct().collect()]  # at most 4 to the power of the depth
-        ways = [way for way in ways if sum(n for _, n in rest[way]) > BUDGET]
-        if not ways:
-            break
-        split = large.where(F.col("way").isin(ways))
-        done.append(dealt.join(split, ["way", "key"], "left_anti"))
-        again = cut(dealt.join(split, ["way", "key"], "left_semi"), "trie")
-        level = [(way, rest[way], again.where(F.col("way") == way), F.col("key")) for way in ways]
-    return _union([*done, dealt])
+    while True:
+        dealt = cut(dealt.select(F.concat_ws("|", "key", F.hex("mask"), F.hex(F.col("fp").bitwiseAND(F.col("mask")))).alias("key"), "fp"), "trie")
+        large = dealt.groupBy("key").agg(F.count("*").alias("n"), F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("varying"))
+        large = cut(large.where((F.col("n") > group_rows) & (F.bit_count("varying") > BUDGET)).select("key", F.expr(_PARTS).alias("masks")), "large")
+        if large.isEmpty():
+            return _union([*done, dealt])
+        done.append(dealt.join(large, "key", "left_anti"))
+        dealt = dealt.join(large, "key").select("key", F.explode("masks").alias("mask"), "fp")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -188,25 +162,23 @@ def links(prints: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in chain(batches, [None]):
-            if batch is None:
-                ready = held
-            else:
+            if batch is not None:
                 held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-                names = held["way"].to_numpy() + "|" + held["key"].to_numpy()
-                last = np.flatnonzero(names != names[-1])  # the last key may go on in the next batch
-                at = int(last[-1]) + 1 if len(last) else 0
-                ready, held = held.iloc[:at], held.iloc[at:]
-            if ready is None or ready.empty:
+            if held is None or held.empty:
+                continue
+            key = held["key"].to_numpy()
+            starts = np.flatnonzero(key[1:] != key[:-1]) + 1
+            at = len(held) if batch is None else int(starts[-1]) if len(starts) else 0  # the last key may go on in the next batch
+            ready, held = held["fp"].to_numpy(np.int64)[:at].view(np.uint64), held.iloc[at:]
+            if not len(ready):
                 continue
-            names = ready["way"].to_numpy() + "|" + ready["key"].to_numpy()
-            own = ready["fp"].to_numpy(np.int64).view(np.uint64)
-            group = np.concatenate([[0], np.cumsum(names[1:] != names[:-1])])
-            own = own[np.lexsort((own, group))]
-            found = np.array(trie_links(own, np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1])), dtype=np.int64).reshape(-1, 2)
+            starts = np.concatenate([[0], starts[starts < at]])
+            own = ready[np.lexsort((ready, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, at)))))]
+            found = np.array(trie_links(own, starts), dtype=np.int64).reshape(-1, 2)
             yield pd.DataFrame({"a": own[found[:, 0]].view(np.int64), "b": own[found[:, 1]].view(np.int64)})
 
     n = max(1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = deal(prints, group_rows).repartition(n, "way", "key").sortWithinPartitions("way", "key")
+    dealt = deal(prints, group_rows).repartition(n, "key").sortWithinPartitions("key")
     return dealt.mapInPandas(walk, "a long, b long")
 
 
@@ -236,11 +208,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     An id that is null or repeated can lie in several components, so components are named by id and digest together:
     these stand for one text, which lies in one component.
     """
-    rows = docs.withColumn("_digest", F.xxhash64(text_col))
-    names = rows.select(F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.col("_digest").alias("digest")).alias("_name"), text_col)
-    chosen = _classes(names, "_name", text_col)[1].select(F.col("component_id.id").alias("_id"), F.col("component_id.digest").alias("_least")).distinct()
-    rows = rows.join(chosen, rows[id_col].eqNullSafe(chosen["_id"]) & (rows["_digest"] == chosen["_least"]), "left_semi")
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(id_col, "_digest").orderBy("_digest"))).where("_n = 1").drop("_n", "_digest")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"))
+    names = rows.select(F.struct(F.col("id").isNull().alias("absent"), "id", "digest").alias("name"), F.col("row").getField(text_col).alias("text"))
+    chosen = _classes(names, "name", "text")[1].select(F.col("component_id.id").alias("kept"), F.col("component_id.digest").alias("least")).distinct()
+    rows = rows.join(chosen, rows["id"].eqNullSafe(chosen["kept"]) & (rows["digest"] == chosen["least"]), "left_semi")
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("id", "digest").orderBy("digest"))).where("n = 1").select("row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,3 +109,19 @@ def test_keep_one_of_null_and_repeated_ids(spark):
     named = spark.createDataFrame([(None if i is None else f"n{i}", t) for i, t in rows], "doc_id string, text string")
     assert simhash.keep_one(named).count() == 7
     assert simhash.keep_one(named.limit(0)).count() == 0
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c", "p", 4, 5, "x"), (2, "a b c", "q", 4, 5, "y")], "doc_id long, text string, _digest string, n int, row int, id string")
+    assert [tuple(r) for r in simhash.keep_one(df).collect()] == [(1, "a b c", "p", 4, 5, "x")]
+
+
+def test_large_keys_are_taken_apart_to_the_end(spark):
+    base = 0x123456789ABCDEF0
+    prints = sorted({base ^ (x << 20) for x in range(1 << 10)})
+    df = spark.createDataFrame([(p,) for p in prints], "fp long")
+    sizes = simhash.deal(df, 64).groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert sizes <= 64
+    from docloom.llm.shared import components
+
+    assert {r.component for r in components(simhash.links(df, 64)).collect()} == {prints[0]}
