@@ -24,8 +24,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .shared import text_batches
 
-#: Distinct words that a worker keeps between blocks; more are replayed again.
-CACHE_WORDS = 400_000
+#: About so many bytes of words and their ids a worker keeps between blocks; beyond, it starts anew and replays them again.
+CACHE_BYTES = 100_000_000
 #: Pattern of the contract's tokenizer for texts in which no character is beyond U+024F, a control separator or a number
 #: that is no digit; the same matches as public_tokenizers.PATTERN there, in a third of the time.
 _LATIN = re.compile(r" ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -133,6 +133,7 @@ class _Encoder:
         self.plain = pattern == public_tokenizers.PATTERN
         self.single, self.pairs = [ranks[bytes([b])] for b in range(256)], merges(ranks)
         self.ids: dict[str, bytes] = {}
+        self.size = 0
 
     @classmethod
     def of(cls, key: str, pattern: str, ranks: dict[bytes, int]) -> _Encoder:
@@ -146,10 +147,12 @@ class _Encoder:
 
     def encode(self, texts: list[str]) -> pa.ListArray:
         split = [self.split(text) for text in texts]
+        if self.size > CACHE_BYTES:
+            self.ids, self.size = {}, 0
         new = list(set(chain.from_iterable(split)) - self.ids.keys())
-        if len(self.ids) + len(new) > CACHE_WORDS:
-            self.ids, new = {}, list(set(chain.from_iterable(split)))
-        self.ids.update(zip(new, replay([word.encode() for word in new], self.single, self.pairs), strict=True))
+        raw = [word.encode() for word in new]
+        self.ids.update(zip(new, replay(raw, self.single, self.pairs), strict=True))
+        self.size += 200 * len(raw) + 5 * sum(map(len, raw))  # with what Python adds to each entry
         ids = [b"".join(map(self.ids.__getitem__, words)) for words in split]
         offsets = np.cumsum([0, *map(len, ids)]) // 4
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
@@ -171,7 +174,8 @@ def _blocks(column: pa.Array, rows: int = 2_000, chars: int = 4_000_000) -> Iter
 def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the token ids of each whole text, one row for each row of ``docs``.
 
-    Null and empty texts have no ids. Repeated ids stay separate rows, other columns are ignored.
+    Null and empty texts have no ids. Repeated ids stay separate rows, other columns are ignored. Of a long text all of
+    its words are in memory at once; a single word (a run of letters without a break) takes about 100 bytes for each of its own.
     """
     import public_tokenizers
 
@@ -197,7 +201,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out: str =
     schema = StructType([*encoded.schema.fields, StructField(out, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = [piece for piece, _ in sorted(ranks.value.items(), key=lambda item: item[1])]
+        token = {rank: piece for piece, rank in ranks.value.items()}
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(ids_col))
             rows = (row.values if row.is_valid else None for row in ids)

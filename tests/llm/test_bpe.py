@@ -54,3 +54,25 @@ def test_other_rank_file_and_pattern(spark):
     text = "Übergrößen und naïveté über alles abababab"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert bpe.encode(df, path, r"\S+|\s+").first().ids == own.encode_ordinary(text)
+
+
+def test_plain_pattern_finds_the_same():
+    """All pairs of the characters for which the quicker pattern stands in."""
+    import public_tokenizers
+    import regex
+
+    slow = regex.compile(public_tokenizers.PATTERN)
+    own = [chr(c) for c in range(0x250) if not bpe._NOT_LATIN.search(chr(c))]
+    for a in own:
+        text = "".join(a + b for b in own)
+        assert bpe._LATIN.findall(text) == slow.findall(text), a
+
+
+def test_ranks_with_gaps(spark, tmp_path):
+    import base64
+
+    ranks = {bytes([b]): 2 * b for b in range(256)} | {b"ab": 700, b"abc": 900}
+    path = tmp_path / "gaps.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(k).decode()} {v}\n" for k, v in ranks.items()))
+    both = bpe.decode(bpe.encode(spark.createDataFrame([(1, "abc xab")], "doc_id long, text string"), str(path)), str(path)).first()
+    assert both.ids == [900, 64, 240, 700] and bytes(both.decoded) == b"abc xab"
