@@ -10,6 +10,8 @@ span twice as many records, and marks what the marked ones reach; the rounds gro
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from .shared import cut, forget, new_path
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
+#: What the standard calls a revisit of an equal payload.
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: Rows that an archive file holds at most.
 FILE_ROWS = 20_000
 #: Rows of a digest or an offset up to which they are sent to every task, some 100 bytes each.
@@ -34,19 +38,19 @@ def base32_sha1(payload: Column) -> Column:
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
     """(id, url, html, digest, record_type, refers_to): what is to be written for each page.
 
-    Of pages with equal payloads of at least ``least`` bytes the one with the smallest id is the response and the others
-    are revisits of it; null payloads are empty ones. Repeated ids stay separate rows, the first in no fixed order being
+    Of pages with equal payloads (by SHA-256) of at least ``least`` bytes the one with the smallest id is the response and
+    the others are revisits of it; null payloads are empty ones. Repeated ids stay separate rows, the first in no fixed order being
     the response. Payloads are not shuffled: digests are counted first, and those with copies are sent to all tasks up to
     SMALL_ROWS of them; beyond, adaptive execution splits the join where a digest is hot.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("html").cast("binary")))
-    first = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    rows = rows.withColumns({"digest": base32_sha1(F.col("html").cast("binary")), "same": F.sha2(F.col("html").cast("binary"), 256)})
+    first = rows.where(F.octet_length("html") >= least).groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     first = cut(first.where("copies > 1").drop("copies"), "copies")
     if first.count() <= SMALL_ROWS:
         first = F.broadcast(first)
     again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    return rows.join(first, "digest", "left").select(
+    return rows.join(first, "same", "left").select(
         "id", "url", "html", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to")
     )
 
@@ -55,19 +59,21 @@ def _line(prefix: str, value: Column, suffix: str = "") -> Column:
     return F.concat(F.lit(prefix), F.coalesce(value.cast("string"), F.lit("")), F.lit(suffix))
 
 
-def write(recs: DataFrame, path: str, compression: str = "gzip") -> None:
+def write(recs: DataFrame, path: str, compression: str = "gzip", date: str | None = None) -> None:
     """Write archives to ``path``: files of whole records, which Spark's text writer commits task by task.
 
     Compressed files have at most FILE_ROWS records and are read whole; uncompressed ones are read in splits.
 
-    Revisits keep their own header and no payload. The text between two records is the writer's line end.
+    Revisits keep their own header and no payload. The text between two records is the writer's line end. ``date`` is the
+    time of the records in ISO form, now if not given.
     """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     full = F.octet_length("html")
     body = F.when(F.col("record_type") == "response", F.col("html")).otherwise("")
     lines = [
         F.lit("WARC/1.0"), F.concat(F.lit("WARC-Type: "), "record_type"), _line("WARC-Record-ID: <urn:page:", F.col("id"), ">"), _line("WARC-Target-URI: ", F.regexp_replace("url", r"[\r\n]", " ")),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), "digest"), _line("X-Payload-Length: ", full),
-        F.when(F.col("record_type") == "revisit", _line("WARC-Refers-To: <urn:page:", F.col("refers_to"), ">")), _line("Content-Length: ", F.octet_length(body)),
+        F.lit(f"WARC-Date: {date}"), F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("WARC-Payload-Digest: sha1:"), "digest"), _line("X-Payload-Length: ", full),
+        F.when(F.col("record_type") == "revisit", _line(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: <urn:page:", F.col("refers_to"), ">")), _line("Content-Length: ", F.octet_length(body)),
     ]
     value = F.concat(F.concat_ws("\r\n", *lines), F.lit(END), body)
     recs.select(value.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_ROWS).option("compression", compression).text(path)
@@ -136,7 +142,7 @@ def _few(df: DataFrame) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(file, type, record_id, uri, digest, refers_to, full_length, payload) of every record of the archives in ``path``.
 
-    Payloads are bytes. Records stay where the scan has put them: only candidates off the chain are removed by a join,
+    Payloads are bytes. A record whose header states no length cannot be passed over: its file ends there. Records stay where the scan has put them: only candidates off the chain are removed by a join,
     and only records whose payload holds the magic word are put together from their pieces.
     """
     held = cut(pieces(spark, path), "pieces")
