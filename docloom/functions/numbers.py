@@ -37,11 +37,10 @@ def overlap_ratio(a_low: Column, a_high: Column, b_low: Column, b_high: Column)
     return F.try_divide(shared, F.greatest(a_high, b_high) - F.least(a_low, b_low))
 
 
-def phase_percent(done: Column, total: Column, start: int = 45, share: int = 30, most: int = 75) -> Column:
-    return F.least(F.lit(most), start + F.round(done / total * share).cast("int"))
-
-
 def number_text(x: Column) -> Column:
-    """Six significant digits as text: integers without a point, no trailing zeros."""
-    short = F.regexp_replace(F.regexp_replace(F.format_string("%.6g", x), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """Six significant digits as text: integers without a point, no trailing zeros, halves rounded to even."""
+    scale = F.pow(F.lit(10.0), 5 - F.floor(F.log10(F.abs(x))))
+    tie = F.bround(x * scale) != F.round(x * scale)
+    even = F.when(F.coalesce(tie & (x != 0), F.lit(False)), F.bround(x * scale) / scale).otherwise(x)
+    short = F.regexp_replace(F.regexp_replace(F.format_string("%.6g", even), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     return F.when(x.isNull(), "").when((x == F.floor(x)) & (F.abs(x) < 1e15), F.floor(x).cast("string")).otherwise(short)

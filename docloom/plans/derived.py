@@ -48,3 +48,15 @@ def rows(spark: SparkSession, sf_dir: str, what: tuple[str, list[str]]) -> DataF
 
 def cte(name: str, what: tuple[str, list[str]]) -> str:
     return f"{name} AS (SELECT {', '.join(what[1])} FROM {what[0]})"
+
+
+POINTS = ("events", [
+    "event_id AS id", "user_id % 40 AS fig", "CASE event_id % 4 WHEN 0 THEN 'OD600' WHEN 1 THEN 'yield %' WHEN 2 THEN 'mass' ELSE '' END AS series",
+    "CASE WHEN event_id % 19 = 0 THEN NULL ELSE CAST(event_id % 37 AS DOUBLE) END AS x", "CASE WHEN event_id % 23 = 0 THEN NULL ELSE value / 10 - 1 END AS y", "CASE WHEN event_id % 5 = 0 THEN value END AS y_right",
+    "CASE event_id % 4 WHEN 0 THEN 'data_chart' WHEN 1 THEN 'microscopy' WHEN 2 THEN 'protein_assay' ELSE 'non_data_visual' END AS family", "CAST(event_id % 100 AS DOUBLE) / 100 AS confidence",
+    "CASE WHEN event_id % 3 = 0 THEN 's' ELSE '' END AS x_unit", "CASE WHEN event_id % 6 = 1 THEN 'Rate' ELSE '' END AS x_label", "CASE WHEN event_id % 3 = 1 THEN 'Pa' ELSE '' END AS y_unit", "CASE WHEN event_id % 9 = 0 THEN 'Stress' ELSE '' END AS y_label",
+    "CASE event_id % 5 WHEN 0 THEN 'pixel' WHEN 1 THEN 'linear' ELSE 'log10' END AS x_axis_type", "CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(2 AS DOUBLE) / 4 END AS pixel_size", "event_id % 250 AS object_count",
+    "CASE WHEN event_id % 8 = 1 THEN 'dapi' ELSE '' END AS channel", "CASE WHEN event_id % 12 = 5 THEN 'cell' ELSE '' END AS object_class", "CASE WHEN event_id % 10 = 3 THEN '' ELSE concat('shows ', event_type) END AS description",
+    "CASE WHEN event_id % 16 = 1 THEN value END AS diameter", "CASE WHEN event_id % 12 = 2 THEN value END AS band_intensity", "CASE WHEN event_id % 20 = 2 THEN value END AS molecular_weight", "CASE WHEN event_id % 28 = 2 THEN 'p53' ELSE '' END AS target_protein",
+    "CASE WHEN event_id % 44 = 2 THEN 'GAPDH' ELSE '' END AS loading_control", "CASE WHEN event_id % 11 = 0 THEN '' ELSE 'seen' END AS qualitative",
+])

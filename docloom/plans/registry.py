@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from docloom.operators import aggregates, documents, evidence, extraction, relational, retrieval, shaping, views
-from docloom.sources import files
+from docloom.operators import aggregates, charts, documents, evidence, extraction, fragments, property_run, relational, retrieval, shaping, views
+from docloom.sources import exports, files
 from docloom.streaming import events
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (aggregates, relational, retrieval, documents, extraction, shaping, views, files, events, evidence):
+for module in (aggregates, relational, retrieval, documents, extraction, shaping, views, files, events, evidence, charts, exports, fragments, property_run):
     QUERIES |= module.BOOK.queries
     ORACLE_SQL |= module.BOOK.sql

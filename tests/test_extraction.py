@@ -2,6 +2,7 @@ import hashlib
 
 from docloom.functions import numbers, text
 from docloom.operators import extraction as e
+from docloom.operators import views
 from pyspark.sql import functions as F
 
 
@@ -60,7 +61,7 @@ def test_scalars(spark):
     assert [one(numbers.number_text(F.lit(x))) for x in (1.5, 3.0, 0.1234567, None)] == ["1.5", "3", "0.123457", ""]
     assert one(numbers.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
     assert [one(text.claim_type(F.lit(t))) for t in ("It cannot hold", "better than all", "our model", "therefore", "x")] == ["limitation", "comparison", "method", "conclusion", "result"]
-    assert one(numbers.phase_percent(F.lit(1), F.lit(2))) == 60
+    assert one(views.phase_percent(F.lit(1), F.lit(2))) == 60
 
 
 def test_fusion_takes_all_candidates(spark):
