@@ -192,9 +192,9 @@ def str30_scope_marker(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.nullif(F.regexp_extract(said, r"\[IMAGE_ASSET_SCOPE asset_id=(\d+)", 1), F.lit("")).try_cast("int").alias("asset_id"))
 
 
-@BOOK.add(r"""SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN regexp_replace(substr(text, greatest(1, instr(lower(text), 'license') - 60), least(length(text), instr(lower(text), 'license') + 66) - greatest(1, instr(lower(text), 'license') - 60) + 1), '^\s+|\s+$', '', 'g') ELSE regexp_replace(substr(text, 1, 180), '^\s+|\s+$', '', 'g') END AS excerpt FROM documents WHERE lang = 'en'""")
+@BOOK.add(r"""SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN regexp_replace(substr(text, greatest(1, instr(lower(text), 'license') - 60), least(length(text), instr(lower(text), 'license') + 66) - greatest(1, instr(lower(text), 'license') - 60) + 1), '^\s+|\s+$', '', 'g') ELSE regexp_replace(substr(text, 1, 180), '^\s+|\s+$', '', 'g') END AS excerpt FROM documents""")
 def str32_excerpt(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", excerpt_of(F.col("text"), F.lit(" "), F.lit("License ")).alias("excerpt"))
+    return table(spark, sf_dir, "documents").select("doc_id", excerpt_of(F.col("text"), F.lit(" "), F.lit("License ")).alias("excerpt"))
 
 
 @BOOK.add("""SELECT doc_id, array_to_string(CASE WHEN doc_id % 2 = 0 THEN ['Fig. 1 growth of all of the cells ' || source, 'Table 2 sizes of each of the parts'] ELSE [] END, '|') AS captions FROM documents""")
@@ -273,4 +273,4 @@ def win11_repeated_edges(spark, sf_dir):
     """Running heads and feet of documents of two pages and more."""
     page = F.concat(F.lit("Journal of Tests "), F.col("turn").cast("string"), F.lit("\nrow "), F.md5(F.concat_ws("/", "conv_id", "turn")), F.lit("\nbody of it\nand "), F.md5(F.concat_ws(":", "turn", "conv_id")), F.lit("\nFoot"))
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), page.alias("text"))
-    return documents.repeated_edges(rows).where("line like 'Journal%' or line = 'Foot'")
+    return documents.repeated_edges(rows)

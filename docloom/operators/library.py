@@ -64,21 +64,23 @@ def object_class(caption: Column, channel: Column) -> Column:
 def file_names(rows: DataFrame, name: str, order: str) -> DataFrame:
     """``rows`` with ``unique_name``: the first of a name keeps it, each later one is numbered on until its name is free.
 
-    Free means that neither a row before nor a name given to one before has it. Only names that occur more than once are looked
-    at together, those of one stem at a time; a stem's rows are folded in their order, as the rule is one row after the other.
+    Names with one stem aside from numbers at its end can meet. Where only one name of a stem repeats, the numbers are row numbers.
+    Where several names of a stem meet (a.txt and a-1.txt) their rows are folded in order, as the rule is one row after the other.
     """
-    stem = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1)
-    end = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 2)
-    base = F.regexp_replace(stem, r"(-\d+)+$", "")  # names that can meet share it, as numbering only adds to a stem
+    pattern = r"^(.+?)(\.[^.]*)?$"
+    stem, end = F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 2)
     cols = rows.columns
-    keyed = rows.withColumns({"_base": F.concat(base, F.lit("/"), end), "_stem": stem, "_end": end})
-    twice = keyed.groupBy("_base").agg(F.count("*").alias("_n"), F.countDistinct(name).alias("_d")).where("_n > _d")
-    free = keyed.join(twice, "_base", "left_anti").withColumn("unique_name", F.col(name))
-    many = keyed.join(twice.select("_base"), "_base", "left_semi").groupBy("_base").agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in cols if c != order], "_stem", "_end"))).alias("_r"))
+    keyed = rows.withColumns({"_base": F.concat(F.regexp_replace(stem, r"(-\d+)+$", ""), F.lit("/"), end), "_stem": stem, "_end": end})
+    names = keyed.groupBy("_base", name).agg(F.count("*").alias("_n")).groupBy("_base").agg(F.sum("_n").alias("_n"), F.count("*").alias("_d"))
+    meet = names.where("_n > _d and _d > 1").select("_base")
+    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    plain = keyed.join(meet, "_base", "left_anti").withColumn("_i", n)
+    plain = plain.withColumn("unique_name", F.when(F.col("_i") == 0, F.col(name)).otherwise(F.concat("_stem", F.lit("-"), F.col("_i").cast("string"), "_end")))
+    many = keyed.join(meet, "_base", "left_semi").groupBy("_base").agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in cols if c != order], "_stem", "_end"))).alias("_r"))
     step = f"""aggregate(_r, cast(array() as array<string>), (used, x) -> array_append(used, if(not array_contains(used, x.`{name}`), x.`{name}`,
         element_at(filter(transform(sequence(1, size(used) + 1), i -> concat(x._stem, '-', i, x._end)), c -> not array_contains(used, c)), 1))))"""
     done = many.select("_r", F.expr(step).alias("_u")).select(F.posexplode("_r").alias("_i", "_x"), "_u").select("_x.*", F.get("_u", F.col("_i")).alias("unique_name"))
-    return free.select(*cols, "unique_name").unionByName(done.select(*cols, "unique_name"))
+    return plain.select(*cols, "unique_name").unionByName(done.select(*cols, "unique_name"))
 
 
 def semantic_chunks(chunks: DataFrame, query_vector: DataFrame, query: str, k: int, least: float, doc: int | None = None) -> DataFrame:
@@ -324,12 +326,9 @@ def doc18_note_chunks(spark, sf_dir):
     return note_chunks(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), body.alias("body"))).drop("text")
 
 
-@BOOK.add("""WITH n AS (SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN 'a.txt' WHEN 1 THEN 'a.txt' WHEN 2 THEN 'a-1.txt' WHEN 3 THEN 'b' ELSE c_name || '.pdf' END AS f FROM customer WHERE c_custkey < 10)
-SELECT k AS c_custkey, CASE k WHEN 0 THEN 'a.txt' WHEN 1 THEN 'a-1.txt' WHEN 2 THEN 'a-1-1.txt' WHEN 3 THEN 'b' WHEN 4 THEN f WHEN 5 THEN 'a-2.txt' WHEN 6 THEN 'a-3.txt' WHEN 7 THEN 'a-1-2.txt' WHEN 8 THEN 'b-1' ELSE f END AS unique_name FROM n""")
-def snk12_file_names(spark, sf_dir):
-    """The first ten names, some of which collide with a number that another was given."""
-    name = F.when(F.col("c_custkey") % 5 < 2, "a.txt").when(F.col("c_custkey") % 5 == 2, "a-1.txt").when(F.col("c_custkey") % 5 == 3, "b").otherwise(F.concat("c_name", F.lit(".pdf")))
-    return file_names(table(spark, sf_dir, "customer").where("c_custkey < 10").select("c_custkey", name.alias("f")), "f", "c_custkey").drop("f")
+@BOOK.add(r"""SELECT c_custkey, CASE WHEN n = 0 THEN f ELSE regexp_extract(f, '^(.*)\.', 1) || '-' || n || '.txt' END AS unique_name FROM (SELECT c_custkey, f, row_number() OVER (PARTITION BY f ORDER BY c_custkey) - 1 AS n FROM (SELECT c_custkey, c_mktsegment || '.txt' AS f FROM customer))""")
+def snk12_unique_names(spark, sf_dir):
+    return file_names(table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_mktsegment", F.lit(".txt")).alias("f")), "f", "c_custkey").drop("f")
 
 
 @BOOK.add("""WITH b AS (SELECT p_partkey % 20 AS doc, p_size % 4 AS page, p_partkey AS block, CASE p_partkey % 4 WHEN 0 THEN 'Fig. 2: growth of all of the cells over time' WHEN 1 THEN 'As seen in Figure 2 the cells grow quickly' WHEN 2 THEN 'Figure 2' ELSE 'Table 1 sizes of each of the parts' END AS text FROM part),
@@ -350,13 +349,14 @@ def flt19_structured_tables(spark, sf_dir):
     return held.select(F.col("p_partkey").alias("id"), structured_table("r", F.when(F.col("p_size") % 4 == 3, "Table 2 kinds")).alias("accepted"))
 
 
-@BOOK.add(f"""WITH {cte('a', ASSETS)}, p AS (SELECT 'doc/' || doc_id % 50 AS path, CASE WHEN lang = 'de' THEN 'bookmark' ELSE 'pdf' END AS source_type, doc_id FROM documents), g AS (SELECT path, source_type FROM p WHERE doc_id % 10 = 1 UNION ALL SELECT file_path, 'pdf' FROM a WHERE doc_id % 10 = 1), k AS (SELECT path FROM p WHERE doc_id % 10 <> 1 AND doc_id < 40)
+@BOOK.add(f"""WITH {cte('a', ASSETS)}, p AS (SELECT doc_id, 'doc/' || doc_id // 3 AS path, CASE WHEN source = 'src0' THEN 'bookmark' ELSE 'pdf' END AS source_type, lang = 'fr' AS deleted FROM documents), g AS (SELECT path, source_type FROM p WHERE deleted UNION ALL SELECT file_path, 'pdf' FROM a WHERE doc_id IN (SELECT doc_id FROM p WHERE deleted)), k AS (SELECT path FROM p WHERE NOT deleted)
 SELECT DISTINCT path FROM g WHERE coalesce(path, '') <> '' AND source_type <> 'bookmark' AND path NOT IN (SELECT path FROM k)""")
 def dml6_hard_delete_outbox(spark, sf_dir):
     """Files of deleted documents and of their assets, each once, without bookmarks and without those still in use."""
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), (F.col("doc_id") % 50).cast("string")).alias("path"), F.when(F.col("lang") == "de", "bookmark").otherwise("pdf").alias("source_type"), "doc_id")
-    assets = derived.rows(spark, sf_dir, ASSETS).where("doc_id % 10 = 1").select(F.col("file_path").alias("path"), F.lit("pdf").alias("source_type"))
-    return outbox(docs.where("doc_id % 10 = 1").select("path", "source_type").unionByName(assets), docs.where("doc_id % 10 <> 1 and doc_id < 40"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc/"), F.expr("doc_id div 3").cast("string")).alias("path"), F.when(F.col("source") == "src0", "bookmark").otherwise("pdf").alias("source_type"), (F.col("lang") == "fr").alias("deleted"))
+    gone = docs.where("deleted")
+    assets = derived.rows(spark, sf_dir, ASSETS).join(gone, "doc_id", "left_semi").select(F.col("file_path").alias("path"), F.lit("pdf").alias("source_type"))
+    return outbox(gone.select("path", "source_type").unionByName(assets), docs.where("not deleted"))
 
 
 @BOOK.add("""SELECT event_id, CASE WHEN event_type = 'error' THEN event_id % 4 + 1 ELSE event_id % 4 END AS attempts, CASE WHEN event_type <> 'error' THEN 'done' WHEN event_id % 4 + 1 >= 3 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN event_type = 'error' THEN TIMESTAMP '2024-02-01 00:05:00' ELSE ts END AS next_run FROM events""")
@@ -432,12 +432,12 @@ def agg16_audit_six_keys(spark, sf_dir):
     return sums.join(top, keys)
 
 
-@BOOK.add("""SELECT doc_id, t AS tag FROM documents, (SELECT DISTINCT c_mktsegment AS t FROM customer) WHERE lang = 'fr' AND NOT (doc_id % 2 = 0 AND t = 'BUILDING')""")
+@BOOK.add("""SELECT doc_id, t AS tag FROM documents, (SELECT DISTINCT c_mktsegment AS t FROM customer) WHERE NOT (lang = 'fr' AND t = 'BUILDING')""")
 def join21_documents_with_tags(spark, sf_dir):
-    """Each wanted document with each tag of a small table, but for links that exist."""
+    """Each document with each tag of a small table, but for links that exist."""
     tags = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("tag")).distinct().limit(100)  # a table of tags is small by its nature
-    docs = table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id")
-    held = docs.where("doc_id % 2 = 0").select("doc_id", F.lit("BUILDING").alias("tag"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    docs, held = rows.select("doc_id"), rows.where("lang = 'fr'").select("doc_id", F.lit("BUILDING").alias("tag"))
     return docs.crossJoin(F.broadcast(tags)).join(held, ["doc_id", "tag"], "left_anti")
 
 

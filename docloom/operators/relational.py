@@ -169,22 +169,32 @@ def join12_sessions(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("messages"), F.max_by("text", "turn").alias("last_message"))
 
 
-@BOOK.add("""WITH h AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT b.item_id, min(doc_id) AS doc_id FROM benchmark b LEFT JOIN h ON b.item_id = h.item_id GROUP BY b.item_id""")
-def join14_containment(spark, sf_dir):
-    """First document that holds each item's text whole.
+def holders(items: DataFrame, docs: DataFrame, item: str = "item_id", doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(item, doc): every document whose text holds an item's text whole.
 
-    Every text of at least 40 characters is looked up by its first 40: documents are cut into all their runs of the
-    lengths of the keys that have the right first characters, an equi join, before the full containment is checked.
+    A word of an item with a word on either side stands whole in every text that holds the item, so such items are looked up
+    by the rarest of these words: documents give only the words that are such keys, one row each, and true containment is
+    checked on what meets. Items without such a word are few and short; they are searched for in each text where it lies.
     """
+    # A word is a run without white space; the outer two of an item may be parts of longer ones in a text.
+    words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
+    own = items.select(item, F.col(text).alias("wanted"), words.alias("w"))
+    inner = own.where(F.size("w") > 2).select(item, "wanted", F.explode(F.array_distinct(F.expr("slice(w, 2, size(w) - 2)"))).alias("key"))
+    known = F.broadcast(inner.select("key").distinct())  # words of the items, which are the stated query set
+    seen = docs.select(doc, F.explode(F.array_distinct(words)).alias("key")).join(known, "key", "left_semi")
+    counts = seen.groupBy("key").count()
+    rarest = inner.join(counts, "key").groupBy(item, "wanted").agg(F.min_by("key", F.struct("count", "key")).alias("key"))
+    near = seen.join(rarest, "key").select(doc, item, "wanted").join(docs.select(doc, text), doc)
+    short = own.where((F.size("w") <= 2) & (F.col("wanted") != "")).agg(F.collect_list(F.struct(item, "wanted")).alias("all"))
+    direct = docs.crossJoin(F.broadcast(short)).select(doc, F.explode(F.filter("all", lambda x: F.contains(F.col(text), x["wanted"]))).alias("x")).select(doc, f"x.{item}")
+    return near.where(F.contains(text, F.col("wanted"))).select(doc, item).unionByName(direct)
+
+
+@BOOK.add("""WITH h AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> '') SELECT b.item_id, min(doc_id) AS doc_id FROM benchmark b LEFT JOIN h ON b.item_id = h.item_id GROUP BY b.item_id""")
+def join14_containment(spark, sf_dir):
+    """First document that holds each item's text whole."""
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text")
-    keyed = items.select("item_id", F.col("text").alias("wanted"), F.split("text", r"\s+")[0].alias("a"), F.split("text", r"\s+")[1].alias("b"))
-    pairs = F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b"))
-    words = docs.withColumn("w", F.split("text", r"\s+")).where(F.size("w") > 1)
-    starts = words.select("doc_id", F.explode(F.array_distinct(pairs)).alias("p")).select("doc_id", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    # The item's first word may be the tail of a longer one in the text, so only its second word is matched whole.
-    near = starts.join(keyed.select("item_id", "wanted", F.col("a").alias("first"), "b"), "b").where(F.col("a").endswith(F.col("first"))).select("doc_id", "item_id", "wanted").distinct()
-    held = near.join(docs, "doc_id").where(F.contains("text", F.col("wanted"))).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
-    return items.select("item_id").join(held, "item_id", "left")
+    return items.select("item_id").join(holders(items, docs).groupBy("item_id").agg(F.min("doc_id").alias("doc_id")), "item_id", "left")
 
 
 @BOOK.add("""SELECT a.doc_id, min(b.doc_id) AS duplicate_of FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id <> b.doc_id GROUP BY a.doc_id""")

@@ -12,7 +12,7 @@ BOOK = Book()
 #: Verbs of triples, most sentences of a chunk that become claims, words that signal a result.
 VERBS = "created|supports|uses|contains|requires|extends|includes|produces"
 MAX_CLAIMS = 4
-RESULT_SIGNAL = r"(?i)(result|show|achiev|improv|increase|decrease|accuracy|\d)"
+RESULT_SIGNAL = r"(?i)\b(achieved|achieves|outperform|outperformed|improve|improved|increase|increased|decrease|decreased|significant|accuracy|f1|auc|precision|recall|limitation|limited|conclude|conclusion|result|results)\b|[%=><±]"
 
 
 def keyword_search(docs: DataFrame, query: str, limit: int) -> DataFrame:
@@ -46,7 +46,7 @@ def rank_chunks(chunks: DataFrame, query: str, k: int) -> DataFrame:
 
 
 def claims(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Up to four claim sentences of each chunk, with type and confidence."""
+    """Up to four claim sentences of each chunk, with their type."""
     parts = F.filter(text.claim_sentences(F.col(text_col)), lambda s: F.length(s).between(24, 500) & s.rlike(RESULT_SIGNAL))
     rows = chunks.select(id_col, F.posexplode(F.slice(parts, 1, MAX_CLAIMS)).alias("pos", "claim"))
     return rows.select(id_col, F.col("pos").cast("long").alias("pos"), "claim", text.claim_type(F.col("claim")).alias("claim_type"))
@@ -198,7 +198,7 @@ def ret5_chunk_ranking(spark, sf_dir):
 
 
 @BOOK.add(r"""WITH s AS (SELECT doc_id, trim(regexp_replace(x, '\s+', ' ', 'g')) AS claim, i FROM (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '([.!?。！？])\s+', '\1␞', 'g'), '␞|\n+') AS l FROM documents))),
-f AS (SELECT doc_id, claim, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM s WHERE length(claim) BETWEEN 24 AND 500 AND regexp_matches(claim, '(?i)(result|show|achiev|improv|increase|decrease|accuracy|[0-9])'))
+f AS (SELECT doc_id, claim, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM s WHERE length(claim) BETWEEN 24 AND 500 AND regexp_matches(claim, '(?i)\b(achieved|achieves|outperform|outperformed|improve|improved|increase|increased|decrease|decreased|significant|accuracy|f1|auc|precision|recall|limitation|limited|conclude|conclusion|result|results)\b|[%=><±]'))
 SELECT doc_id, pos, claim, CASE WHEN regexp_matches(lower(claim), 'limitation|limited|fail|cannot') THEN 'limitation' WHEN regexp_matches(lower(claim), 'outperform|better than|compared|versus|vs\.') THEN 'comparison' WHEN regexp_matches(lower(claim), 'method|approach|framework|model') THEN 'method' WHEN regexp_matches(lower(claim), 'conclude|conclusion|therefore') THEN 'conclusion' ELSE 'result' END AS claim_type FROM f WHERE pos < 4""")
 def doc10_claims(spark, sf_dir):
     return claims(table(spark, sf_dir, "documents"), "doc_id", "text")

@@ -12,13 +12,6 @@ from docloom.functions import numbers, text
 from docloom.plans.book import Book, table
 
 BOOK = Book()
-#: Processing modes and the source types they allow, with the strategy chosen.
-MODES = [("auto", "en", "fast"), ("auto", "de", "layout"), ("auto", "fr", "layout"), ("auto", "es", "fast"), ("ocr", "de", "ocr")]
-#: Pixels of colours by name as rules of red, green and blue, first that holds.
-COLOURS = [
-    ("black", "r < 60 and g < 60 and b < 60"), ("white", "r > 220 and g > 220 and b > 220"), ("gray", "greatest(r, g, b) - least(r, g, b) < 25"), ("red", "r > g + 50 and r > b + 50"), ("green", "g > r + 30 and g > b + 30"),
-    ("blue", "b > r + 30 and b > g + 30"), ("orange", "r > 180 and g > 90 and b < 100"), ("purple", "r > 100 and b > 100 and g < 100"),
-]
 
 
 def first_rule(rules: list[tuple[str, str]], other: str) -> Column:
@@ -67,22 +60,6 @@ def words_to_lines(words: DataFrame) -> DataFrame:
     return rows.select("page", "block", "line", "x0", "y0", "x1", "y1", F.array_join(F.transform("w", lambda w: w["word"]), " ").alias("text"))
 
 
-def merge_patch(old: Column, patch: Column) -> Column:
-    """Shallow merge of two JSON objects of plain values: keys of the patch win; what is no object counts as empty."""
-    kind = "map<string,string>"
-    empty = F.create_map().cast(kind)
-    a, b = (F.coalesce(F.from_json(c, kind), empty) for c in (old, patch))
-    return F.to_json(F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b))
-
-
-@BOOK.add("""WITH m(mode, lang, strategy) AS (VALUES ('auto','en','fast'),('auto','de','layout'),('auto','fr','layout'),('auto','es','fast'),('ocr','de','ocr')), d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'ocr' ELSE 'auto' END AS mode, lang FROM documents)
-SELECT doc_id, coalesce(strategy, 'rejected') AS strategy FROM d LEFT JOIN m USING (mode, lang)""")
-def prj9_strategy(spark, sf_dir):
-    rules = spark.createDataFrame(MODES, "mode string, lang string, strategy string")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 4 == 0, "ocr").otherwise("auto").alias("mode"))
-    return rows.join(F.broadcast(rules), ["mode", "lang"], "left").select("doc_id", F.coalesce("strategy", F.lit("rejected")).alias("strategy"))
-
-
 @BOOK.add("""SELECT d.doc_id, coalesce(nullif(nullif(lang, 'en'), ''), source, 'none') AS name, CASE WHEN toxic = 1 THEN 'review' WHEN quality = 1 THEN 'ready' WHEN quality = 0 THEN 'parsed' ELSE 'waiting' END AS progress FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def prj2_task_view(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
@@ -96,11 +73,6 @@ def prj8_field_name(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.coalesce_blank(name, F.lit("unknown")).alias("field"), first_rule([("table", "p_size > 40"), ("figure", "p_size > 20")], "text").alias("kind"))
 
 
-@BOOK.add("""SELECT l_returnflag, l_linestatus, count(*) AS n, min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem GROUP BY ALL""")
-def prj11_routing(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
-
-
 @BOOK.add("""SELECT p_partkey, regexp_matches(lower(p_type), 'steel|brass') AND NOT regexp_matches(lower(p_name), 'red') AS valid FROM part""")
 def flt16_valid_results(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", (text.any_marker(F.col("p_type"), ["steel", "brass"]) & ~text.any_marker(F.col("p_name"), ["red"])).alias("valid"))
@@ -199,14 +171,6 @@ def math6_range_overlap(spark, sf_dir):
     return rows.select("a", "b", F.round(numbers.overlap_ratio(F.col("x"), F.col("x") + 500, F.col("y"), F.col("y") + 800), 6).alias("overlap"))
 
 
-@BOOK.add("""WITH p AS (SELECT p_partkey, p_size * 37 % 256 AS r, p_size * 91 % 256 AS g, p_size * 53 % 256 AS b FROM part)
-SELECT p_partkey, CASE WHEN r < 60 AND g < 60 AND b < 60 THEN 'black' WHEN r > 220 AND g > 220 AND b > 220 THEN 'white' WHEN greatest(r,g,b) - least(r,g,b) < 25 THEN 'gray' WHEN r > g + 50 AND r > b + 50 THEN 'red' WHEN g > r + 30 AND g > b + 30 THEN 'green'
-WHEN b > r + 30 AND b > g + 30 THEN 'blue' WHEN r > 180 AND g > 90 AND b < 100 THEN 'orange' WHEN r > 100 AND b > 100 AND g < 100 THEN 'purple' ELSE 'other' END AS colour FROM p""")
-def math11_colour(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size * 37 % 256 as r", "p_size * 91 % 256 as g", "p_size * 53 % 256 as b")
-    return rows.select("p_partkey", first_rule(COLOURS, "other").alias("colour"))
-
-
 @BOOK.add("""SELECT p_partkey, round(2 * sqrt(p_retailprice / pi()), 4) AS diameter, round(least(1, 4 * pi() * p_retailprice / (p_size * 4.0::DOUBLE + 100) ** 2), 4) AS circularity, round(greatest(0, 0.95::DOUBLE - 0.15::DOUBLE * (p_size % 4) - 0.05::DOUBLE * (p_size % 3)), 4) AS score FROM part""")
 def math16_shape(spark, sf_dir):
     area, around = F.col("p_retailprice"), F.col("p_size") * 4.0 + 100
@@ -252,11 +216,6 @@ def json1_tolerant(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", k.isNotNull().alias("has_key"), F.coalesce(k, F.lit(-1).cast("long")).alias("k"))
 
 
-@BOOK.add()
-def json5_merge_patch(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", merge_patch(F.col("props"), F.lit('{"seen": "yes"}')).alias("merged"))
-
-
 @BOOK.add("""SELECT conv_id, turn, CASE WHEN length(trim(text)) = 0 THEN 'New chat' ELSE substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 80) END AS title FROM conversations""".replace("\\\\", "\\"))
 def str31_session_title(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.coalesce_blank(text.summary(F.col("text"), 80), F.lit("New chat")).alias("title"))

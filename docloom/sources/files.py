@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text
@@ -19,7 +19,11 @@ MAGIC = [("255044462D", "pdf"), ("504B0304", "zip"), ("89504E470D0A1A0A", "png")
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, error) of whole text files: UTF-8, else Latin-1; blank files and ones with a zero byte are errors (Spark leaves out files without any byte)."""
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    return decoded(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def decoded(raw: DataFrame) -> DataFrame:
+    """(path, text, error) of files given as bytes (path, content)."""
     utf8 = F.expr("is_valid_utf8(cast(content AS string))")
     body = F.when(utf8, F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
     rows = raw.select("path", text.strip(body).alias("text"), F.hex("content").rlike("^(..)*00").alias("zero"))
@@ -39,7 +43,11 @@ def file_kind(content: Column) -> Column:
 
 def read_coordinates(spark: SparkSession, path: str) -> DataFrame:
     """(x, y, x_label, y_label, x_unit, y_unit, series): the first two columns that are no metadata, whatever their names."""
-    raw = spark.read.option("header", True).csv(path)
+    return coordinates(spark.read.option("header", True).csv(path))
+
+
+def coordinates(raw: DataFrame) -> DataFrame:
+    """The same from rows of text whose columns are named as in the file."""
     axes = [c for c in raw.columns if c not in META][:2]
     if len(axes) < 2:
         raise ValueError("a coordinate file needs an x and a y column")
@@ -67,15 +75,6 @@ def payload_records(rows: DataFrame, payload: str) -> DataFrame:
     return out.select(*rows.columns, "_r.property", "_r.value", F.coalesce("_r.unit", F.lit("")).alias("unit"), F.coalesce("_r.confidence", F.lit(0.5)).alias("confidence"))
 
 
-def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """File names without collisions: the second a.txt is a-1.txt."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    stem, end = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return rows.withColumn("_n", n).withColumn("unique_name", F.when(F.col("_n") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("-"), F.col("_n").cast("string"), end))).drop("_n")
-
-
 def write_csv(rows: DataFrame, path: str) -> None:
     """CSV with a header in every part; nulls are empty, numbers in short form, time stamps in ISO form."""
     kinds = dict(rows.dtypes)
@@ -97,13 +96,75 @@ def snk1_document_rows(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("collection"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("n_chars", F.lit(0).cast("long")).alias("n_chars"), F.substring("text", 1, 80).alias("title"))
 
 
-@BOOK.add("""SELECT c_custkey, CASE WHEN n = 0 THEN f ELSE regexp_extract(f, '^(.*)\\.', 1) || '-' || n || '.txt' END AS unique_name FROM (SELECT c_custkey, f, row_number() OVER (PARTITION BY f ORDER BY c_custkey) - 1 AS n FROM (SELECT c_custkey, c_mktsegment || '.txt' AS f FROM customer))""".replace("\\\\", "\\"))
-def snk12_unique_names(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_mktsegment", F.lit(".txt")).alias("f"))
-    return unique_names(rows, "f", "c_custkey").drop("f")
-
-
 @BOOK.add("""SELECT event_id, 'k' AS property, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS value, '' AS unit, 0.5::DOUBLE AS confidence FROM events""")
 def src12_payload_records(spark, sf_dir):
     payload = F.concat(F.lit('{"records": [{"property": "k", "value": "'), F.get_json_object("props", "$.k"), F.lit('"}]}'))
     return payload_records(table(spark, sf_dir, "events").select("event_id", payload.alias("p")), "p").drop("p")
+
+
+def markdown_member(names: DataFrame, by: str, name: str) -> DataFrame:
+    """(by, name): of the files of a parser's result the one to read: full.md, else auto/full.md, else the least deep, then shortest, then first."""
+    low = F.lower(name)
+    rank = F.when(low.endswith("full.md"), 0).otherwise(1)
+    deep = F.length(name) - F.length(F.replace(F.col(name), F.lit("/"), F.lit("")))
+    first = F.when(rank == 0, F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"), F.col("pos").cast("string").alias("d"))).otherwise(F.struct(F.lit(1).alias("a"), deep.alias("b"), F.length(name).alias("c"), F.col(name).alias("d")))
+    return names.groupBy(by).agg(F.min_by(name, first).alias(name))
+
+
+def listed_images(files: DataFrame, notes: DataFrame) -> DataFrame:
+    """(ordinal, path, place, kind, caption): image files in order of their path with what the parser's list says of each.
+
+    ``files``: path; ``notes``: img_path, pos, type, captions (array). A folder's list is small; it is numbered in one order.
+    """
+    own = files.where(F.lower("path").rlike(r"\.(png|jpe?g|webp|gif|bmp)$")).withColumn("ordinal", F.row_number().over(Window.orderBy("path")))
+    name = F.concat(F.lit("images/"), F.substring_index("path", "/", -1))
+    rows = own.join(notes, name == F.col("img_path"), "left")
+    return rows.select("ordinal", "path", F.coalesce("pos", "ordinal").alias("place"), F.coalesce("type", F.lit("")).alias("kind"), F.coalesce(F.array_join("captions", " "), F.lit("")).alias("caption"))
+
+
+@BOOK.add("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Größe ' || source WHEN 1 THEN 'Größe ' || source END AS text, CASE doc_id % 4 WHEN 2 THEN 'empty' WHEN 3 THEN 'binary' END AS error FROM documents""")
+def src2_text_files(spark, sf_dir):
+    """Bytes as text: UTF-8, else Latin-1; blank ones and ones with a zero byte are errors."""
+    said = F.concat(F.lit(" Größe "), "source", F.lit("\n"))
+    content = F.when(F.col("doc_id") % 4 == 0, F.encode(said, "UTF-8")).when(F.col("doc_id") % 4 == 1, F.encode(said, "ISO-8859-1")).when(F.col("doc_id") % 4 == 2, F.encode(F.lit(" \n"), "UTF-8")).otherwise(F.unhex(F.lit("4100")))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), content.alias("content"))
+    return decoded(rows).select(F.col("path").alias("doc_id"), "text", "error")
+
+
+@BOOK.add("""SELECT doc_id, ['pdf','zip','png','jpeg','webm','exe','webp','avi','mp4','text','unknown','empty'][doc_id % 12 + 1] AS kind FROM documents""")
+def src11_file_kinds(spark, sf_dir):
+    """Kinds of files by their first bytes."""
+    heads = ("255044462D312E", "504B030414", "89504E470D0A1A0A00", "FFD8FFE0", "1A45DFA3", "4D5A90", "524946460000000057454250", "524946460000000041564920", "00000018667479706D703432", "68656C6C6F0A", "68656C00", "")
+    content = F.unhex(F.element_at(F.array(*(F.lit(h) for h in heads)), (F.col("doc_id") % 12 + 1).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", content.alias("c")).select("doc_id", file_kind(F.col("c")).alias("kind"))
+
+
+@BOOK.add("""SELECT p_partkey % 30 AS result, CASE WHEN p_partkey % 30 % 3 = 0 THEN 'out/auto/FULL.md' WHEN p_partkey % 30 % 3 = 1 THEN 'a.md' ELSE 'b/c.md' END AS name FROM part GROUP BY 1, 2""")
+def src5_markdown_member(spark, sf_dir):
+    files = F.when(F.col("r") % 3 == 0, F.array(F.lit("a.md"), F.lit("out/auto/FULL.md"), F.lit("z/full.md"))).when(F.col("r") % 3 == 1, F.array(F.lit("x/y.md"), F.lit("bb.md"), F.lit("a.md"))).otherwise(F.array(F.lit("x/y/z.md"), F.lit("b/d.md"), F.lit("b/c.md")))
+    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 30).alias("r")).distinct().select(F.col("r").alias("result"), F.posexplode(files).alias("pos", "name"))
+    return markdown_member(rows, "result", "name")
+
+
+@BOOK.add("""SELECT p_size::DOUBLE AS x, p_retailprice AS y, 'Time' AS x_label, 'Stress' AS y_label, CASE WHEN p_size % 2 = 0 THEN 'min' ELSE 's' END AS x_unit, 'Pa' AS y_unit, p_brand AS series FROM part WHERE p_size % 7 <> 0""")
+def src7_coordinates(spark, sf_dir):
+    """Coordinate rows under headers that name the axes; a row's own unit goes before the header's, rows without numbers are dropped."""
+    x = F.when(F.col("p_size") % 7 == 0, "n/a").otherwise(F.col("p_size").cast("string"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("series_name"), x.alias("Time (s)"), F.when(F.col("p_size") % 2 == 0, "min").otherwise("").alias("x_unit"), F.col("p_retailprice").cast("string").alias("Stress (Pa)"))
+    return coordinates(rows)
+
+
+@BOOK.add("""SELECT unnest([0, 1, 2, 3, 4]) AS pos, unnest(['p_name', 'p_type', 'none', 'blank', 'p_partkey']) AS name""")
+def src8_filled_first(spark, sf_dir):
+    """The order of columns: those of the context that hold anything, then the empty ones, then all others."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit(None).cast("string").alias("none"), "p_name", F.lit("  ").alias("blank"), "p_type")
+    return spark.createDataFrame(list(enumerate(filled_first(rows, ["p_name", "none", "blank", "p_type"]).columns)), "pos int, name string")
+
+
+@BOOK.add("""WITH f AS (SELECT 'dir/i' || lpad(p_partkey::VARCHAR, 9, '0') || CASE WHEN p_size % 5 = 0 THEN '.txt' ELSE '.PNG' END AS path, p_partkey, p_size FROM part), o AS (SELECT *, CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS ordinal FROM f WHERE p_size % 5 <> 0)
+SELECT ordinal, path, CASE WHEN p_size % 2 = 0 THEN p_size ELSE ordinal END AS place, CASE WHEN p_size % 2 = 0 THEN 'chart' ELSE '' END AS kind, CASE WHEN p_size % 2 = 0 THEN 'Growth of ' || p_partkey ELSE '' END AS caption FROM o""")
+def src9_listed_images(spark, sf_dir):
+    name = F.concat(F.lit("i"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.when(F.col("p_size") % 5 == 0, ".txt").otherwise(".PNG"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", name.alias("n"))
+    notes = rows.where("p_size % 2 = 0").select(F.concat(F.lit("images/"), "n").alias("img_path"), F.col("p_size").alias("pos"), F.lit("chart").alias("type"), F.array(F.lit("Growth of"), F.col("p_partkey").cast("string")).alias("captions"))
+    return listed_images(rows.select(F.concat(F.lit("dir/"), "n").alias("path")), notes)

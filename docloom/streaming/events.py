@@ -35,10 +35,25 @@ def sessions(events: DataFrame, gap: str, late: str | None = None, ts: str = "ts
 
 def queue(spark: SparkSession, path: str, kinds: list[str], files_per_trigger: int = 100) -> DataFrame:
     """Messages of the wanted kinds from JSON lines in a folder; malformed and unknown ones are skipped."""
-    rows = spark.readStream.schema(QUEUE + ", _corrupt_record string").option("maxFilesPerTrigger", files_per_trigger).json(path)
+    return messages(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path), kinds)
+
+
+def messages(lines: DataFrame, kinds: list[str]) -> DataFrame:
+    """The messages of the wanted kinds in lines of JSON (value), of a stream or a batch."""
+    m = F.from_json("value", QUEUE + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = lines.select(m.alias("m")).select("m.*")
     return rows.where(F.col("_corrupt_record").isNull() & F.col("job_id").isNotNull() & F.col("task_type").isin(kinds)).drop("_corrupt_record")
 
 
+def requeued(items: DataFrame, as_of: str, seconds: int) -> DataFrame:
+    """Items after a restart: what was in work and has not moved for ``seconds`` waits again, once; the rest is as it was.
+
+    ``items``: job_id, state, touched, requeued (how often already).
+    """
+    stuck = (F.col("state") == "processing") & (F.col("requeued") < 1) & (F.unix_timestamp(F.lit(as_of)) - F.unix_timestamp(F.col("touched").cast("timestamp")) > seconds)
+    return items.withColumns({"state": F.when(stuck, "pending").otherwise(F.col("state")), "requeued": F.when(stuck, F.col("requeued") + 1).otherwise(F.col("requeued"))})
+
+
 def once_each(messages: DataFrame, key: str = "job_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Each job once within the watermark, so that a repeated submit starts nothing."""
     if messages.isStreaming:
@@ -96,3 +111,24 @@ def stm3_job_progress(spark, sf_dir):
 @BOOK.add("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts)) RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS recent FROM events QUALIFY recent > 2""")
 def stm5_over_rate(spark, sf_dir):
     return over_rate(_events(spark, sf_dir), 2, 86_400).select("event_id", "recent")
+
+
+_LINES = """CASE event_id % 6 WHEN 0 THEN '{broken' WHEN 1 THEN '{"task_type": "other", "job_id": "x"}' WHEN 2 THEN '{"task_type": "parse"}' ELSE concat('{"task_type": "', CASE WHEN event_id % 2 = 0 THEN 'parse' ELSE 'extract' END, '", "job_id": "j', event_id % 100, '", "ts": "2024-01-01T00:00:00Z"}') END"""
+
+
+@BOOK.add("""SELECT CASE WHEN event_id % 2 = 0 THEN 'parse' ELSE 'extract' END AS task_type, count(*) AS n FROM events WHERE event_id % 6 IN (3, 4, 5) GROUP BY 1""")
+def stm1_queue_messages(spark, sf_dir):
+    """Messages of the wanted kinds; broken ones, ones of other kinds and ones without a job are passed over (also SRC-10)."""
+    return messages(table(spark, sf_dir, "events").select(F.expr(_LINES).alias("value")), ["parse", "extract"]).groupBy("task_type").agg(F.count("*").alias("n"))
+
+
+@BOOK.add("""SELECT DISTINCT 'j' || event_id % 100 AS job_id FROM events WHERE event_id % 6 IN (3, 4, 5)""")
+def stm2_submitted_once(spark, sf_dir):
+    """Each job once, however often it was submitted."""
+    return once_each(messages(table(spark, sf_dir, "events").select(F.expr(_LINES).alias("value")), ["parse", "extract"])).select("job_id")
+
+
+@BOOK.add("""SELECT event_id, CASE WHEN event_type = 'click' AND event_id % 2 = 0 AND epoch(TIMESTAMP '2024-01-20') - epoch(date_trunc('second', ts)) > 600000 THEN 'pending' WHEN event_type = 'click' THEN 'processing' ELSE 'done' END AS state, CASE WHEN event_type = 'click' AND event_id % 2 = 0 AND epoch(TIMESTAMP '2024-01-20') - epoch(date_trunc('second', ts)) > 600000 THEN 1 ELSE event_id % 2 END AS requeued FROM events""")
+def stm4_requeue_once(spark, sf_dir):
+    items = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "click", "processing").otherwise("done").alias("state"), F.col("ts").alias("touched"), (F.col("event_id") % 2).alias("requeued"))
+    return requeued(items, "2024-01-20 00:00:00", 600_000).select("event_id", "state", "requeued")

@@ -49,7 +49,7 @@ def test_clean_pages(spark):
 
 def test_html():
     got = d.read_html('<html><head><title> A  b </title><meta name="Description" content="About it"><style>x{}</style></head><body><script>var t="</p>";</script><p>One <b>two</b></p><div>three &amp; four<br>five</div><svg>no</svg></body>')
-    assert got == ("A b", "About it", "One two\nthree & four\nfive")
+    assert got == ("A b", "About it", "A b One two three & four five")
     assert d.read_html(None) == ("", "", "")
 
 
@@ -80,3 +80,29 @@ def test_whole_tables(spark, tmp_path):
     assert {tuple(r) for r in retrieval.str9_paragraphs_all(spark, at).collect()} == {(1, "a b\n\nc c\n\nd"), (2, "one"), (3, ""), (5, "x")}
     assert {tuple(r) for r in relational.dml9_upsert_all(spark, at).collect()} == {(1, 1), (2, 0), (3, 1), (5, None), (7, 0)}
     assert {tuple(r) for r in relational.dml11_migrate_all(spark, at).collect()} == {(1, "queued"), (2, "succeeded"), (9, "running"), (3, "succeeded"), (7, "succeeded")}
+
+
+def test_names_that_meet(spark):
+    from docloom.operators import library
+
+    names = ["a.txt", "a.txt", "a-1.txt", "a.txt", "b", "b", "a-1.txt", "c.pdf"]
+    df = spark.createDataFrame([(i, n, "x") for i, n in enumerate(names)], "k long, f string, _x string")
+    used, want = set(), []
+    for n in names:
+        stem, dot, end = n.partition(".")
+        c, i = n, 1
+        while c in used:
+            c, i = f"{stem}-{i}{dot}{end}", i + 1
+        used.add(c)
+        want.append(c)
+    got = library.file_names(df, "f", "k")
+    assert [r.unique_name for r in got.orderBy("k").collect()] == want and got.columns == ["k", "f", "_x", "unique_name"]
+
+
+def test_holders_of_short_items(spark):
+    from docloom.operators import relational
+
+    docs = [(1, "foo barbaz qux and more"), (2, "nothing"), (3, "x foo bar y z"), (4, ""), (5, None)]
+    items = [(1, "foo bar"), (2, "nothing"), (3, "oo bar y z"), (4, ""), (5, "absent"), (6, "foo barbaz qux a"), (7, None)]
+    got = relational.holders(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == sorted((d, i) for d, t in docs for i, w in items if w and t and w in t)
