@@ -9,10 +9,12 @@ with after a count; only segments of repeated anchors move, and a shard holds wh
 window meet in one shard.
 
 Equal segments are one: all but the first go whole. Where an anchor has several different segments, their words go to
-the anchor's shard, which builds an FM-index of them (a suffix order, its BWT as a wavelet tree of packed bits) and
-streams them through it. From every end position the search goes backward one word at a time while the match still occurs
-twice; a matching statistic of ``width`` words reports a window, and the least position in its interval is its first
-occurrence. Anchors with very many different segments are cut into single windows and these are aggregated instead.
+the anchor's shard, which builds a compressed FM-index of them (the BWT as a wavelet tree of packed bits and every
+SAMPLE-th place of the suffix order) and streams them through it. From every end position the search goes backward one
+word at a time while the match still occurs twice, so it finds the matching statistic up to ``width`` words; where that is
+reached, the window is reported with the least position in its interval, found by walking back to sampled places. An
+anchor whose segments are more than a shard holds is cut into segments by anchors of longer grams, which go to shards of
+their own; the longest gram is a whole window, whose segments are all equal.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from .shared import cut, forget, text_batches
 WIDTH, ANCHOR = 20, 6
 #: Words of a document that are hashed at once, windows that are searched at once.
 BLOCK_WORDS, BLOCK_WINDOWS = 50_000, 200_000
-#: Words that a shard's index holds on average, and different segments up to which an anchor is indexed.
-SHARD_WORDS, HOT_SEGMENTS = 200_000, 200
+#: Words that a shard's index holds on average; an anchor with more is cut by the next of these grams (the last is a window).
+SHARD_WORDS, GRAMS = 200_000, (ANCHOR, 13, WIDTH)
+#: Every so many places of the suffix order are kept.
+SAMPLE = 8
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -112,40 +116,63 @@ class WaveletTree:
         """How often each symbol stands before each place of the sequence."""
         return self._down(symbols, at) - self.origin[symbols]
 
+    def look(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each place and how often it stands before."""
+        symbols = np.zeros(len(at), dtype=np.int64)
+        for bit, blocks, before, zeros in self.levels:
+            word, low = at >> 6, (at & 63).astype(np.uint64)
+            here = blocks[word]
+            ones = before[word] + np.bitwise_count(here & ((np.uint64(1) << low) - np.uint64(1)))
+            one = (here >> low & np.uint64(1)).astype(bool)
+            symbols |= one.astype(np.int64) << bit
+            at = np.where(one, zeros + ones, at - ones)
+        return symbols, at - self.origin[symbols]
 
-class FMIndex:
-    """Index of an integer text with symbols from 1; 0 separates parts. Suffixes are ordered by ``depth`` symbols.
 
-    That order is enough for patterns of up to ``depth`` symbols: a step of the backward search counts the suffixes before
-    an interval, and these are told apart from those in it by the pattern's own length.
-    """
+class FMIndex:
+    """Index of an integer text that ends with its only 0. Of the suffix order only every ``sample``-th place of the text is kept."""
 
-    def __init__(self, text: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray, sample: int = SAMPLE):
         n, rank = len(text), text.astype(np.int64)
-        size = 1
-        while size < depth:
+        size, kinds = 1, 0
+        while kinds < n:  # the last symbol is unique, so all suffixes differ in the end
             after = np.zeros(n, dtype=np.int64)
             after[: n - size] = rank[size:] + 1
-            _, rank = np.unique(rank * (n + 2 + int(text.max(initial=0))) + after, return_inverse=True)
-            size *= 2
-        self.places = np.argsort(rank, kind="stable")
+            found, rank = np.unique(rank * (n + 2 + int(text.max(initial=0))) + after, return_inverse=True)
+            size, kinds = 2 * size, len(found)
+        places = np.empty(n, dtype=np.int64)
+        places[rank] = np.arange(n)
         largest = int(text.max(initial=0))
         self.below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=largest + 1))])
-        self.tree = WaveletTree(text[self.places - 1].astype(np.int64), largest)
+        self.tree = WaveletTree(text[places - 1].astype(np.int64), largest)
+        self.marked = places % sample == 0
+        self.sampled = places[self.marked].astype(np.int32)
+        self.before = np.cumsum(self.marked, dtype=np.int32) - self.marked
 
     def back(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the patterns that have one more symbol in front."""
         base = self.below[symbols]
         return base + self.tree.rank(symbols, low), base + self.tree.rank(symbols, high)
 
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Places in the text of rows of the suffix order: steps back to the place before, until one is sampled."""
+        out, live, at, steps = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows)), rows, 0
+        while len(live):
+            hit = self.marked[at]
+            out[live[hit]] = self.sampled[self.before[at[hit]]] + steps
+            live, at = live[~hit], at[~hit]
+            symbols, n = self.tree.look(at)
+            at, steps = self.below[symbols] + n, steps + 1
+        return out
+
 
-def repeated_windows(parts: list[str], width: int = WIDTH) -> list[list[int]]:
-    """For each part, in order of first occurrence, the places of its windows that also start earlier."""
+def repeated_windows(parts: list[str], width: int = WIDTH) -> list[list[dict]]:
+    """For each part, in order of first occurrence, the runs of words in its windows that also start earlier."""
     words = [part.split(" ") for part in parts]
-    names = {name: i + 1 for i, name in enumerate(dict.fromkeys(w for part in words for w in part))}
-    text = np.array([0] + [s for part in words for s in [*map(names.__getitem__, part), 0]], dtype=np.int64)
+    names = {name: i + 2 for i, name in enumerate(dict.fromkeys(w for part in words for w in part))}
+    text = np.array([1, *(s for part in words for s in [*map(names.__getitem__, part), 1]), 0], dtype=np.int64)
     starts = np.cumsum([1, *(len(part) + 1 for part in words)])[:-1]
-    index = FMIndex(text, width)
+    index = FMIndex(text)
     ends = np.concatenate([np.arange(s + width - 1, s + len(part)) for s, part in zip(starts, words, strict=True)])
     first = ends - width + 1
     seen = np.zeros(len(ends), dtype=bool)
@@ -157,13 +184,19 @@ def repeated_windows(parts: list[str], width: int = WIDTH) -> list[list[int]]:
             more = high - low > 1
             live, low, high = live[more], low[more], high[more]
         if len(live):
-            where, group = np.unique(low, return_inverse=True)
-            order = np.argsort(low, kind="stable")
-            tops = high[order][np.concatenate([[0], np.cumsum(np.bincount(group))[:-1]])]
-            least = np.minimum.reduceat(np.append(index.places, len(text)), np.stack([where, tops], 1).ravel())[::2]
+            where, order, group = np.unique(low, return_index=True, return_inverse=True)
+            sizes = high[order] - where
+            begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            rows = np.repeat(where - begins, sizes) + np.arange(sizes.sum())
+            least = np.minimum.reduceat(index.locate(rows), begins)
             seen[live] = least[group] < first[live]
+    out = []
     bounds = np.cumsum([0, *(len(part) - width + 1 for part in words)])
-    return [np.flatnonzero(seen[a:b]).tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        hit = np.flatnonzero(seen[a:b])
+        cuts = np.flatnonzero(np.diff(hit) > width) + 1
+        out.append([{"off": int(run[0]), "length": int(run[-1] - run[0]) + width} for run in np.split(hit, cuts) if len(run)])
+    return out
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -204,34 +237,60 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     spelled = cut(spelled, "spelled")
     forget(some)
     forget(twice)
-    held = cut(spelled.groupBy("anchor", "same").agg(F.min(F.struct("id", "start")).alias("first"), F.max("n").alias("n"), F.first("part").alias("part")), "held")
-    occurrences = cut(spelled.drop("part"), "occurrences")
+    owned = spelled.select(F.col("id").alias("owner"), F.col("digest").alias("text"), "id", "start", "anchor", "same", "n", "part")
+    out = _settled(owned, width, 0).select(F.col("owner").alias("id"), F.col("text").alias("digest"), "start", "length")
+    out = cut(out, "repeats")
     forget(spelled)
+    return out
+
+
+def _settled(owned: DataFrame, width: int, level: int) -> DataFrame:
+    """(owner, text, start, length): runs to be removed of segments (owner, text, id, start, anchor, same, n, part).
+
+    ``owner`` and ``text`` name what a segment belongs to, ``id`` and ``start`` where it stands.
+    """
+    spark = owned.sparkSession
+    held = cut(owned.groupBy("anchor", "same").agg(F.min(F.struct("id", "start")).alias("first"), F.max("n").alias("n"), F.first("part").alias("part")), "held")
+    occurrences = cut(owned.drop("part"), "occurrences")
     kinds = cut(held.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + width).alias("size")).where("kinds > 1"), "kinds")
-    size = kinds.where(F.col("kinds") <= HOT_SEGMENTS).agg(F.sum("size")).first()[0] or 0
-    shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_WORDS))
+    last = level == len(GRAMS) - 1
+    small = F.lit(True) if last else F.col("size") <= SHARD_WORDS
+    size, large = kinds.agg(F.sum(F.when(small, F.col("size"))), F.count_if(~small)).first()
+    shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // SHARD_WORDS))
     mixed = held.join(kinds, "anchor")
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["id", "start"], kind="stable")
         return pd.DataFrame({"anchor": rows["anchor"], "same": rows["same"], "gone": repeated_windows(rows["part"].tolist(), width)})
 
-    cold = mixed.where(F.col("kinds") <= HOT_SEGMENTS).select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "same", "first.id", "first.start", "part")
-    cold = cold.groupBy("shard").applyInPandas(search, "anchor long, same binary, gone array<int>")
-
-    hot = mixed.where(F.col("kinds") > HOT_SEGMENTS).withColumn("w", F.split("part", " "))
-    hot = hot.select("anchor", "same", "first", F.posexplode(F.transform(F.sequence(F.lit(1), "n"), lambda i: F.sha2(F.array_join(F.slice("w", i, width), " ").cast("binary"), 256))).alias("off", "window"))
-    hot = cut(hot.select("anchor", "same", "off", "window", F.struct(F.col("first.id"), (F.col("first.start") + F.col("off")).alias("start")).alias("at")), "hot")
-    least = hot.groupBy("anchor", "window").agg(F.min("at").alias("least"))
-    hot = hot.join(least, ["anchor", "window"]).where(F.col("least") < F.col("at")).groupBy("anchor", "same").agg(F.collect_list("off").alias("gone"))
-
-    gone = cut(cold.where(F.size("gone") > 0).unionByName(hot), "gone")
+    cold = mixed.where(small).select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "same", "first.id", "first.start", "part")
+    gone = cold.groupBy("shard").applyInPandas(search, "anchor long, same binary, gone array<struct<off:int,length:int>>").where(F.size("gone") > 0)
+    if large:
+        gram = min(GRAMS[level + 1], width)
+
+        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for owner, text, key, start, part in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                    words = part.encode().split(b" ")
+                    for anchor, off, n in zip(*(c.tolist() for c in anchors(words, width, gram)), strict=True):
+                        own = b" ".join(words[off : off + n + width - 1])
+                        out.append((owner, text, key, start + off, anchor, xxhash.xxh3_128_digest(own), n, own.decode()))
+                kinds_ = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, kinds_, strict=True)], ["owner", "text", "id", "start", "anchor", "same", "n", "part"])
+
+        hot = mixed.where(~small).select(F.col("anchor").alias("owner"), F.col("same").alias("text"), "first.id", "first.start", "part")
+        hot = cut(hot.mapInArrow(again, "owner long, text binary, id long, start int, anchor long, same binary, n int, part string"), "hot")
+        runs = _settled(hot, width, level + 1).withColumnsRenamed({"owner": "anchor", "text": "same"}).join(held.select("anchor", "same", "first"), ["anchor", "same"])
+        runs = runs.groupBy("anchor", "same").agg(F.collect_set(F.struct((F.col("start") - F.col("first.start")).alias("off"), "length")).alias("gone"))
+        gone = gone.unionByName(runs)
+    gone = cut(gone, "gone")
     seen = held.select("anchor", "same", "first").join(gone, ["anchor", "same"], "left")
-    every = F.struct("id", "start") > F.col("first")
-    runs = occurrences.join(seen, ["anchor", "same"])
-    whole = runs.where(every).select("id", "digest", "start", (F.col("n") + width - 1).alias("length"))
-    single = runs.where(~every & F.col("gone").isNotNull()).select("id", "digest", F.explode(F.transform("gone", lambda i: F.col("start") + i)).alias("start"), F.lit(width).alias("length"))
-    return whole.unionByName(single)
+    later = F.struct("id", "start") > F.col("first")
+    rows = occurrences.join(seen, ["anchor", "same"])
+    whole = rows.where(later).select("owner", "text", "start", (F.col("n") + width - 1).alias("length"))
+    parts = rows.where(~later & F.col("gone").isNotNull()).select("owner", "text", "start", F.explode("gone").alias("g"))
+    return whole.unionByName(parts.select("owner", "text", (F.col("start") + F.col("g.off")).alias("start"), F.col("g.length").alias("length")))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
