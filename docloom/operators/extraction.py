@@ -69,10 +69,9 @@ def fuse(candidates: DataFrame) -> DataFrame:
     rows = candidates.where("status <> 'unsupported'").withColumn("_sign", signature(F.col("value"), F.col("unit")))
     keys = ["_entity", "_field"]
     rows = rows.withColumns({"_entity": F.lower(text.strip(F.col("entity"))), "_field": F.lower(text.strip(F.col("field")))})
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("_n"), (F.min("_sign") == F.max("_sign")).alias("_same"))
     best = F.struct(_rank("status", STATES, 0), F.col("confidence"), -_rank("source", SOURCES, 9), -F.col("seq"))
-    tops = rows.groupBy(*keys).agg(F.max_by("seq", best).alias("_top"))
-    rows = rows.join(groups, keys).join(tops, keys).where(~F.col("_same") | (F.col("seq") == F.col("_top")))
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("_n"), (F.min("_sign") == F.max("_sign")).alias("_same"), F.max_by("seq", best).alias("_top"))
+    rows = rows.join(groups, keys).where(~F.col("_same") | (F.col("seq") == F.col("_top")))
     single, merged = F.col("_n") == 1, F.col("_same")
     sure = F.when(single, F.col("confidence")).when(merged, F.least(F.lit(1.0), F.col("confidence") + 0.05)).otherwise(F.col("confidence") * 0.85)
     return rows.select(
