@@ -543,3 +543,10 @@ def arr12_line_boxes(spark, sf_dir):
     rows = table(spark, sf_dir, "part").selectExpr("p_brand AS fig", "CAST(p_size * 37 % 900 AS DOUBLE) AS y0", "CAST(p_size * 13 % 200 AS DOUBLE) AS x0").distinct()
     boxes = rows.groupBy("fig").agg(F.collect_list(F.struct("y0", "x0", (F.col("y0") + 10).alias("y1"), (F.col("x0") + 30).alias("x1"))).alias("boxes"))  # those of one page
     return boxes.select("fig", F.inline(line_boxes("boxes")))
+
+
+@BOOK.add(f"WITH {cte('p', POINTS)} SELECT family, count(*) AS n FROM p GROUP BY family")
+def udf5_families(spark, sf_dir):
+    """How many points each family's rules were applied to; every point gets a score within 0 and 1."""
+    scored = point_quality(derived.rows(spark, sf_dir, POINTS))
+    return scored.where("sure between 0 and 1").groupBy("family").agg(F.count("*").alias("n"))

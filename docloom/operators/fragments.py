@@ -274,3 +274,27 @@ def win11_repeated_edges(spark, sf_dir):
     page = F.concat(F.lit("Journal of Tests "), F.col("turn").cast("string"), F.lit("\nrow "), F.md5(F.concat_ws("/", "conv_id", "turn")), F.lit("\nbody of it\nand "), F.md5(F.concat_ws(":", "turn", "conv_id")), F.lit("\nFoot"))
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), page.alias("text"))
     return documents.repeated_edges(rows)
+
+
+@BOOK.add("""SELECT event_id, ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY AS recent FROM events""")
+def dt2_recent(spark, sf_dir):
+    """Within the seven days before the last event."""
+    events = table(spark, sf_dir, "events")
+    rows = events.crossJoin(F.broadcast(events.agg(F.max("ts").alias("now"))))
+    return rows.select("event_id", (F.col("ts") >= F.col("now") - F.expr("INTERVAL 7 DAYS")).alias("recent"))
+
+
+@BOOK.add("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS shown FROM orders""")
+def dt7_output(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("shown"))
+
+
+@BOOK.add("""SELECT doc_id, array_to_string(list_slice(string_split(text, ' '), 1, 5), ' ') AS head FROM documents""")
+def arr9_prefix(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("head"))
+
+
+@BOOK.add("""SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || ',"seen":true}' AS metadata FROM events""")
+def dml10_metadata_update(spark, sf_dir):
+    """A key added to the metadata of every row; what was there stays as it was."""
+    return table(spark, sf_dir, "events").select("event_id", merged(F.col("props"), F.lit('{"seen": true}')).alias("metadata"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -458,3 +459,54 @@ def srt7_asset_order(spark, sf_dir):
     """Assets by page, rank of their source and label, and the first 40 of them."""
     rank = F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(s) for s in SOURCE_ORDER)), F.coalesce(F.get_json_object("metadata", "$.source"), F.lit(""))), F.lit(0)) - 1, F.lit(9))
     return derived.rows(spark, sf_dir, ASSETS).orderBy(F.coalesce("page", F.lit(0)), rank, F.lower(F.regexp_replace("label", r"\s+", "")), "id").limit(40).select("id")
+
+
+def embedded(rows: DataFrame, embed, column: str = "text", out: str = "embedding", batch: int = 16) -> DataFrame:
+    """``rows`` with the vectors that ``embed`` gives for texts (a list of texts to a list of vectors), ``batch`` texts at a time.
+
+    The provider is a plain function that is sent to the tasks; rows reach it in Arrow batches.
+    """
+
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        values = texts.fillna("").tolist()
+        return pd.Series([list(map(float, v)) for at in range(0, len(values), batch) for v in embed(values[at : at + batch])])
+
+    return rows.withColumn(out, run(F.col(column)))
+
+
+def whole_text_slots(texts: list[str], dim: int = 32) -> list[list[float]]:
+    """One-hot vectors by the first byte of the SHA-256 of the whole text."""
+    import hashlib
+
+    out = []
+    for value in texts:
+        vector = [0.0] * dim
+        if value.strip():
+            vector[hashlib.sha256(value.encode()).digest()[0] % dim] = 1.0
+        out.append(vector)
+    return out
+
+
+@BOOK.add("""SELECT item_id, CAST(('0x' || substr(sha256(text), 1, 2))::BIGINT % 32 AS INTEGER) AS slot, 1.0::DOUBLE AS length FROM benchmark""")
+def udf1_embedding_provider(spark, sf_dir):
+    """Vectors by a provider that is handed in, sixteen texts at a time."""
+    rows = embedded(table(spark, sf_dir, "benchmark"), whole_text_slots)
+    return rows.select("item_id", (F.array_position("embedding", F.lit(1.0)) - 1).cast("int").alias("slot"), F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("length"))
+
+
+@BOOK.add(r"""SELECT doc_id, i AS pos FROM (SELECT doc_id, source, unnest(range(len(l))) AS i, unnest(l) AS x FROM (SELECT doc_id, source, regexp_split_to_array(regexp_replace(text, '([.!?。！？])\s+', '\1␞', 'g'), '␞|\n+') AS l FROM documents))
+WHERE length(trim(regexp_replace(x, '\s+', ' ', 'g'))) BETWEEN 24 AND 500 AND (source = 'src1' OR regexp_matches(trim(regexp_replace(x, '\s+', ' ', 'g')), '(?i)\b(achieved|achieves|outperform|outperformed|improve|improved|increase|increased|decrease|decreased|significant|accuracy|f1|auc|precision|recall|limitation|limited|conclude|conclusion|result|results)\b|[%=><±]'))""")
+def flt21_claim_sentences(spark, sf_dir):
+    """Sentences that may be claims: of 24 to 500 characters, in a section of results or with a signal of one."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("source") == "src1").alias("r"), F.posexplode(text.claim_sentences(F.coalesce("text", F.lit("")))).alias("pos", "s"))
+    return rows.where(F.length("s").between(24, 500) & (F.col("r") | F.col("s").rlike(RESULT_SIGNAL))).select("doc_id", F.col("pos").cast("long").alias("pos"))
+
+
+@BOOK.add("""SELECT vec_id, label FROM (SELECT vec_id, label, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), (SELECT list_transform(embedding, lambda x: x::DOUBLE) FROM embeddings WHERE vec_id = 11)) AS s FROM embeddings) ORDER BY round(s, 2) DESC, label DESC, vec_id LIMIT 30""")
+def srt6_vector_order(spark, sf_dir):
+    """By score, then the newer, then the chunk's place; the first 30."""
+    vectors = table(spark, sf_dir, "embeddings")
+    query = vectors.where("vec_id = 11").select(F.col("embedding").alias("q"))
+    scored = vectors.crossJoin(F.broadcast(query)).select("vec_id", "label", numbers.cosine(F.col("embedding"), F.col("q")).alias("s"))
+    return scored.orderBy(F.desc(F.round("s", 2)), F.desc("label"), "vec_id").limit(30).select("vec_id", "label")

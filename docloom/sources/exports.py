@@ -244,3 +244,11 @@ SELECT l.file, l.pos, l.line FROM l JOIN h ON l.file = h.file JOIN f ON h.header
 def snk11_combined_lines(spark, sf_dir):
     line = F.when(F.col("turn") == 0, F.concat("role", (F.col("conv_id") % 3).cast("string"))).otherwise(F.col("text"))
     return combined_lines(table(spark, sf_dir, "conversations").select(F.lpad(F.col("conv_id").cast("string"), 8, "0").alias("file"), F.col("turn").alias("pos"), line.alias("line")))
+
+
+@BOOK.add("""SELECT event_id, s.panel, s.series, s.x, s.y FROM (SELECT event_id, unnest([{'panel': 'A', 'series': 's' || event_id % 3, 'x': (event_id % 50)::DOUBLE, 'y': (event_id % 7)::DOUBLE}, {'panel': 'A', 'series': 't', 'x': 1::DOUBLE, 'y': 2.5::DOUBLE}]) AS s FROM events)""")
+def arr4_flattened_panels(spark, sf_dir):
+    """Panels, their series and their points, one row a point with two numbers."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.from_json(F.expr(_CHART), SERIES).alias("c")).select("event_id", F.explode("c.panels").alias("p"))
+    rows = rows.select("event_id", "p.panel", F.explode("p.series").alias("s")).select("event_id", "panel", F.col("s.name").alias("series"), F.explode("s.points").alias("q"))
+    return rows.where("q.x is not null and q.y is not null").select("event_id", "panel", "series", "q.x", "q.y")

@@ -132,3 +132,11 @@ def stm2_submitted_once(spark, sf_dir):
 def stm4_requeue_once(spark, sf_dir):
     items = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "click", "processing").otherwise("done").alias("state"), F.col("ts").alias("touched"), (F.col("event_id") % 2).alias("requeued"))
     return requeued(items, "2024-01-20 00:00:00", 600_000).select("event_id", "state", "requeued")
+
+
+@BOOK.add("""SELECT event_id, 'j' || event_id % 100 AS job_id FROM events WHERE event_id % 6 IN (3, 5)""")
+def src10_consumed(spark, sf_dir):
+    """What a consumer of one kind takes from the queue, in the order of the messages."""
+    lines = table(spark, sf_dir, "events").select("event_id", F.expr(_LINES).alias("value"))
+    m = F.from_json("value", QUEUE)
+    return lines.select("event_id", m.alias("m")).where("m.task_type = 'extract' and m.job_id is not null").select("event_id", "m.job_id")
