@@ -13,7 +13,7 @@ from docloom.operators import documents, evidence
 from docloom.operators.fragments import markdown_cells, note_pieces
 from docloom.operators.retrieval import vector_search
 from docloom.plans import derived
-from docloom.plans.book import Book, table
+from docloom.plans.book import Book, sent, table
 from docloom.plans.derived import ASSETS, ITEMS, TABLES, cte
 
 BOOK = Book()
@@ -436,10 +436,10 @@ def agg16_audit_six_keys(spark, sf_dir):
 @BOOK.add("""SELECT doc_id, t AS tag FROM documents, (SELECT DISTINCT c_mktsegment AS t FROM customer) WHERE NOT (lang = 'fr' AND t = 'BUILDING')""")
 def join21_documents_with_tags(spark, sf_dir):
     """Each document with each tag of a small table, but for links that exist."""
-    tags = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("tag")).distinct().limit(100)  # a table of tags is small by its nature
+    tags = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("tag")).distinct()
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang")
     docs, held = rows.select("doc_id"), rows.where("lang = 'fr'").select("doc_id", F.lit("BUILDING").alias("tag"))
-    return docs.crossJoin(F.broadcast(tags)).join(held, ["doc_id", "tag"], "left_anti")
+    return docs.crossJoin(sent(tags)).join(held, ["doc_id", "tag"], "left_anti")
 
 
 @BOOK.add(r"""WITH d AS (SELECT doc_id, text, instr(lower(text), 'license') AS p, length(regexp_replace(lower(text), '\s+', '', 'g')) AS n, length(replace(regexp_replace(lower(text), '\s+', '', 'g'), 'license', '')) AS m FROM documents) SELECT doc_id, CAST((n - m) / 7 AS BIGINT) AS refs, CASE WHEN p > 0 THEN regexp_replace(substr(text, greatest(1, p - 200), least(length(text), p + 406) - greatest(1, p - 200) + 1), '^\s+|\s+$', '', 'g') ELSE '' END AS near FROM d""")

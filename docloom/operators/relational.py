@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.plans.book import Book, table
+from docloom.plans.book import Book, sent, table
 
 BOOK = Book()
 
@@ -180,11 +180,12 @@ def holders(items: DataFrame, docs: DataFrame, item: str = "item_id", doc: str =
     words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
     own = items.select(item, F.col(text).alias("wanted"), words.alias("w"))
     inner = own.where(F.size("w") > 2).select(item, "wanted", F.explode(F.array_distinct(F.expr("slice(w, 2, size(w) - 2)"))).alias("key"))
-    known = F.broadcast(inner.select("key").distinct())  # words of the items, which are the stated query set
+    known = sent(inner.select("key").distinct())
     seen = docs.select(doc, F.explode(F.array_distinct(words)).alias("key")).join(known, "key", "left_semi")
     counts = seen.groupBy("key").count()
     rarest = inner.join(counts, "key").groupBy(item, "wanted").agg(F.min_by("key", F.struct("count", "key")).alias("key"))
     near = seen.join(rarest, "key").select(doc, item, "wanted").join(docs.select(doc, text), doc)
+    # One row with the items of one or two words: a stated query set against all texts.
     short = own.where((F.size("w") <= 2) & (F.col("wanted") != "")).agg(F.collect_list(F.struct(item, "wanted")).alias("all"))
     direct = docs.crossJoin(F.broadcast(short)).select(doc, F.explode(F.filter("all", lambda x: F.contains(F.col(text), x["wanted"]))).alias("x")).select(doc, f"x.{item}")
     return near.where(F.contains(text, F.col("wanted"))).select(doc, item).unionByName(direct)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,3 +30,9 @@ class Book:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of the library."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sent(rows: DataFrame, most: int = 8_000_000) -> DataFrame:
+    """``rows`` to be sent to every task if they hold at most ``most`` bytes as text; else as they are, to be joined by shuffle."""
+    size = rows.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in rows.columns), F.lit(16)))).first()[0] or 0
+    return F.broadcast(rows) if size <= most else rows
