@@ -26,6 +26,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .shared import components, cut
 
 THRESHOLD, AXES, BLOCK_ROWS, LEAF_ROWS = 0.98, 6, 1_000, 128
+#: Leading axes by whose cells pairs of blocks are found; a unit vector has at most 2 / epsilon + 1 cells on each.
+CELL_AXES = 2
 
 
 def _usable(vector: str) -> str:
@@ -133,13 +135,16 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, block_rows: int = BL
     rows = cut(_blocks(rows.withColumn("eps", F.lit(eps)), block_rows), "blocks")
 
     bounds = rows.groupBy("label", "block").agg(*(f(F.col("axes")[i]).alias(f"{n}{i}") for i in range(AXES) for n, f in (("low", F.min), ("high", F.max))), F.count("*").alias("rows"))
-    cells = F.sequence(F.floor(F.col("low0") / eps), F.floor(F.col("high0") / eps) + 1)
-    left = bounds.select("*", F.explode(cells).alias("cell"))
-    right = left.toDF(*(c if c in ("label", "cell") else f"r_{c}" for c in left.columns))
+    # Boxes no further apart than eps on an axis share a cell of it, as each reaches one cell beyond its end.
+    left, shared = bounds, ["label"]
+    for i in range(CELL_AXES):
+        left = left.withColumn(f"cell{i}", F.explode(F.sequence(F.floor(F.col(f"low{i}") / eps), F.floor((F.col(f"high{i}") + 1e-9) / eps) + 1)))
+        shared.append(f"cell{i}")
+    right = left.toDF(*(c if c in shared else f"r_{c}" for c in left.columns))
     close = F.col("block") <= F.col("r_block")
     for i in range(AXES):
         close = close & (F.col(f"low{i}") - F.col(f"r_high{i}") <= eps + 1e-9) & (F.col(f"r_low{i}") - F.col(f"high{i}") <= eps + 1e-9)
-    pairs = left.join(right, ["label", "cell"]).where(close).select("block", "r_block").distinct()
+    pairs = left.join(right, shared).where(close).select("block", "r_block").distinct()
     pairs = cut(pairs.select(F.concat_ws("|", "block", "r_block").alias("pair"), "block", "r_block"), "pairs")
     sides = pairs.select("pair", "block", F.lit(True).alias("one")).union(pairs.where("block <> r_block").select("pair", "r_block", F.lit(False)))
 
