@@ -285,11 +285,11 @@ def _settled(owned: DataFrame, width: int, level: int) -> DataFrame:
         runs = runs.groupBy("anchor", "same").agg(F.collect_set(F.struct((F.col("start") - F.col("first.start")).alias("off"), "length")).alias("gone"))
         gone = gone.unionByName(runs)
     gone = cut(gone, "gone")
-    seen = held.select("anchor", "same", "first").join(gone, ["anchor", "same"], "left")
-    later = F.struct("id", "start") > F.col("first")
-    rows = occurrences.join(seen, ["anchor", "same"])
-    whole = rows.where(later).select("owner", "text", "start", (F.col("n") + width - 1).alias("length"))
-    parts = rows.where(~later & F.col("gone").isNotNull()).select("owner", "text", "start", F.explode("gone").alias("g"))
+    # Joined by place as well: segments that very many documents share are dealt by document and not by the segment.
+    first = held.select("anchor", "same", "first.id", "first.start", F.lit(True).alias("is_first")).join(gone, ["anchor", "same"], "left")
+    rows = occurrences.join(first, ["anchor", "same", "id", "start"], "left")
+    whole = rows.where(F.col("is_first").isNull()).select("owner", "text", "start", (F.col("n") + width - 1).alias("length"))
+    parts = rows.where(F.col("gone").isNotNull()).select("owner", "text", "start", F.explode("gone").alias("g"))
     return whole.unionByName(parts.select("owner", "text", (F.col("start") + F.col("g.off")).alias("start"), F.col("g.length").alias("length")))
 
 
