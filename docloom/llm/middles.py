@@ -1,13 +1,13 @@
 """Operator 13, fill-in-middle transformation by relational units.
 
 A text is a sequence of units (runs of letters and single other characters). Two cut requests a document name the unit
-ordinals at which its prefix and its middle end. Units are rows: matches are exploded with their positions, a window over
-each document numbers them and sums up their lengths, the requests are joined by ordinal, and what they meet is aggregated
-to two character offsets a document, at which ``substring`` takes the text apart.
+ordinals at which its prefix and its middle end. Matches are exploded with their positions, window sums number them and
+add up their lengths, requests are joined by ordinal, and what they meet is aggregated to two character offsets a document,
+at which ``substring`` takes the text apart. This is done on two levels: first on pieces of whole units, over all of the
+text, then on the units of the pieces that a request falls into, so no array and no window is longer than a piece's units.
 
-Texts are shuffled once: all that follows (units, requests, offsets, texts) is keyed by one digest of id and text and
-stays in its partition. Texts that stay as they are (empty, with a sentinel, or left plain by chance) never move. A text is
-first taken apart into pieces that end at a unit's end, so no array of matches is longer than a piece.
+Texts are shuffled once: all that follows (pieces, requests, offsets, texts) is keyed by one digest of id and text and
+stays in its partition. Texts that stay as they are (empty, with a sentinel, or left plain by chance) never move.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 UNIT, PREFIX, SUFFIX, MIDDLE = "[A-Za-z]+|[^A-Za-z]", "<P>", "<S>", "<M>"
 PLAIN_SHARE, SPM_SHARE = 10, 20
 #: Characters of a piece before it is carried on to the end of its last unit.
-PIECE_CHARS = 4_096
+PIECE_CHARS = 256
 PIECE = f"(?s).{{1,{PIECE_CHARS}}}[A-Za-z]*"
 
 
@@ -45,16 +45,31 @@ def requests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     )
 
 
-def units(texts: DataFrame) -> DataFrame:
-    """(key, ordinal, chars) of ``texts`` (key, text): the units of each text, numbered from 1, with the characters up to their ends."""
-    pieces = texts.select("key", F.posexplode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))).alias("piece", "part"))
-    matches = pieces.select("key", "piece", F.posexplode(F.regexp_extract_all("part", F.lit(UNIT), F.lit(0))).alias("at", "unit"))
-    lengths = matches.select("key", "piece", "at", F.length("unit").alias("chars"))
-    ahead = Window.partitionBy("key").orderBy("piece", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lengths.select("key", F.row_number().over(ahead).cast("long").alias("ordinal"), F.sum("chars").over(ahead).alias("chars"))
+def pieces(texts: DataFrame) -> DataFrame:
+    """(key, part, units, units_before, chars_before) of ``texts`` (key, text): runs of whole units with the sums of all before them."""
+    parts = texts.select("key", F.posexplode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))).alias("piece", "part"))
+    parts = parts.withColumn("units", F.length(F.regexp_replace("part", "[A-Za-z]+", "a")).cast("long"))
+    ahead = Window.partitionBy("key").orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = {"units_before": F.sum("units").over(ahead) - F.col("units"), "chars_before": F.sum(F.length("part")).over(ahead) - F.length("part")}
+    return parts.withColumns(sums).select("key", "part", "units", *sums)
 
 
-def _output(cut_one: Column, cut_two: Column) -> Column:
+def offsets(texts: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(key, cut, chars): for each of ``cuts`` (key, cut, ordinal) the characters of ``texts`` (key, text) up to the end of that unit.
+
+    The piece that holds a cut is found by the sums over all pieces, its units by the running sums within it. Both joins
+    are merge joins: their sides are in place, and Spark's guess of an exploded side's size is far too low to broadcast it.
+    """
+    held = (F.col("ordinal") > F.col("units_before")) & (F.col("ordinal") <= F.col("units_before") + F.col("units"))
+    met = pieces(texts).join(cuts.hint("merge"), "key").where(held)
+    met = met.select("key", "cut", (F.col("ordinal") - F.col("units_before")).alias("wanted"), "chars_before", F.posexplode(F.regexp_extract_all("part", F.lit(UNIT), F.lit(0))).alias("at", "unit"))
+    lengths = met.select("key", "cut", "wanted", "chars_before", "at", F.length("unit").alias("chars"))
+    ahead = Window.partitionBy("key", "cut").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = lengths.select("key", "cut", "wanted", F.row_number().over(ahead).alias("ordinal"), (F.col("chars_before") + F.sum("chars").over(ahead)).alias("chars"))
+    return sums.where("ordinal = wanted").select("key", "cut", "chars")
+
+
+def _output() -> Column:
     prefix, suffix = F.expr("substring(text, 1, cast(cut_one as int))"), F.expr("substring(text, cast(cut_two as int) + 1)")
     middle = F.expr("substring(text, cast(cut_one as int) + 1, cast(cut_two - cut_one as int))")
     psm = F.concat(F.lit(PREFIX), prefix, F.lit(SUFFIX), suffix, F.lit(MIDDLE), middle)
@@ -67,7 +82,7 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null texts count as empty ones and stay plain, as do texts that hold a sentinel. Rows with null or repeated ids are
     separate rows: draws depend on the id alone (null: the empty string), equal rows give equal rows. An empty table gives
-    no rows. Very long texts are exploded in pieces of about ``PIECE_CHARS`` characters; one run of letters longer than
+    no rows. Very long texts become many pieces of about ``PIECE_CHARS`` characters; a run of letters longer than
     that is one unit of one piece. Other columns, whatever their names, are ignored.
     """
     rows = requests(docs, id_col, text_col, **options)
@@ -80,21 +95,19 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = F.any_value(F.struct("id", "text", "n", "form", "first", "second")).alias("doc")
     texts = moved.groupBy(key.alias("key")).agg(whole, F.count("*").alias("copies"))
     # Both readers of ``texts`` use the same columns (there are no rows without copies), so Spark shuffles the texts once.
-    read = units(texts.where("copies > 0").select("key", "doc.text"))
+    read = texts.where("copies > 0").select("key", "doc.text")
     asked = texts.select("key", "copies", "doc.*").where("copies > 0")
-    # Merge joins: both sides are in place, and Spark's guess of the exploded side's size is far too low to broadcast it.
-    met = read.join(asked.select("key", "first", "second").hint("merge"), "key").where("ordinal = first or ordinal = second")
-    offsets = met.groupBy("key").agg(
-        F.max(F.when(F.col("ordinal") == F.col("first"), F.col("chars"))).alias("cut_one"), F.max(F.when(F.col("ordinal") == F.col("second"), F.col("chars"))).alias("cut_two")
-    )
+    both = F.explode(F.array(*(F.struct(F.lit(c).alias("cut"), F.col(c).alias("ordinal")) for c in ("first", "second"))))
+    found = offsets(read, asked.select("key", both.alias("request")).select("key", "request.*"))
+    ends = found.groupBy("key").agg(*(F.max(F.when(F.col("cut") == c, F.col("chars"))).alias(name) for c, name in (("first", "cut_one"), ("second", "cut_two"))))
     # A cut before the first unit meets none and is at offset 0.
-    placed = asked.join(offsets.hint("merge"), "key", "left").na.fill(0, ["cut_one", "cut_two"])
+    placed = asked.join(ends.hint("merge"), "key", "left").na.fill(0, ["cut_one", "cut_two"])
     placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     columns = ["id", "text", "n", "form", "cut_one", "cut_two"]
     out = placed.select(*columns).union(plain.select(*columns))
     return out.select(
         F.col("id").alias(id_col), "n", "form", F.col("cut_one").alias("prefix_chars"), (F.col("cut_two") - F.col("cut_one")).alias("middle_chars"),
-        _output(F.col("cut_one"), F.col("cut_two")).alias("output"),
+        _output().alias("output"),
     )
 
 
