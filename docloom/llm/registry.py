@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, embeddings, licenses, middles, secrets, sharding, simhash, substrings, toxicity, warc
+from . import bpe, decontamination, embeddings, licenses, middles, neighbours, secrets, sharding, simhash, spellings, substrings, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (sharding, bpe, licenses, warc, secrets, toxicity, simhash, substrings, embeddings, decontamination, middles):
+for module in (sharding, bpe, licenses, warc, secrets, toxicity, simhash, substrings, embeddings, decontamination, neighbours, spellings, middles):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
