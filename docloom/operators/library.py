@@ -166,16 +166,6 @@ def caption_blocks(labels: DataFrame, blocks: DataFrame) -> DataFrame:
     return best.groupBy("doc", "page", "label").agg(F.max_by("block", F.struct("_score", -F.col("block"))).alias("block"))
 
 
-def structured_table(rows: str, caption: Column) -> Column:
-    """Whether rows of cells (array of arrays) are a table and not a run of text: two rows and columns, steady widths, few long fragments, numbers or a caption."""
-    widths = f"transform({rows}, r -> size(filter(r, c -> trim(c) <> '')))"
-    cells = f"filter(flatten({rows}), c -> trim(c) <> '')"
-    steady = F.expr(f"size({rows}) >= 2 and array_max({widths}) >= 2 and size(filter({widths}, w -> abs(w - array_max({widths})) <= 1)) * 2 >= size({rows})")
-    long_ = F.expr(f"size(filter({cells}, c -> length(c) > 80)) * 3 > size({cells})")
-    numeric = F.expr(f"size(filter({cells}, c -> c rlike '[0-9]')) * 5 >= size({cells})")
-    return steady & ~long_ & (numeric | F.coalesce(caption.rlike(r"(?i)^\s*table\s*\d+"), F.lit(False)))
-
-
 def outbox(paths: DataFrame, kept: DataFrame) -> DataFrame:
     """(path): files to be removed with deleted rows: each once, none that is an address or that a row that stays still uses."""
     return paths.where("path is not null and path <> '' and source_type <> 'bookmark'").select("path").distinct().join(kept.select("path"), "path", "left_anti")
@@ -341,15 +331,6 @@ def join25_caption_blocks(spark, sf_dir):
     return caption_blocks(labels, blocks)
 
 
-@BOOK.add("""SELECT p_partkey AS id, p_size % 4 = 0 OR p_size % 4 = 3 AS accepted FROM part""")
-def flt19_structured_tables(spark, sf_dir):
-    cells = lambda *rows: F.array(*(F.array(*(F.lit(c) if isinstance(c, str) else c for c in r)) for r in rows))
-    size = F.col("p_size").cast("string")
-    rows = F.when(F.col("p_size") % 4 == 0, cells(("Name", "Size"), (F.col("p_name"), size))).when(F.col("p_size") % 4 == 1, cells(("only one row", "1"),)).when(F.col("p_size") % 4 == 2, cells((F.repeat(F.lit("x"), 90), F.repeat(F.lit("y"), 90)), ("a 1", ""))).otherwise(cells(("Name", "Kind"), ("a", "b"), ("c", "d")))
-    held = table(spark, sf_dir, "part").select("p_partkey", "p_size", rows.alias("r"))
-    return held.select(F.col("p_partkey").alias("id"), structured_table("r", F.when(F.col("p_size") % 4 == 3, "Table 2 kinds")).alias("accepted"))
-
-
 @BOOK.add(f"""WITH {cte('a', ASSETS)}, p AS (SELECT doc_id, 'doc/' || doc_id // 3 AS path, CASE WHEN source = 'src0' THEN 'bookmark' ELSE 'pdf' END AS source_type, lang = 'fr' AS deleted FROM documents), g AS (SELECT path, source_type FROM p WHERE deleted UNION ALL SELECT file_path, 'pdf' FROM a WHERE doc_id IN (SELECT doc_id FROM p WHERE deleted)), k AS (SELECT path FROM p WHERE NOT deleted)
 SELECT DISTINCT path FROM g WHERE coalesce(path, '') <> '' AND source_type <> 'bookmark' AND path NOT IN (SELECT path FROM k)""")
 def dml6_hard_delete_outbox(spark, sf_dir):

@@ -74,17 +74,6 @@ def image_assets(found: DataFrame) -> DataFrame:
     return first.select("doc_id", "path", kind.alias("evidence_type"), cascade(said, CHART_WORDS, "unknown").alias("chart_type"))
 
 
-def table_candidates(rows: DataFrame, most: int = 12) -> DataFrame:
-    """(doc_id, label, first, n_lines): blocks of page lines that begin with a table's label, of up to ``most`` lines, to the next label or empty line."""
-    own = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.when(F.col("s").rlike(LABEL), F.col("line"))
-    marked = rows.withColumn("first", F.last(start, ignorenulls=True).over(own)).where("first is not null")
-    blank = F.max(F.when(F.trim("s") == "", 1).otherwise(0)).over(Window.partitionBy("doc_id", "first").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    kept = marked.withColumn("gap", blank).where((F.col("gap") == 0) & (F.col("line") - F.col("first") < most))
-    blocks = kept.groupBy("doc_id", "first").agg(F.min_by("s", "line").alias("s"), F.count("*").alias("n_lines"))
-    return blocks.where(F.col("s").rlike(r"(?i)^\s*table")).select("doc_id", F.regexp_extract("s", LABEL, 1).alias("label"), "first", "n_lines")
-
-
 def caption_bindings(figures: DataFrame, bodies: DataFrame) -> DataFrame:
     """(fig, label, panels, refs, near): what a document's text says of each of its figures.
 
@@ -145,12 +134,6 @@ def doc14_image_assets(spark, sf_dir):
     return image_assets(images(_markdown(spark, sf_dir)))
 
 
-@BOOK.add("""SELECT doc_id, 'Table 1' AS label, 0 AS first, 12::BIGINT AS n_lines FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'Table 2', 2, 3 FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT doc_id, 'Table 4', 5, 2 FROM documents WHERE doc_id % 2 = 1""")
-def doc15_table_candidates(spark, sf_dir):
-    page = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Table 1 long"), F.repeat(F.lit("\n1 2 3"), 20))).otherwise("text\n\nTable 2 Sizes\na 1\nb 2\nTable 4. More\nc 3\n\nd 4\nFigure 3 x\ny")
-    return table_candidates(lines(table(spark, sf_dir, "documents").select("doc_id", page.alias("text"))))
-
-
 @BOOK.add(f"""WITH {cte('a', ASSETS)}, b AS (SELECT doc_id, 'See Figure 3 and fig. 3, then Figure  12 of ' || source AS t FROM documents), f AS (SELECT id AS fig, doc_id, CASE WHEN id % 2 = 0 THEN 'Figure 3' ELSE 'Figure 12' END AS label, id % 3 = 0 AS p FROM a)
 SELECT fig, label, CASE WHEN p THEN 'AB' ELSE '' END AS panels, CASE WHEN label = 'Figure 3' THEN 2 ELSE 1 END::BIGINT AS refs, CASE WHEN label = 'Figure 3' THEN t ELSE '' END AS near FROM f JOIN b USING (doc_id)""")
 def doc16_caption_bindings(spark, sf_dir):

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from docloom.operators import aggregates, charts, documents, evidence, extraction, fragments, library, property_run, relational, retrieval, shaping, structure, views
+from docloom.operators import aggregates, charts, documents, evidence, extraction, fragments, library, page_tables, property_run, relational, retrieval, shaping, structure, views
 from docloom.sources import exports, files
 from docloom.streaming import events
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (aggregates, relational, retrieval, documents, extraction, shaping, views, files, events, evidence, charts, exports, fragments, property_run, library, structure):
+for module in (aggregates, relational, retrieval, documents, extraction, shaping, views, files, events, evidence, charts, exports, fragments, property_run, library, structure, page_tables):
     QUERIES |= module.BOOK.queries
     ORACLE_SQL |= module.BOOK.sql
