@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from docloom.operators import aggregates, charts, documents, evidence, extraction, fragments, library, page_tables, plan_evidence, property_run, relational, retrieval, shaping, structure, views
 from docloom.sources import exports, files
-from docloom.streaming import events
+from docloom.streaming import events, keyed
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (aggregates, relational, retrieval, documents, extraction, shaping, views, files, events, evidence, charts, exports, fragments, property_run, library, structure, page_tables, plan_evidence):
+for module in (aggregates, relational, retrieval, documents, extraction, shaping, views, files, events, keyed, evidence, charts, exports, fragments, property_run, library, structure, page_tables, plan_evidence):
     QUERIES |= module.BOOK.queries
     ORACLE_SQL |= module.BOOK.sql
