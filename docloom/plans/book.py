@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,3 +37,13 @@ def sent(rows: DataFrame, most: int = 8_000_000) -> DataFrame:
     """``rows`` to be sent to every task if they hold at most ``most`` bytes as text; else as they are, to be joined by shuffle."""
     size = rows.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in rows.columns), F.lit(16)))).first()[0] or 0
     return F.broadcast(rows) if size <= most else rows
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder in the one that the driver and all executors share; only local sessions may do without the setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "/tmp/checkpoints"
+    return f"{folder.rstrip('/')}/docloom-scratch-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"

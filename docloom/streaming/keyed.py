@@ -7,7 +7,6 @@ that come after them, so what they put out does not depend on where batches end
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from docloom.plans.book import Book, table
+from docloom.plans.book import Book, scratch, table
 from docloom.streaming.events import drain
 
 BOOK = Book()
@@ -219,16 +218,6 @@ def rocks(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder in the one that the driver and all executors share; only local sessions may do without the setting."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "/tmp/checkpoints"
-    return f"{folder.rstrip('/')}/docloom-streams-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-
-
 def replayed(rows: DataFrame, work: Callable[[DataFrame], DataFrame], label: str, slices: int = 3) -> DataFrame:
     """What ``work`` puts out for ``rows`` as a stream: files of ``slices`` spans of ``ts`` come one after the other, and the stream
     is stopped and restarted from its checkpoint before each of them."""
