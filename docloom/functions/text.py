@@ -36,9 +36,13 @@ def collapse(text: Column) -> Column:
 
 def estimate_tokens(text: Column) -> Column:
     """Latin words, half the CJK characters and a quarter of all others, rounded up; 0 for empty texts, else at least 1."""
-    latin = F.size(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_./:-]+"), F.lit(0)))
-    cjk = F.length(F.regexp_replace(text, f"[^{CJK}]", ""))
-    other = F.length(F.regexp_replace(text, rf"(?U)[\sA-Za-z0-9_./:\-{CJK}]", ""))
+    # One pass over the whole text leaves a sign for each word; all else is counted on what is left.
+    short = F.regexp_replace(text, "[A-Za-z0-9_./:-]+", "a")
+    rest = F.replace(short, F.lit("a"), F.lit(""))
+    latin = F.length(short) - F.length(rest)
+    signs = F.regexp_replace(rest, r"(?U)\s+", "")
+    cjk = F.length(F.regexp_replace(signs, f"[^{CJK}]+", ""))
+    other = F.length(signs) - cjk
     whole = lambda c, d: F.floor(c / d)
     total = latin + whole(cjk + 1, 2) + whole(other + 3, 4)
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).otherwise(F.greatest(F.lit(1), total)).cast("long")

@@ -12,7 +12,7 @@ from docloom.functions import text
 from docloom.operators.extraction import chart_issues, chart_verdict
 from docloom.plans import derived
 from docloom.plans.book import Book, table
-from docloom.plans.derived import POINTS, cte
+from docloom.plans.derived import ITEMS, POINTS, cte
 
 BOOK = Book()
 #: Superscripts and their digits, and letters in axis labels that are spelled otherwise.
@@ -319,10 +319,14 @@ def panel_labels(caption: Column) -> Column:
 
 
 # --- queries ---
-@BOOK.add(f"SELECT unnest({[c[0] for c in CONTRACTS]}) AS chart_type, unnest({[c[3] for c in CONTRACTS]}) AS x_scale, CAST(unnest({[len(c[9]) for c in CONTRACTS]}) AS INTEGER) AS n_constraints, CAST(unnest({[15 + len(c[10]) if c[0] != 'table_image' else 0 for c in CONTRACTS]}) AS INTEGER) AS n_columns")
+@BOOK.add(f"""WITH {cte('i', ITEMS)}, k AS (SELECT unnest({[c[0] for c in CONTRACTS]}) AS kind, unnest({[c[3] for c in CONTRACTS]}) AS x_scale, unnest({[len(c[9]) for c in CONTRACTS]}) AS n_constraints, unnest({[15 + len(c[10]) if c[0] != 'table_image' else 0 for c in CONTRACTS]}) AS n_columns)
+SELECT i.id, k.kind AS chart_type, x_scale, CAST(n_constraints AS INTEGER) AS n_constraints, CAST(n_columns AS INTEGER) AS n_columns FROM i JOIN k ON k.kind = CASE WHEN lower(trim(image_type)) IN (SELECT kind FROM k) THEN lower(trim(image_type)) ELSE 'generic_coordinate_plot' END""")
 def udf4_chart_contracts(spark, sf_dir):
-    """The contracts with the number of their columns: fifteen that all have and their own; pictures of tables have none."""
-    return contracts(spark).select("chart_type", "x_scale", F.size("constraints").alias("n_constraints"), F.when(F.col("chart_type") == "table_image", 0).otherwise(F.size("columns") + 15).alias("n_columns"))
+    """The contract of each item by its image type, with the number of its columns: fifteen that all have and their own; pictures of tables have none."""
+    known = contracts(spark).select("chart_type", "x_scale", F.size("constraints").alias("n_constraints"), F.when(F.col("chart_type") == "table_image", 0).otherwise(F.size("columns") + 15).alias("n_columns"))
+    kind = F.lower(F.trim("image_type"))
+    rows = derived.rows(spark, sf_dir, ITEMS).select("id", F.when(kind.isin([c[0] for c in CONTRACTS]), kind).otherwise("generic_coordinate_plot").alias("chart_type"))
+    return rows.join(F.broadcast(known), "chart_type").select("id", "chart_type", "x_scale", "n_constraints", "n_columns")  # a table of fixed size
 
 
 _CANDIDATES = """SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'viscosity' WHEN 1 THEN 'yield' ELSE 'free' END AS field, CASE p_size % 4 WHEN 0 THEN 'Pa' WHEN 1 THEN 'mPa' WHEN 2 THEN '' ELSE NULL END AS unit,

@@ -138,15 +138,6 @@ def _candidates(rows):
                        F.floor(F.col("l_quantity") / 20).cast("string").alias("value"), F.lit("mm").alias("unit"), source.alias("source"), status.alias("status"), (F.lit(1.0) - F.col("l_discount")).alias("confidence"))
 
 
-@BOOK.add("""WITH c AS (SELECT 'E' || l_partkey AS entity, l_linestatus AS field, CAST(CAST(floor(l_quantity / 20) AS BIGINT) AS VARCHAR) AS value, CASE WHEN l_tax < 0.02 THEN 'unsupported' WHEN l_tax < 0.05 THEN 'insufficient' ELSE 'sufficient' END AS status FROM lineitem WHERE l_partkey % 7 = 0),
-v AS (SELECT * FROM c WHERE status <> 'unsupported'), g AS (SELECT entity, field, count(*) AS n, count(DISTINCT value) AS k FROM v GROUP BY ALL)
-SELECT entity, field, CASE WHEN n = 1 THEN 'single_candidate' WHEN k = 1 THEN 'rule_merge_consistent' ELSE 'contradicting_evidence' END AS decision, CAST(CASE WHEN k = 1 THEN 1 ELSE n END AS BIGINT) AS rows FROM g""")
-def ext9_fusion_decisions(spark, sf_dir):
-    """Decisions on the parts that the SQL names; those on all parts are in ext9_fusion_decisions_all."""
-    rows = table(spark, sf_dir, "lineitem").where("l_partkey % 7 = 0")
-    return fuse(_candidates(rows)).groupBy("entity", "field", "decision").agg(F.count("*").alias("rows"))
-
-
 @BOOK.add("""WITH c AS (SELECT 'E' || l_partkey AS entity, l_linestatus AS field, CAST(CAST(floor(l_quantity / 20) AS BIGINT) AS VARCHAR) AS value, CASE WHEN l_tax < 0.02 THEN 'unsupported' WHEN l_tax < 0.05 THEN 'insufficient' ELSE 'sufficient' END AS status FROM lineitem),
 v AS (SELECT * FROM c WHERE status <> 'unsupported'), g AS (SELECT entity, field, count(*) AS n, count(DISTINCT value) AS k FROM v GROUP BY ALL)
 SELECT entity, field, CASE WHEN n = 1 THEN 'single_candidate' WHEN k = 1 THEN 'rule_merge_consistent' ELSE 'contradicting_evidence' END AS decision, CAST(CASE WHEN k = 1 THEN 1 ELSE n END AS BIGINT) AS rows FROM g""")

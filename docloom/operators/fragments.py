@@ -249,9 +249,9 @@ def hsh4_random_ids(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.uuid().alias("id")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
 
 
-@BOOK.add("""SELECT lower(text) AS claim, source_type, source_id, min(k) AS first FROM (SELECT substr(text, 1, 3) AS text, role AS source_type, conv_id % 7 AS source_id, conv_id * 1000 + turn AS k FROM conversations) GROUP BY ALL""")
+@BOOK.add("""SELECT lower(text) AS claim, source_type, source_id, min(k) AS first FROM (SELECT text, role AS source_type, conv_id % 7 AS source_id, conv_id * 1000 + turn AS k FROM conversations) GROUP BY ALL""")
 def set8_claim_dedup(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select(F.lower(F.substring("text", 1, 3)).alias("claim"), F.col("role").alias("source_type"), (F.col("conv_id") % 7).alias("source_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("k"))
+    rows = table(spark, sf_dir, "conversations").select(F.lower("text").alias("claim"), F.col("role").alias("source_type"), (F.col("conv_id") % 7).alias("source_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("k"))
     return rows.groupBy("claim", "source_type", "source_id").agg(F.min("k").alias("first"))
 
 

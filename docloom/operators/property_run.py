@@ -80,6 +80,14 @@ def mappings(payloads: DataFrame, payload: str, requested: Column, by: str) -> D
     return kept.unionByName(missing).select(by, "key", "m.*")
 
 
+def fallback_plans(queries: DataFrame, by: str, query: str = "query") -> DataFrame:
+    """(by, pos, indicator, keywords, priority): a plan for each part of a query, the query itself where it has none; none for blank ones."""
+    whole = text.strip(F.coalesce(query, F.lit("")))
+    names = F.filter(F.transform(F.split(whole, r"[,;/，；、\n]+", -1), text.strip), lambda n: n != "")
+    rows = queries.where(whole != "").select(by, F.posexplode(F.when(F.size(names) > 0, names).otherwise(F.array(whole))).alias("pos", "indicator"))
+    return rows.select(by, "pos", "indicator", keywords(F.col("indicator")).alias("keywords"), F.lit("high").alias("priority"))
+
+
 def plans(rows: DataFrame) -> DataFrame:
     """What is to be found for each mapping: keywords, units, whether it is required and whether it depends on a figure.
 
@@ -350,3 +358,13 @@ def udf3_constraints(spark, sf_dir):
     """Constraints given as text become conditions by a fixed grammar; other text never holds."""
     v = F.col("p_size")
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (~constraint("value > 0", v - 20)).alias("fails"), (~constraint("0 <= value < 30", v)).alias("beyond"), (~constraint("__import__('os')", v)).alias("wrong"))
+
+
+@BOOK.add(r"""WITH q AS (SELECT item_id, trim(CASE WHEN item_id % 7 = 0 THEN ' ,; ' ELSE text END, E' \n\t\r') AS q FROM benchmark), n AS (SELECT item_id, q, list_filter(list_transform(string_split_regex(q, '[,;/，；、\n]+'), lambda x: trim(x, E' \n\t\r')), lambda x: x <> '') AS names FROM q WHERE q <> ''),
+o AS (SELECT item_id, CASE WHEN len(names) > 0 THEN names ELSE [q] END AS names FROM n), e AS (SELECT item_id, unnest(names) AS indicator, unnest(range(len(names))) AS pos FROM o)
+SELECT item_id, CAST(pos AS INTEGER) AS pos, indicator, array_to_string(list_filter(string_split(regexp_replace(lower(indicator), '[^\p{L}\p{M}\p{N}_%·°^\\-]+', ' ', 'g'), ' '), lambda w: w <> '' AND length(w) <= 40), ' ') AS keywords, 'high' AS priority FROM e""")
+def ext1_fallback_plan(spark, sf_dir):
+    """Each item's text as a query that no model has classified: its parts are the names to look for."""
+    query = F.when(F.col("item_id") % 7 == 0, " ,; ").otherwise(F.col("text"))
+    rows = fallback_plans(table(spark, sf_dir, "benchmark").select("item_id", query.alias("query")), "item_id")
+    return rows.withColumn("keywords", F.array_join("keywords", " "))

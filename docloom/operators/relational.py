@@ -349,13 +349,6 @@ def dml7_rename(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("source") == "src1", "renamed").when(F.col("source") == "src2", F.lit(None)).otherwise(F.col("source")).alias("collection"))
 
 
-@BOOK.add("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(b.quality, a.quality) AS quality FROM (SELECT * FROM labels WHERE doc_id % 2 = 0) a FULL JOIN (SELECT * FROM labels WHERE doc_id % 3 = 0) b ON a.doc_id = b.doc_id""")
-def dml9_upsert(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels")
-    old, new = labels.where("doc_id % 2 = 0").select("doc_id", F.col("quality").alias("old")), labels.where("doc_id % 3 = 0").select("doc_id", F.col("quality").alias("new"))
-    return old.join(new, "doc_id", "full").select("doc_id", F.coalesce("new", "old").alias("quality"))
-
-
 @BOOK.add("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(b.quality, a.quality) AS quality FROM labels a FULL JOIN (SELECT doc_id, CASE WHEN n_chars >= 1000 THEN 1 WHEN n_chars < 200 THEN 0 END AS quality FROM documents) b ON a.doc_id = b.doc_id""")
 def dml9_upsert_all(spark, sf_dir):
     """All labels, merged with a quality by length of all documents; a length that says nothing leaves the label as it is."""
@@ -371,13 +364,6 @@ def _migrated(orders, labels):
     return first.unionByName(second)
 
 
-@BOOK.add("""SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'queued' ELSE 'running' END AS status FROM orders WHERE o_orderkey % 2 = 0
-UNION ALL SELECT doc_id, 'succeeded' FROM labels WHERE doc_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)""")
-def dml11_migrate(spark, sf_dir):
-    """The orders that the SQL names; dml11_migrate_all takes all."""
-    return _migrated(table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0"), table(spark, sf_dir, "labels"))
-
-
 @BOOK.add("""SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'queued' ELSE 'running' END AS status FROM orders
 UNION ALL SELECT doc_id, 'succeeded' FROM labels WHERE doc_id NOT IN (SELECT o_orderkey FROM orders)""")
 def dml11_migrate_all(spark, sf_dir):

@@ -111,11 +111,6 @@ def str7_collection_name(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("_", F.lit("document"), F.col("doc_id").cast("string"), F.substring(F.sha2("text", 256), 1, 12)).alias("collection"))
 
 
-@BOOK.add(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\s*\n\s*', ' ', 'g'), '[ \t]+', ' ', 'g'), E' \n\t\r') AS cleaned FROM documents WHERE NOT regexp_matches(text, '\n\s*\n')""")
-def str9_paragraphs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"\n\s*\n")).select("doc_id", text.paragraphs(F.col("text")).alias("cleaned"))
-
-
 @BOOK.add(r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda p: trim(regexp_replace(regexp_replace(p, '\s*\n\s*', ' ', 'g'), '[ \t]+', ' ', 'g'), E' \n\t\r')), lambda p: p <> ''), E'\n\n') AS cleaned FROM documents""")
 def str9_paragraphs_all(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.paragraphs(F.col("text")).alias("cleaned"))

@@ -183,12 +183,6 @@ def _unpivoted(rows, words):
     return rows.select("conv_id", "turn", F.col("i").cast("long").alias("i"), (F.col("i") % 3).cast("long").alias("j"), "cell")
 
 
-@BOOK.add("""SELECT conv_id, turn, i, j, cell FROM (SELECT conv_id, turn, unnest(range(len(w))) AS i, i % 3 AS j, unnest(w) AS cell FROM (SELECT conv_id, turn, list_slice(string_split(text, ' '), 1, 6) AS w FROM conversations)) WHERE cell <> ''""")
-def arr11_unpivot(spark, sf_dir):
-    """The cells that the SQL names, of the first six words; those of whole texts are in arr11_unpivot_all."""
-    return _unpivoted(table(spark, sf_dir, "conversations"), F.slice(F.split("text", " "), 1, 6))
-
-
 @BOOK.add("""SELECT conv_id, turn, i, j, cell FROM (SELECT conv_id, turn, unnest(range(len(w))) AS i, i % 3 AS j, unnest(w) AS cell FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)) WHERE cell <> ''""")
 def arr11_unpivot_all(spark, sf_dir):
     return _unpivoted(table(spark, sf_dir, "conversations"), F.split("text", " "))
@@ -232,12 +226,6 @@ def str28_phrases(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("phrase"))
 
 
-@BOOK.add("""SELECT DISTINCT lower(trim(x)) AS keyword FROM (SELECT unnest(string_split_regex('Viscosity, shear rate;yield/stress  modulus', '[,;/\\s]+')) AS x) WHERE trim(x) <> ''""".replace("\\\\", "\\"))
-def ext1_fallback_plan(spark, sf_dir):
-    query = F.lit("Viscosity, shear rate;yield/stress  modulus")
-    return spark.range(1).select(F.explode(F.split(query, r"[,;/，；\s]+")).alias("x")).where(F.trim("x") != "").select(F.lower(F.trim("x")).alias("keyword")).distinct()
-
-
 @BOOK.add("""SELECT p_brand, max(CASE WHEN p_size > 45 THEN 1 ELSE 0 END) = 0 AS needs_figure, arg_max(p_partkey, (p_size, p_partkey)) AS best FROM part GROUP BY p_brand""")
 def ext8_escalation(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_brand").agg((~F.bool_or(F.col("p_size") > 45)).alias("needs_figure"), F.max_by("p_partkey", F.struct("p_size", "p_partkey")).alias("best"))

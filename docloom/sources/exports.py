@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -223,15 +225,16 @@ def snk8_property_rows(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("entity"), F.col("p_type").alias("property_name"), number_text(F.col("p_retailprice") * 1.25).alias("value_numeric"), shown(F.when(F.col("p_size") % 2 != 0, "Pa")).alias("value_unit"), number_text(F.col("p_size") % 4 / F.lit(4.0)).alias("confidence"))
 
 
-@BOOK.add(f"""WITH {cte('p', POINTS)} SELECT id, family, array_to_string(CASE family WHEN 'data_chart' THEN [fig::VARCHAR, series, x_unit, y_unit, x_label, y_label, x_axis_type] WHEN 'microscopy' THEN [fig::VARCHAR, channel, object_class, object_count::VARCHAR] WHEN 'protein_assay' THEN [fig::VARCHAR, target_protein, loading_control] ELSE [fig::VARCHAR, series, qualitative, description] END, '|') AS line FROM p""")
+_WRITTEN = list(dict.fromkeys(c for columns in FAMILIES.values() for c in columns))
+_OF = {c: [f for f, columns in FAMILIES.items() if c in columns] for c in _WRITTEN}
+
+
+@BOOK.add(f"""WITH {cte('p', POINTS)}, k AS (SELECT *, CASE WHEN family IN ('data_chart', 'microscopy', 'protein_assay') THEN family ELSE 'other' END AS kind FROM p)
+SELECT id, fig, family, confidence, {', '.join(f"CASE WHEN kind IN ({', '.join(map(repr, _OF[c]))}) THEN {c} END AS {c}" for c in _WRITTEN)} FROM k""")
 def snk9_family_rows(spark, sf_dir):
-    """Points of each family with its own columns, here joined to one text; numbers with fractions are left out of it."""
-    points, out = derived.rows(spark, sf_dir, POINTS), None
-    for name, columns in FAMILIES.items():
-        own = [c for c in columns if c not in ("x", "y", "diameter", "pixel_size", "band_intensity", "molecular_weight")]
-        rows = family_rows(points, name).select("id", "family", F.concat_ws("|", F.col("fig").cast("string"), *(F.col(c).cast("string") for c in own)).alias("line"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Points of each family with its own columns, numbers included, in one table: columns of other families are null."""
+    points = derived.rows(spark, sf_dir, POINTS)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (family_rows(points, name) for name in FAMILIES))
 
 
 @BOOK.add(f"""WITH {cte('p', POINTS)} SELECT id, coalesce(nullif(target_protein, ''), nullif(object_class, ''), nullif(series, ''), 'visual_evidence') AS field_name, coalesce(nullif(qualitative, ''), nullif(description, ''), '') AS content, confidence, 'asset' AS source_type, CASE WHEN confidence >= 0.5 THEN 'success' ELSE 'partial' END AS parse_status, substr(description, 1, 200) AS caption FROM p""")

@@ -62,10 +62,17 @@ def coordinates(raw: DataFrame) -> DataFrame:
     return rows.where("x is not null and y is not null")
 
 
+def column_order(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(pos, name) of all columns: those of ``columns`` that hold anything but blanks, then the empty ones, then all others. One aggregate."""
+    filled = {c: F.coalesce(F.bool_or(F.trim(F.col(c).cast("string")) != ""), F.lit(False)) for c in columns}
+    named = [*columns, *(c for c in rows.columns if c not in columns)]
+    places = F.array(*(F.struct((~F.col(c)).cast("int").alias("empty") if c in filled else F.lit(2).alias("empty"), F.lit(i).alias("i"), F.lit(c).alias("name")) for i, c in enumerate(named)))
+    return rows.agg(*(f.alias(c) for c, f in filled.items())).select(F.posexplode(F.transform(F.array_sort(places), lambda p: p["name"])).alias("pos", "name"))
+
+
 def filled_first(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` with those of the columns first that hold anything but blanks, by one pass over all of them."""
-    has = rows.agg(*(F.coalesce(F.bool_or(F.trim(F.col(c).cast("string")) != ""), F.lit(False)).alias(c) for c in columns)).first()
-    return rows.select(*[c for c in columns if has[c]], *[c for c in columns if not has[c]], *[c for c in rows.columns if c not in columns])
+    """``rows`` with their columns in the order of ``column_order``; only the names of columns come to the driver."""
+    return rows.select(*(r["name"] for r in column_order(rows, columns).orderBy("pos").collect()))
 
 
 def payload_records(rows: DataFrame, payload: str) -> DataFrame:
@@ -154,11 +161,13 @@ def src7_coordinates(spark, sf_dir):
     return coordinates(rows)
 
 
-@BOOK.add("""SELECT unnest([0, 1, 2, 3, 4]) AS pos, unnest(['p_name', 'p_type', 'none', 'blank', 'p_partkey']) AS name""")
+@BOOK.add("""WITH f AS (SELECT count(*) FILTER (trim(p_name) <> '') > 0 AS a, count(*) FILTER (p_size > 100) > 0 AS b, false AS c, count(*) FILTER (trim(p_type) <> '') > 0 AS d FROM part),
+l AS (SELECT unnest([{'e': CASE WHEN a THEN 0 ELSE 1 END, 'i': 0, 'n': 'p_name'}, {'e': CASE WHEN b THEN 0 ELSE 1 END, 'i': 1, 'n': 'huge'}, {'e': CASE WHEN c THEN 0 ELSE 1 END, 'i': 2, 'n': 'blank'}, {'e': CASE WHEN d THEN 0 ELSE 1 END, 'i': 3, 'n': 'p_type'}, {'e': 2, 'i': 4, 'n': 'p_partkey'}]) AS x FROM f)
+SELECT CAST(row_number() OVER (ORDER BY x.e, x.i) - 1 AS INTEGER) AS pos, x.n AS name FROM l""")
 def src8_filled_first(spark, sf_dir):
-    """The order of columns: those of the context that hold anything, then the empty ones, then all others."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit(None).cast("string").alias("none"), "p_name", F.lit("  ").alias("blank"), "p_type")
-    return spark.createDataFrame(list(enumerate(filled_first(rows, ["p_name", "none", "blank", "p_type"]).columns)), "pos int, name string")
+    """The order of columns: those of the context that hold anything in any row, then the empty ones, then all others."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") > 100, F.col("p_brand")).alias("huge"), "p_name", F.lit("  ").alias("blank"), "p_type")
+    return column_order(rows, ["p_name", "huge", "blank", "p_type"])
 
 
 @BOOK.add("""WITH f AS (SELECT 'dir/i' || lpad(p_partkey::VARCHAR, 9, '0') || CASE WHEN p_size % 5 = 0 THEN '.txt' ELSE '.PNG' END AS path, p_partkey, p_size FROM part), o AS (SELECT *, CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS ordinal FROM f WHERE p_size % 5 <> 0)
