@@ -54,7 +54,8 @@ def brute(rows, n_shards, seed=42):
         key = hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()
         raw = (text or "").encode()
         strata["" if source is None else "=" + source].append((key, i is not None, i or 0, zlib.crc32(raw), len(raw) + 16))
-    merged = sorted(((2 * k + 1) / (2 * len(own)), name, row) for name, own in strata.items() for k, row in enumerate(sorted(own)))
+    phase = {name: int(hashlib.md5(f"{seed}/{name}".encode()).hexdigest()[:8], 16) / 16**8 for name in strata}
+    merged = sorted(((k + phase[name]) / len(own), name, row) for name, own in strata.items() for k, row in enumerate(sorted(own)))
     n, out = len(merged), []
     for place, (_, _, (_, known, i, crc, _)) in enumerate(merged):
         shard = place * n_shards // n
@@ -76,3 +77,12 @@ def test_documents(spark):
     rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     out = sharding.op1_interleave(spark, "/root/testdata/sf0.01").collect()
     assert sorted(((r.doc_id, r.text_crc32, r.shard, r.slot) for r in out), key=str) == brute(rows, 40)
+
+
+def test_strata_of_one_row_share_no_span(spark):
+    """20,000 strata of one row: no span holds many more rows than a bucket, and every shard gets its part of them."""
+    rows = [(i, "t", f"host {i}", "x") for i in range(20_000)]
+    ranked, n = sharding.fractions(spark.createDataFrame(rows, SCHEMA).repartition(4), "source", 42, "doc_id", "text")
+    assert n == 20_000
+    assert ranked.groupBy("span").count().agg({"count": "max"}).first()[0] < 1.5 * sharding.BUCKET_ROWS
+    check(rows, 40, interleave(spark.createDataFrame(rows, SCHEMA), 40).collect())
