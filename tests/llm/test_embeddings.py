@@ -60,6 +60,14 @@ def test_brute_force(spark, monkeypatch, seed, block_rows, leaf):
     assert got(op.near_duplicates(df, block_rows=block_rows)) == brute(rows)
 
 
+def test_many_intervals(spark, monkeypatch):
+    """Small blocks, two parts of an interval and two partners of a block: the recursion goes several levels deep."""
+    for name, value in (("PARTS", 2), ("PARTNERS", 2), ("LEAF_ROWS", 3)):
+        monkeypatch.setattr(op, name, value)
+    rows = cloud(5, 400) + ODD
+    assert got(op.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), block_rows=7)) == brute(rows)
+
+
 @pytest.mark.parametrize("rows", [[], ODD[:7], [(1, [1.0, 2.0], 1)], [(1, [1.0, 2.0], 1), (2, [1.0, 2.001], 1), (3, [1.0, 2.0, 0.0], 1)]])
 def test_small_tables(spark, rows):
     assert got(op.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
