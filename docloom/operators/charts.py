@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text
 from docloom.operators.extraction import chart_issues, chart_verdict
 from docloom.plans import derived
-from docloom.plans.book import Book, table
+from docloom.plans.book import Book, table, written
 from docloom.plans.derived import ITEMS, POINTS, cte
 
 BOOK = Book()
@@ -280,6 +280,44 @@ def merged_markers(points: DataFrame, markers: DataFrame, near: float = 6.0, lea
     return rows.join(spread, same & close, "left_anti").select("fig", "marker")
 
 
+def near_pairs(marks: DataFrame, near: float = 6.0) -> DataFrame:
+    """(fig, early, late): marks (fig, marker, px, py) of a figure less than ``near`` apart on both axes, by number.
+
+    Marks are dealt by cells as wide as ``near``, and a mark goes to the nine cells around it, so the join is on equal cells.
+    """
+    cell = lambda c: F.floor(F.col(c) / near)
+    around = F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))
+    rows = marks.select("fig", "marker", "px", "py", cell("px").alias("cx"), cell("py").alias("cy"))
+    spread = rows.select("fig", F.col("marker").alias("late"), F.col("px").alias("qx"), F.col("py").alias("qy"), "cx", "cy").withColumn("dx", around).withColumn("dy", around)
+    spread = spread.select("fig", "late", "qx", "qy", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
+    close = (F.col("marker") < F.col("late")) & (F.abs(F.col("px") - F.col("qx")) < near) & (F.abs(F.col("py") - F.col("qy")) < near)
+    return rows.join(spread, ["fig", "cx", "cy"]).where(close).select("fig", F.col("marker").alias("early"), "late")
+
+
+def suppressed_markers(points: DataFrame, markers: DataFrame, near: float = 6.0, least_area: int = 35) -> DataFrame:
+    """(fig, marker): the markers that stay when they are taken in order of their numbers, each that is near a point or one taken before left out.
+
+    Gray and small ones are left out, too. In rounds: what has no undecided marker before it nearby is taken, and what is
+    near one taken is left out. Rounds grow with the longest run of markers that wait for each other, not with their
+    number. Markers at one place are one (only their first can be taken), so pixels bound how many are near a marker.
+    """
+    free = markers.join(merged_markers(points, markers, near, least_area), ["fig", "marker"], "left_semi")
+    left = written(free.groupBy("fig", "px", "py").agg(F.min("marker").alias("marker")), "markers")
+    pairs, taken = written(near_pairs(left, near), "pairs"), None
+    while True:
+        now = left.join(pairs.select("fig", F.col("late").alias("marker")).distinct(), ["fig", "marker"], "left_anti").select("fig", "marker")
+        now = written(now, "taken")
+        taken = now if taken is None else taken.union(now)
+        if pairs.isEmpty():
+            return taken
+        out = pairs.join(now.withColumnRenamed("marker", "early"), ["fig", "early"], "left_semi").select("fig", F.col("late").alias("marker")).distinct()
+        decided = written(now.union(out), "decided")
+        left = left.join(decided, ["fig", "marker"], "left_anti").select(*left.columns)
+        for end in ("early", "late"):
+            pairs = pairs.join(decided.withColumnRenamed("marker", end), ["fig", end], "left_anti").select("fig", "early", "late")
+        left, pairs = written(left, "markers"), written(pairs, "pairs")
+
+
 def series_issues(points: DataFrame) -> DataFrame:
     """(series, issue, severity) of whole series: impossible ranges, negative values, both axes at once, too few points."""
     named = points.where(F.coalesce("series", F.lit("")) != "")
@@ -495,6 +533,20 @@ def cht9_merged_markers(spark, sf_dir):
     return merged_markers(points, markers)
 
 
+@BOOK.add("""WITH RECURSIVE p AS (SELECT user_id % 40 AS fig, CAST(event_id * 7 % 400 AS DOUBLE) AS px, CAST(event_id * 13 % 300 AS DOUBLE) AS py FROM events WHERE event_type = 'purchase'),
+m AS (SELECT user_id % 40 AS fig, event_id AS marker, CAST(event_id * 11 % 200 AS DOUBLE) / 2 AS px, CAST(event_id * 17 % 150 AS DOUBLE) / 2 AS py, event_id % 90 AS area, CASE WHEN event_id % 6 = 0 THEN 'gray' ELSE 'red' END AS colour FROM events WHERE event_type <> 'purchase'),
+f AS (SELECT *, row_number() OVER (PARTITION BY fig ORDER BY marker) AS k FROM m WHERE colour <> 'gray' AND area >= 35 AND NOT EXISTS (SELECT 1 FROM p WHERE p.fig = m.fig AND abs(p.px - m.px) < 6 AND abs(p.py - m.py) < 6)),
+g AS (SELECT fig, k, [{'marker': marker, 'px': px, 'py': py}] AS kept FROM f WHERE k = 1
+  UNION ALL SELECT f.fig, f.k, CASE WHEN len(list_filter(kept, lambda q: abs(q.px - f.px) < 6 AND abs(q.py - f.py) < 6)) > 0 THEN kept ELSE list_append(kept, {'marker': marker, 'px': px, 'py': py}) END FROM g JOIN f ON f.fig = g.fig AND f.k = g.k + 1)
+SELECT fig, unnest(list_transform(kept, lambda q: q.marker)) AS marker FROM g WHERE k = (SELECT max(k) FROM f WHERE f.fig = g.fig)""")
+def cht9_suppressed_markers(spark, sf_dir):
+    """Markers on crowded figures, taken one after the other; the SQL walks through each figure in order."""
+    events = table(spark, sf_dir, "events")
+    points = events.where("event_type = 'purchase'").selectExpr("user_id % 40 AS fig", "CAST(event_id * 7 % 400 AS DOUBLE) AS px", "CAST(event_id * 13 % 300 AS DOUBLE) AS py")
+    markers = events.where("event_type <> 'purchase'").selectExpr("user_id % 40 AS fig", "event_id AS marker", "CAST(event_id * 11 % 200 AS DOUBLE) / 2 AS px", "CAST(event_id * 17 % 150 AS DOUBLE) / 2 AS py", "event_id % 90 AS area", "CASE WHEN event_id % 6 = 0 THEN 'gray' ELSE 'red' END AS colour")
+    return suppressed_markers(points, markers)
+
+
 _CAPTIONS = "p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'Cells (A, B) under DAPI. Scale bar 10 um' WHEN 1 THEN 'GFP and RFP (a;c) (D)' WHEN 2 THEN 'Overview (see text)' ELSE NULL END AS caption, CASE WHEN p_partkey % 3 = 0 THEN CAST(10 AS DOUBLE) END AS scale_bar, CASE p_partkey % 4 WHEN 0 THEN 'DAPI' WHEN 1 THEN 'gfp' ELSE '' END AS channel, CAST(p_partkey % 4 AS INTEGER) AS panel_count"
 
 

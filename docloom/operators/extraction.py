@@ -81,6 +81,43 @@ def fuse(candidates: DataFrame) -> DataFrame:
     )
 
 
+def _grouped(candidates: DataFrame) -> DataFrame:
+    """Supported candidates with their group and the sign of their value."""
+    rows = candidates.where("status <> 'unsupported'").withColumn("_sign", signature(F.col("value"), F.col("unit")))
+    return rows.withColumns({"_entity": F.lower(text.strip(F.col("entity"))), "_field": F.lower(text.strip(F.col("field")))})
+
+
+def fused_evidence(candidates: DataFrame) -> DataFrame:
+    """(seq, evidence): what supports each row of ``fuse``, one row for each, so that a large group is no array.
+
+    A merged value has the evidence of all its candidates, each once, and the ids of all but its own; single and contested
+    ones keep their own. ``candidates`` also have evidence_id and supporting (array).
+    """
+    own = fuse(candidates).select("seq", F.col("decision").alias("_decision"), "entity", "field")
+    keys = {"_entity": F.lower(text.strip(F.col("entity"))), "_field": F.lower(text.strip(F.col("field")))}
+    chosen = own.withColumns(keys).select("_entity", "_field", "seq", "_decision")
+    rows = _grouped(candidates).select("_entity", "_field", F.col("seq").alias("_of"), "evidence_id", "supporting")
+    merged = rows.join(chosen.where("_decision = 'rule_merge_consistent'"), ["_entity", "_field"])
+    also = F.when((F.col("_of") != F.col("seq")) & (F.coalesce("evidence_id", F.lit("")) != ""), F.array("evidence_id")).otherwise(F.array().cast("array<string>"))
+    merged = merged.select("seq", F.explode(F.concat(F.coalesce("supporting", F.array().cast("array<string>")), also)).alias("evidence"))
+    kept = candidates.join(chosen.where("_decision <> 'rule_merge_consistent'").select("seq"), "seq", "left_semi").select("seq", F.explode("supporting").alias("evidence"))
+    return merged.unionByName(kept).where("evidence is not null and evidence <> ''").distinct()
+
+
+def rejected_links(candidates: DataFrame) -> DataFrame:
+    """(group, seq, identity, n_rejected): contested candidates by group, each with its identity; a candidate rejects all others of its group.
+
+    The list of what a candidate rejects is its group's rows less its own: with n candidates the rows are n and not n * n.
+    ``identity`` is the evidence id, else the sign of value and unit.
+    """
+    contested = fuse(candidates).where("decision = 'contradicting_evidence'").select("seq")
+    rows = _grouped(candidates).join(contested, "seq", "left_semi")
+    identity = text.coalesce_blank(F.col("evidence_id"), F.col("_sign"))
+    rows = rows.select(F.concat_ws("|", "_entity", "_field").alias("group"), "seq", identity.alias("identity"))
+    sizes = rows.groupBy("group").agg(F.count("*").alias("_n"))
+    return rows.join(sizes, "group").select("group", "seq", "identity", (F.col("_n") - 1).alias("n_rejected"))
+
+
 def chart_issues(points: DataFrame, low: float | None = None, high: float | None = None, log_y: bool = False, unit: str | None = None, tolerance: float = 0.2) -> DataFrame:
     """(fig, idx, rule, severity) for every rule a point breaks; ``points`` has fig, series, idx, x, y, unit, error_bar.
 
@@ -145,6 +182,36 @@ def ext9_fusion_decisions_all(spark, sf_dir):
     return fuse(_candidates(table(spark, sf_dir, "lineitem"))).groupBy("entity", "field", "decision").agg(F.count("*").alias("rows"))
 
 
+_EVIDENCE_SQL = """WITH c AS (SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey AS seq, 'e' || l_partkey AS entity, l_linestatus AS field, CAST(CAST(floor(l_quantity / 20) AS BIGINT) AS VARCHAR) AS value, CASE WHEN l_tax < 0.02 THEN 'unsupported' WHEN l_tax < 0.05 THEN 'insufficient' ELSE 'sufficient' END AS status,
+l_discount AS confidence, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE 'ev' || l_suppkey END AS evidence_id, CASE WHEN l_linenumber % 4 = 0 THEN [] ELSE ['s' || l_suppkey % 5, 's' || l_linenumber % 2] END AS supporting FROM lineitem),
+v AS (SELECT *, count(*) OVER w AS n, min(value) OVER w = max(value) OVER w AS same, row_number() OVER (PARTITION BY entity, field ORDER BY CASE status WHEN 'sufficient' THEN 0 ELSE 1 END, confidence DESC, seq) = 1 AS top FROM c WHERE status <> 'unsupported' WINDOW w AS (PARTITION BY entity, field))"""
+
+
+def _evidenced(lineitem: DataFrame) -> DataFrame:
+    part = lambda c: F.col(c).cast("string")
+    supporting = F.when(F.col("l_linenumber") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("s"), (F.col("l_suppkey") % 5).cast("string")), F.concat(F.lit("s"), (F.col("l_linenumber") % 2).cast("string"))))
+    status = F.when(F.col("l_tax") < 0.02, "unsupported").when(F.col("l_tax") < 0.05, "insufficient").otherwise("sufficient")
+    return lineitem.select(
+        F.expr("((l_orderkey * 8L + l_linenumber) * 100000L + l_partkey) * 1000L + l_suppkey").alias("seq"), F.concat(F.lit("E"), part("l_partkey")).alias("entity"), F.col("l_linestatus").alias("field"), F.floor(F.col("l_quantity") / 20).cast("string").alias("value"), F.lit("").alias("unit"), F.lit("text").alias("source"),
+        status.alias("status"), F.col("l_discount").cast("double").alias("confidence"), F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.concat(F.lit("ev"), part("l_suppkey"))).alias("evidence_id"), supporting.alias("supporting"),
+    )
+
+
+@BOOK.add(f"""{_EVIDENCE_SQL}, t AS (SELECT entity, field, seq AS chosen FROM v WHERE top AND same AND n > 1)
+SELECT DISTINCT chosen AS seq, evidence FROM (SELECT chosen, unnest(list_concat(supporting, CASE WHEN seq <> chosen AND evidence_id <> '' THEN [evidence_id] ELSE [] END)) AS evidence FROM v JOIN t USING (entity, field)
+  UNION ALL SELECT seq, unnest(supporting) FROM v WHERE n = 1 OR NOT same)""")
+def ext9_fused_evidence(spark, sf_dir):
+    """The union of evidence behind each fused value, over all candidates."""
+    return fused_evidence(_evidenced(table(spark, sf_dir, "lineitem")))
+
+
+@BOOK.add(f"""{_EVIDENCE_SQL}, r AS (SELECT entity || '|' || lower(field) AS "group", seq, coalesce(nullif(evidence_id, ''), substr(sha1(value || '|'), 1, 16)) AS identity FROM v WHERE NOT same)
+SELECT "group", seq, identity, count(*) OVER (PARTITION BY "group") - 1 AS n_rejected FROM r""")
+def ext9_rejected_links(spark, sf_dir):
+    """What contested candidates reject: rows of their groups instead of lists."""
+    return rejected_links(_evidenced(table(spark, sf_dir, "lineitem")))
+
+
 @BOOK.add()
 def ext9_fusion(spark, sf_dir):
     return fuse(_candidates(table(spark, sf_dir, "lineitem")))

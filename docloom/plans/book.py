@@ -47,3 +47,10 @@ def scratch(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "/tmp/checkpoints"
     return f"{folder.rstrip('/')}/docloom-scratch-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` written once to the shared folder and read back: cuts the lineage, and every reader sees the same rows."""
+    path = scratch(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
