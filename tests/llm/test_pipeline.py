@@ -62,8 +62,12 @@ def test_empty_documents(spark, tmp_path):
 
 
 def test_repeated_and_null_rows(spark):
+    """Of the two equal rows one stays as the near-duplicate it is of the other; null ids and texts go through all stages."""
     docs = spark.createDataFrame([(1, "a b c d", "en", "s", 7), (1, "a b c d", "en", "s", 7), (2, None, None, None, None), (None, "q r s t u v", "x", "y", 3)], spark.read.parquet(f"{AT}/documents.parquet").schema)
-    labels = f"{AT}"
-    for name, stage in p.STAGES:
-        docs = stage(spark, docs, labels)
-        assert docs.count() >= 2, name
+    both = [(1, "a b c d"), (2, None), (None, "q r s t u v")]
+    for name, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, AT)
+        want = [*both, (1, "a b c d")] if name == "toxicity" else both
+        assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted(want, key=str), name
+    last = p.STAGES[-1][1](spark, docs, AT)
+    assert sorted(((r.doc_id, len(r.ids)) for r in last.collect()), key=str) == sorted([(1, 4), (2, 0), (None, 6)], key=str)

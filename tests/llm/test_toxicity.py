@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -72,3 +73,65 @@ def test_columns_of_any_name_and_labels_that_disagree(spark):
     assert op.reject(docs, both.repartition(3)).columns == docs.columns
     a, b = (sorted((r.text or "", r.score) for r in op.score(docs.drop("score"), op.fit(docs, x), ["text"]).collect()) for x in (labels, both))
     assert a == b
+
+
+def slow_features(text, lexicon):
+    """The features word by word and sign by sign, as their names say."""
+    found = [(i, raw, *lexicon.find(raw)) for i, raw in enumerate(text.split())]
+    if not found:
+        return [0.0] * len(op.FEATURES)
+    hits, calls = [f for f in found if f[2] > 0], [f for f in found if f[4]]
+    kinds = []
+    for f in hits:
+        if f[2:] not in kinds:
+            kinds.append(f[2:])
+    near = sum(min((abs(c[0] - h[0]) for c in calls), default=99) <= 5 for h in hits)
+    share = lambda signs: sum(c in signs for c in text) / len(text)
+    drawn = 0
+    for run in ("!!", "??", "aaa", "eee", "ooo", "iii", "uuu", "..."):
+        at = text.find(run)
+        while at >= 0:
+            drawn, at = drawn + 1, text.find(run, at + len(run))
+    n = len(found)
+    return [
+        len(hits), len(hits) / n, sum(f[2] for f in found) / n, max(f[2] for f in found), len(hits) - len(kinds), near, len(calls) / n, sum(f[3] for f in found), sum(f[6] for f in found) / n,
+        share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), sum(f[5] for f in found) / n, share("!"), share("?"), share("!?.,;:"), drawn / len(text), share("0123456789"), math.log1p(n),
+    ]
+
+
+def slow_score(x, model):
+    """Trees walked node by node, the curve by interpolation between its bounds."""
+    margin = 0.0
+    for weight, tree in zip(model.trees.treeWeights, model.trees.trees, strict=True):
+        node = tree._java_obj.rootNode()
+        while node.subtreeDepth():
+            split = node.split()
+            node = node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild()
+        margin += weight * node.prediction()
+    bounds, levels = model.curve.boundaries.toArray(), model.curve.predictions.toArray()
+    at = [i for i, b in enumerate(bounds) if b <= margin]
+    if not at or margin >= bounds[-1]:
+        level = levels[-1] if at else levels[0]
+    else:
+        i = at[-1]
+        level = levels[i] if bounds[i] == margin else levels[i] + (levels[i + 1] - levels[i]) * (margin - bounds[i]) / (bounds[i + 1] - bounds[i])
+    return 0.99 * min(1.0, max(0.0, level)) + 0.01 / (1 + math.exp(-2 * margin))
+
+
+def test_slow_scorer(spark):
+    """Every text of a table and of the documents gets the score that plain loops give it."""
+    docs, labels = table(spark)
+    at = "/root/testdata/sf0.01"
+    for rows, known in ((docs.select("doc_id", "text"), labels), (spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{at}/labels.parquet"))):
+        model = op.fit(rows, known)
+        assert model.trees is not None
+        for r in op.score(rows.repartition(3), model, ["doc_id", "text"]).collect():
+            want = slow_score(slow_features(r.text or "", model.lexicon), model)
+            assert abs(r.score - want) < 1e-9, (r.doc_id, r.score, want)
+
+
+def test_very_long_text(spark):
+    docs, labels = table(spark)
+    model = op.fit(docs, labels)
+    long = spark.createDataFrame([(1, "word1 you " * 300_000 + "idiot"), (2, "x" * 2_000_000)], "doc_id long, text string")
+    assert [0 <= r.score <= 1 for r in op.score(long, model).collect()] == [True, True]
