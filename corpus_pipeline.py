@@ -3,6 +3,11 @@
 Every stage works on all rows the one before has kept. Between stages the rows are written as Parquet in the shared folder
 and read again, so each stage starts from files and a lost executor never leads back to an earlier one. All stages but
 the last return the columns of ``documents``.
+
+All stages alike: null texts count as empty ones and are kept, but for a near-duplicate of another empty text; null and
+repeated ids are rows of their own; of equal rows the near-duplicate stage keeps one; an empty table gives an empty one;
+texts of any length are worked on whole; further columns are dropped, whatever their names, as each stage takes the five
+columns of ``documents`` by name.
 """
 
 from __future__ import annotations
