@@ -2,9 +2,9 @@
 
 Nearness is the largest inner product. One further component, the root of what a squared length lacks to the largest one
 of the shard, makes it a Euclidean distance, in which the graph is built: nodes come in batches that double; a greedy
-search from the entry node proposes neighbours for each node of a batch; pruning keeps the nearest one left and drops all
+search from a few entry nodes proposes neighbours for each node of a batch; pruning keeps the nearest one left and drops all
 that ``ALPHA`` times nearer to it than to the node, again and again, so that edges stay few and point in many directions;
-edges are put in backwards, too, and lists that overflow are pruned likewise. Nodes that no path from the entry
+edges are put in backwards, too, and lists that overflow are pruned likewise. Nodes that no path from an entry
 reaches get an edge from the nearest one reached. Queries walk the graph of every shard with a beam, what they meet last
 is scored in double precision on the original vectors, and the best of all shards are merged.
 
@@ -28,22 +28,28 @@ from .embeddings import _usable
 from .shared import cut
 
 DEGREE, ALPHA, BUILD_BEAM, SEARCH_BEAM = 32, 1.2, 64, 192
+#: Nodes that a walk starts from: the one nearest to the mean and others at random, as a crowd around the mean may lead nowhere else.
+ENTRIES = 256
 #: Nodes of a shard, distinct queries of a block, nodes that are put in at once, nodes that a step of the beam opens.
 SHARD_ROWS, QUERY_ROWS, BATCH, OPENED = 16_000, 20_000, 512, 4
 #: Most numbers of candidates' vectors that pruning holds at once.
 PRUNE_CELLS = 6_000_000
 
 
-def beam_search(x: np.ndarray, squares: np.ndarray, links: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def beam_search(x: np.ndarray, squares: np.ndarray, links: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, distances, opened) for each query: the ``beam`` nearest nodes met, nearest first (-1: none), and all nodes opened.
 
     A node's distance is its square less twice the inner product: the Euclidean distance but for a constant of the query.
     """
     n, rows = len(queries), np.arange(len(queries))[:, None]
     ids, dist, done = np.full((n, beam), -1), np.full((n, beam), np.inf, np.float32), np.ones((n, beam), bool)
-    ids[:, 0], dist[:, 0], done[:, 0] = entry, squares[entry] - 2 * (queries @ x[entry]), False
+    start = squares[entries] - 2 * (queries @ x[entries].T)
+    first = np.argsort(start, axis=1, kind="stable")[:, :beam]
+    width = first.shape[1]
+    ids[:, :width], dist[:, :width], done[:, :width] = entries[first], np.take_along_axis(start, first, 1), False
     seen = np.zeros((n, len(x) + 1), bool)  # the last column stands for -1
-    seen[:, entry] = seen[:, -1] = True
+    seen[:, entries] = True
+    seen[:, -1] = True
     opened = []
     while True:
         live = np.flatnonzero(~done.all(1))
@@ -91,17 +97,16 @@ def robust_prune(x: np.ndarray, squares: np.ndarray, nodes: np.ndarray, candidat
     return kept
 
 
-def build_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, beam: int = BUILD_BEAM) -> tuple[np.ndarray, int]:
-    """(links, entry) of the rows of ``x``; links[i] are the nodes that i leads to, filled up with -1."""
+def build_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, beam: int = BUILD_BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """(links, entries) of the rows of ``x``; links[i] are the nodes that i leads to, filled up with -1."""
     n, squares = len(x), np.einsum("nd,nd->n", x, x)
-    links, entry = np.full((n, degree), -1), int(((x - x.mean(0)) ** 2).sum(1).argmin())
-    order = np.random.default_rng(0).permutation(n)
-    order = order[order != entry]
+    links, order = np.full((n, degree), -1), np.random.default_rng(0).permutation(n)
+    entries = np.unique(np.r_[int(((x - x.mean(0)) ** 2).sum(1).argmin()), order[: ENTRIES - 1]])
     low = 0
     while low < len(order):
         batch = order[low : low + min(BATCH, max(1, low))]
         low += len(batch)
-        ids, _, opened = beam_search(x, squares, links, entry, x[batch], beam)
+        ids, _, opened = beam_search(x, squares, links, entries, x[batch], beam)
         links[batch] = robust_prune(x, squares, batch, np.concatenate([ids, opened], 1), degree, alpha)
         # Edges backwards: each target's new sources beside its old edges.
         source, target = np.repeat(batch, degree), links[batch].ravel()
@@ -120,15 +125,15 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, beam:
             if not fits.all():
                 links[target[some[~fits]]] = robust_prune(x, squares, target[some[~fits]], both[~fits], degree, alpha)
     while True:
-        reached, front = np.zeros(n + 1, bool), np.array([entry])
+        reached, front = np.zeros(n + 1, bool), entries
         while len(front):
             reached[front] = True
             front = np.unique(links[front])
             front = front[(front >= 0) & ~reached[front]]
         lost = np.flatnonzero(~reached[:n])
         if not len(lost):
-            return links, entry
-        nearest = np.concatenate([beam_search(x, squares, links, entry, x[lost[i : i + BATCH]], beam)[0][:, 0] for i in range(0, len(lost), BATCH)])
+            return links, entries
+        nearest = np.concatenate([beam_search(x, squares, links, entries, x[lost[i : i + BATCH]], beam)[0][:, 0] for i in range(0, len(lost), BATCH)])
         for node, giver in zip(lost.tolist(), nearest.tolist(), strict=True):
             if not (links[giver] < 0).any():
                 links = np.concatenate([links, np.full((n, 1), -1)], 1)
@@ -155,16 +160,16 @@ INDEX = "dim int, shard int, node int, key binary, vector array<double>, members
 
 
 def build_index(nodes: DataFrame, shard_rows: int = SHARD_ROWS, degree: int = DEGREE, alpha: float = ALPHA, beam: int = BUILD_BEAM) -> DataFrame:
-    """One row for each of ``nodes`` (as of ``classes``): shard, place in it, links and whether it is the shard's entry; written once."""
+    """One row for each of ``nodes`` (as of ``classes``): shard, place in it, links and whether it is an entry of the shard; written once."""
     shards = max(1, -(-nodes.count() // shard_rows))
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("key").reset_index(drop=True)
         x = _scaled(np.stack(part["vector"].to_numpy()))
         squares = np.einsum("nd,nd->n", x, x)
-        links, entry = build_graph(np.column_stack([x, np.sqrt(squares.max() - squares)]), degree, alpha, beam)
+        links, entries = build_graph(np.column_stack([x, np.sqrt(squares.max() - squares)]), degree, alpha, beam)
         part["node"], part["links"] = np.arange(len(part), dtype=np.int32), [row[row >= 0].astype(np.int32) for row in links]
-        part["entry"] = part["node"] == entry
+        part["entry"] = part["node"].isin(entries)
         return part[["dim", "shard", "node", "key", "vector", "members", "links", "entry"]]
 
     sharded = nodes.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
@@ -183,14 +188,14 @@ class _Shard:
         self.links = np.full((n, max(1, max(map(len, lists)))), -1)
         for i, own in enumerate(lists):
             self.links[i, : len(own)] = own
-        self.entry = rows["entry"].to_pylist().index(True)
+        self.entries = np.flatnonzero(rows["entry"].to_numpy())
         self.x = _scaled(self.vectors)
 
     def search(self, keys: list[bytes], queries: np.ndarray, k: int, beam: int) -> Iterator[tuple]:
         """(key, score, vec_id, same) of the ``k`` best rows met by each query."""
         length = np.abs(queries).max(axis=1, keepdims=True)
         # Inner products instead of distances: the squares are left out.
-        ids, *_ = beam_search(self.x, np.zeros(len(self.x), np.float32), self.links, self.entry, (queries / length).astype(np.float32), max(beam, k))
+        ids, *_ = beam_search(self.x, np.zeros(len(self.x), np.float32), self.links, self.entries, (queries / length).astype(np.float32), max(beam, k))
         with np.errstate(over="ignore", invalid="ignore"):
             scores = np.einsum("bcd,bd->bc", self.vectors[ids], queries)
         for key, own, score in zip(keys, ids.tolist(), scores.tolist(), strict=True):

@@ -61,13 +61,30 @@ def test_copies_beyond_a_third_of_all_rows(spark):
 def test_every_node_is_reached():
     r = np.random.default_rng(5)
     x = np.concatenate([r.normal(size=(400, 8)) * 0.01 + 100 * r.normal(size=8) for _ in range(5)]).astype(np.float32)
-    links, entry = op.build_graph(x, degree=4, beam=8)
-    seen, front = {entry}, [entry]
+    links, entries = op.build_graph(x, degree=4, beam=8)
+    seen, front = set(entries.tolist()), entries.tolist()
     while front:
         front = [m for n in front for m in links[n].tolist() if m >= 0 and m not in seen and not seen.add(m)]
     assert len(seen) == len(x)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_a_crowd_around_the_mean_is_no_trap(seed):
+    """A third of all vectors lie close together around the mean; in any order the walk finds what is elsewhere."""
+    r = np.random.default_rng(seed)
+    v = r.normal(size=(2_400, 32))
+    v[:800] = 0.02 * r.normal(size=(800, 32)) + v.mean(0) + 0.3
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True))[r.permutation(2_400)]
+    x = op._scaled(v)
+    links, entries = op.build_graph(np.column_stack([x, np.zeros(len(x), np.float32)]))
+    q = v[::8]
+    ids = op.beam_search(x, np.zeros(len(x), np.float32), links, entries, q.astype(np.float32), op.SEARCH_BEAM)[0]
+    scores = np.where(ids >= 0, np.einsum("bcd,bd->bc", v[ids], q), -np.inf)
+    top = np.take_along_axis(ids, np.argsort(-scores, axis=1, kind="stable")[:, :20], 1)
+    best = np.argsort(-(q @ v.T), axis=1, kind="stable")[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(top.tolist(), best.tolist(), strict=True)]) >= 0.95
+
+
 @pytest.mark.parametrize("sf", ["0.01", "0.1"])
 def test_recall(spark, sf):
     at = f"/root/testdata/sf{sf}"
