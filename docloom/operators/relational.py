@@ -174,7 +174,7 @@ def holders(items: DataFrame, docs: DataFrame, item: str = "item_id", doc: str =
 
     A word of an item with a word on either side stands whole in every text that holds the item, so such items are looked up
     by the rarest of these words: documents give only the words that are such keys, one row each, and true containment is
-    checked on what meets. Items without such a word are few and short; they are searched for in each text where it lies.
+    checked on what meets. Items without such a word are looked up by their first characters in the same way.
     """
     # A word is a run without white space; the outer two of an item may be parts of longer ones in a text.
     words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
@@ -185,10 +185,16 @@ def holders(items: DataFrame, docs: DataFrame, item: str = "item_id", doc: str =
     counts = seen.groupBy("key").count()
     rarest = inner.join(counts, "key").groupBy(item, "wanted").agg(F.min_by("key", F.struct("count", "key")).alias("key"))
     near = seen.join(rarest, "key").select(doc, item, "wanted").join(docs.select(doc, text), doc)
-    # One row with the items of one or two words: a stated query set against all texts.
-    short = own.where((F.size("w") <= 2) & (F.col("wanted") != "")).agg(F.collect_list(F.struct(item, "wanted")).alias("all"))
-    direct = docs.crossJoin(F.broadcast(short)).select(doc, F.explode(F.filter("all", lambda x: F.contains(F.col(text), x["wanted"]))).alias("x")).select(doc, f"x.{item}")
-    return near.where(F.contains(text, F.col("wanted"))).select(doc, item).unionByName(direct)
+    found = near.where(F.contains(text, F.col("wanted"))).select(doc, item)
+    # Items of one or two words meet texts by a run of up to three of their characters.
+    short = own.where((F.size("w") <= 2) & (F.col("wanted") != "")).select(item, "wanted", F.substring("wanted", 1, 3).alias("key"))
+    lengths = [r[0] for r in short.select(F.length("key")).distinct().collect()]  # three at most
+    if not lengths:
+        return found
+    runs = F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths))))
+    met = docs.select(doc, F.explode(runs).alias("key")).join(sent(short.select("key").distinct()), "key", "left_semi").join(short, "key")
+    direct = met.select(doc, item, "wanted").join(docs.select(doc, text), doc).where(F.contains(text, F.col("wanted"))).select(doc, item)
+    return found.unionByName(direct)
 
 
 @BOOK.add("""WITH h AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> '') SELECT b.item_id, min(doc_id) AS doc_id FROM benchmark b LEFT JOIN h ON b.item_id = h.item_id GROUP BY b.item_id""")
