@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text
 from docloom.operators.documents import section_rows
+from docloom.operators.fragments import caption_candidates, caption_label
+from docloom.operators.library import caption_blocks
 from docloom.plans.book import Book, table
 
 BOOK = Book()
@@ -78,3 +80,42 @@ def win8_sections_of_texts(spark, sf_dir):
 def doc4_paragraphs_of_texts(spark, sf_dir):
     """Whole texts without headings: each paragraph is a section."""
     return section_rows(_texts(spark, sf_dir, SPACED))
+
+
+#: Captions with empty lines after some of them, and labels that return.
+NUMBERED = _replaced(LINES, ("chr(10) || 'Th'", "chr(10) || ' Fig. 7: Th'"), ("chr(10) || 'Er'", "chr(10) || 'TABLE  12b. er'"), ("chr(10) || 'An'", "chr(10) || 'see Figure 3 an'"), ("chr(10) || 'Es'", "chr(10) || chr(10) || 'Es'"), ("chr(10) || 'Le'", "chr(10) || 'figure 7 | le'"))
+NUMBERED_LINES = rf"""l AS (SELECT doc_id, i, s FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS s, unnest(range(len(string_split(t, chr(10))))) AS i FROM (SELECT doc_id, {NUMBERED} AS t FROM documents)))"""
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    return _texts(spark, sf_dir, NUMBERED).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "s"))
+
+
+@BOOK.add(rf"""WITH {NUMBERED_LINES}, c AS (SELECT doc_id, i, regexp_extract(s, '(?i)^\s*(fig(?:ure)?|table)\.?\s*([0-9][\p{{L}}\p{{N}}_.-]*)', 1) AS kind, regexp_extract(s, '(?i)^\s*(fig(?:ure)?|table)\.?\s*([0-9][\p{{L}}\p{{N}}_.-]*)', 2) AS n FROM l)
+SELECT doc_id, CAST(i AS INTEGER) AS i, CASE WHEN lower(kind) = 'table' THEN 'table' ELSE 'figure' END AS kind, CASE WHEN lower(kind) = 'table' THEN 'Table ' ELSE 'Figure ' END || regexp_replace(n, '[.-]+$', '') AS label FROM c WHERE kind <> ''""")
+def str16_labels_of_lines(spark, sf_dir):
+    """Kind and label of every caption line of all texts."""
+    return _lines(spark, sf_dir).select("doc_id", "i", caption_label(F.col("s")).alias("c")).where("c is not null").select("doc_id", "i", "c.kind", "c.label")
+
+
+@BOOK.add(rf"""WITH {NUMBERED_LINES}, m AS (SELECT *, regexp_matches(s, '(?i)^\s*(?:fig\.?|figure|table)\s*[0-9]+') AS head, trim(s) = '' AS blank FROM l),
+k AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM m), b AS (SELECT *, sum(blank::INT) OVER (PARTITION BY doc_id, part ORDER BY i) AS blanks FROM k WHERE part > 0),
+c AS (SELECT doc_id, part, trim(regexp_replace(string_agg(s, chr(10) ORDER BY i), '\s+', ' ', 'g')) AS caption FROM b WHERE blanks = 0 GROUP BY doc_id, part),
+f AS (SELECT *, replace(lower(regexp_extract(caption, '(?i)^((?:fig\.?|figure|table)\s*[0-9]+)', 1)), ' ', '') AS label FROM c WHERE length(caption) BETWEEN 20 AND 1200)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS pos, caption FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY part) AS n FROM f) WHERE n = 1""")
+def str33_captions_of_texts(spark, sf_dir):
+    """Captions of whole texts, from a label to the next one or an empty line, the first of each label."""
+    rows = _texts(spark, sf_dir, NUMBERED).select("doc_id", F.posexplode(caption_candidates(F.col("text"))).alias("pos", "caption"))
+    return rows.withColumn("pos", F.col("pos").cast("long"))
+
+
+@BOOK.add(rf"""WITH {NUMBERED_LINES}, k AS (SELECT doc_id, i % 3 AS page, i AS block, s, regexp_extract(s, '(?i)((?:fig\.?|figure|table)\s*[0-9]+)', 1) AS found FROM l),
+r AS (SELECT *, instr(s, found) - 1 AS at_, substr(s, instr(s, found) + length(found)) AS after_, regexp_replace(regexp_replace(lower(found), '\s+', '', 'g'), '^fig\.?([0-9])', 'figure\1') AS key FROM k WHERE found <> ''),
+q AS (SELECT *, (CASE WHEN at_ = 0 THEN 4.0 WHEN at_ <= 30 THEN 2.0 ELSE 0 END) + (CASE WHEN substr(after_, 1, 1) IN ('.', ':', '：', '|', '-') THEN 1.0 ELSE 0 END) + (CASE WHEN length(s) >= 35 THEN 1.0 ELSE 0 END) + (CASE WHEN at_ <= 40 THEN 0.5 ELSE 0 END) AS score FROM r
+  WHERE length(trim(after_, ' ')) >= 15 AND at_ <= 50 AND substr(trim(after_, ' '), 1, 1) NOT IN (')', ']', ',', ';'))
+SELECT doc_id AS doc, page, CASE key WHEN 'figure7' THEN 'Figure 7' WHEN 'table12' THEN 'Table 12' ELSE 'Fig. 3' END AS label, arg_max(block, (score, -block)) AS block FROM q WHERE key IN ('figure7', 'table12', 'figure3') GROUP BY doc_id, page, key""")
+def join25_captions_of_lines(spark, sf_dir):
+    """The line of a page that is the caption of each of three labels, over the lines of all texts."""
+    blocks = _lines(spark, sf_dir).select(F.col("doc_id").alias("doc"), (F.col("i") % 3).cast("long").alias("page"), F.col("i").cast("long").alias("block"), F.col("s").alias("text"))
+    labels = blocks.select("doc", "page").distinct().withColumn("label", F.explode(F.array(*map(F.lit, ("Figure 7", "Table 12", "Fig. 3")))))
+    return caption_blocks(labels, blocks)
