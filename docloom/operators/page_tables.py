@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text
-from docloom.plans.book import Book, table
+from docloom.plans.book import Book, table, written
 
 BOOK = Book()
 #: Labels of tables and figures, terms of front matter, values or units, terms of article frames and of reference lists.
@@ -106,7 +106,7 @@ def page_tables(pages: DataFrame, doc: str = "doc_id", page: str = "page", body:
 
     Captioned blocks; a document without any gets its steady blocks, numbered by place. ``pages`` has a row for each page.
     """
-    lines = page_lines(pages, doc, page, body)
+    lines = written(page_lines(pages, doc, page, body), "lines")  # read for captions, for columns and for first pages
     captioned = captioned_blocks(lines)
     steady = steady_blocks(lines).join(captioned.select("doc").distinct(), "doc", "left_anti")
     both = captioned.withColumn("source", F.lit("fallback_candidate")).unionByName(steady.withColumns({"label": F.lit(None).cast("string"), "source": F.lit("weak_table_candidate")}))

@@ -105,7 +105,9 @@ def evidence_for(wanted: DataFrame, chunks: DataFrame, sources: DataFrame, pictu
     kind (section, table, figure), seq, label, body (what keywords are looked for in); ``pictures``: doc, seq, label.
     """
     row = lambda df, kind, tier, seq, label: df.select("doc", "field", (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), F.lit(tier).alias("tier"), seq.cast("long").alias("seq"), label.alias("label"))
-    plans = wanted.select("doc", "field", F.coalesce("needs_figure", F.lit(False)).alias("needs_figure"), "keywords")
+    # Terms and lower-case texts are made before plans meet sources, once for each.
+    words = F.when(F.size("keywords") > 0, F.col("keywords")).otherwise(F.array("field"))
+    plans = wanted.select("doc", "field", F.coalesce("needs_figure", F.lit(False)).alias("needs_figure"), F.array_distinct(F.flatten(F.transform(words, keywords))).alias("terms"))
     own = sources.where("label is not null")
     tiers = [row(wanted.select("doc", "field", F.posexplode(c).alias("seq", "label")), kind, HINT, F.col("seq"), F.col("label")) for kind, c in (("section", "sections"), ("table", "tables"), ("figure", "figures"))]
     rank = lambda kind: F.row_number().over(Window.partitionBy("doc").orderBy("seq"))
@@ -114,8 +116,8 @@ def evidence_for(wanted: DataFrame, chunks: DataFrame, sources: DataFrame, pictu
     tiers.append(row(needy.join(first, "doc"), "figure", POSITION, F.col("seq"), F.col("label")))
     sections = sources.where("kind = 'section'").withColumn("n", rank("section"))
     if not strict:
-        words = F.when(F.size("keywords") > 0, F.col("keywords")).otherwise(F.array("field"))
-        hits = plans.join(own, "doc").where(has_keyword(F.concat_ws(" ", F.when(F.col("kind") == "section", F.col("label")), "body"), words))
+        said = own.select("doc", "kind", "seq", "label", F.lower(F.concat_ws(" ", F.when(F.col("kind") == "section", F.col("label")), "body")).alias("said"))
+        hits = plans.join(said, "doc").where(F.exists("terms", lambda t: F.contains(F.col("said"), t)))
         tiers.append(row(hits, F.col("kind"), KEYWORD, F.col("seq"), F.col("label")))
         tiers.append(row(needy.join(pictures, "doc"), "figure", PICTURE, F.col("seq"), F.col("label")))
         tiers.append(row(meant(wanted, chunks, sources, k), F.col("kind"), MEANING, F.col("place"), F.col("label")))

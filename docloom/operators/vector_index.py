@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import numbers
-from docloom.plans.book import Book, scratch, table
+from docloom.plans.book import Book, scratch, table, written
 
 BOOK = Book()
 #: Cells, vectors that centroids are fitted on (the index holds all), rounds of the fit, and room for rounding.
@@ -21,7 +21,9 @@ CELLS, FIT_ROWS, ROUNDS, ROOM = 64, 20_000, 10, 1e-6
 
 
 def _unit(vector: str) -> Column:
-    return F.transform(vector, lambda x: x.cast("double") / F.sqrt(numbers.dot(F.col(vector), F.col(vector))))
+    """The vector at length 1; its length is bound once, not taken again for every component."""
+    length = F.array(F.sqrt(numbers.dot(F.col(vector), F.col(vector))))
+    return F.transform(length, lambda n: F.transform(vector, lambda x: x.cast("double") / n))[0]
 
 
 def _apart(a: str, b: str) -> Column:
@@ -62,6 +64,7 @@ class VectorIndex:
     def visits(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         """(first, all): the cells each of ``queries`` (query, unit) looks at to get its first k, and all it must look at."""
         near = queries.crossJoin(F.broadcast(self.cells)).select("query", "unit", "cell", "n", "radius", _distance("unit", "centroid").alias("away"))
+        near = written(near, "away")  # read three times
         before = F.sum("n").over(Window.partitionBy("query").orderBy("away", "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
         first = near.withColumn("before", before).where(F.col("before") < k).select("query", "unit", "cell")
         reach = self._best(first, k).groupBy("query").agg(F.when(F.count("*") == k, F.max("apart")).otherwise(F.lit(float("inf"))).alias("reach"))
