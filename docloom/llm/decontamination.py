@@ -107,7 +107,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_
     """(id, digest, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
 
     n_hit: words inside any occurrence of a window; items: those with an occurring window. An empty benchmark hits
-    nothing, an empty table gives no rows, equal rows get equal results, other columns are ignored.
+    nothing, an empty table gives no rows, equal rows get equal results, other columns are ignored. Null and empty texts
+    have no words; a very long text is one array of words in the task that splits it.
     """
     rows, hits = matches(docs, benchmark, width, id_col, text_col, item_col)
     ends = "aggregate(array_sort(spans), named_struct('to', 0, 'n', 0), (a, x) -> named_struct('to', greatest(a.to, x.start + x.length), 'n', a.n + greatest(x.start + x.length - greatest(a.to, x.start), 0)), a -> a.n)"

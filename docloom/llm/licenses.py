@@ -170,7 +170,8 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | DataFrame | None = N
     """(id, matches) for each row of ``docs``; matches: (license, first, end, containment), places in words, sorted.
 
     Of several windows that show one license at one place the fullest is kept. Null and empty texts have no matches,
-    repeated rows stay separate, an empty table gives no rows, other columns are ignored.
+    repeated rows stay separate, an empty table gives no rows, other columns are ignored. A very long text is worked on
+    whole, one text at a time in a task.
     """
     if isinstance(templates, DataFrame):
         templates = template_table(templates)

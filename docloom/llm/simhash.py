@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have fingerprint zero and link like any other. Rows with null ids are linked too, but never
     name a component unless it has no other id. Repeated rows get equal results, an empty table gives no rows, other
-    columns are ignored.
+    columns are ignored. A very long text is one fingerprint over all of its shingles.
     """
     prints, named = _classes(docs, id_col, text_col, group_rows)
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -298,7 +298,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
 
     Null and empty texts have no words; texts of fewer words than a window lose none. Rows alike in id and text get
     equal results and do not count as earlier for each other; null ids come before all others. An empty table gives no
-    rows, other columns are ignored.
+    rows, other columns are ignored. A very long text is one list of words in the task that reads it.
     """
     least = F.lit(-(2**63)).cast("long")  # stands for null
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), least).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).cast("string").alias("text"))

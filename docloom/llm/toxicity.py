@@ -199,7 +199,8 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col
     """The columns ``keep`` of each row (its id if not given) with ``out``, from the text alone; null and empty texts, too.
 
     The calibrated value has steps; a hundredth of the plain logistic value of the margin orders texts within a step.
-    Repeated rows stay separate, an empty table gives no rows, other columns are carried along or ignored.
+    Repeated rows stay separate, an empty table gives no rows, other columns are carried along or ignored. A very long
+    text is measured whole.
     """
     keep = ["doc_id"] if keep is None else keep
     return _scored(docs, model, keep, text_col).select("row.*", F.col("score").alias(out))

@@ -41,7 +41,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Of pages with equal payloads (by SHA-256) of at least ``least`` bytes the one with the smallest id is the response and
     the others are revisits of it; null payloads are empty ones. Repeated ids stay separate rows, the first in no fixed order being
     the response. Payloads are not shuffled: digests are counted first, and those with copies are sent to all tasks up to
-    SMALL_ROWS of them; beyond, adaptive execution splits the join where a digest is hot.
+    SMALL_ROWS of them; beyond, adaptive execution splits the join where a digest is hot. An empty table gives no
+    records, other columns are ignored, and a very long payload is one record like any other.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": base32_sha1(F.col("html").cast("binary")), "same": F.sha2(F.col("html").cast("binary"), 256)})
@@ -143,7 +144,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """(file, type, record_id, uri, digest, refers_to, full_length, payload) of every record of the archives in ``path``.
 
     Payloads are bytes. A record whose header states no length cannot be passed over: its file ends there. Records stay where the scan has put them: only candidates off the chain are removed by a join,
-    and only records whose payload holds the magic word are put together from their pieces.
+    and only records whose payload holds the magic word are put together from their pieces. A folder without records gives
+    no rows; a payload of any length is one value, in memory while its row is.
     """
     held = cut(pieces(spark, path), "pieces")
     links = cut(located(held.select("file", "block", "row", "bytes", "head", "length")), "links")
