@@ -152,15 +152,20 @@ def densities(regions: DataFrame, boxes: DataFrame) -> DataFrame:
     """(doc, page, region, text_density, image_density): how full a region is with the characters and pictures of its page.
 
     ``regions``: doc, page, region, x0, y0, x1, y1; ``boxes``: doc, page, x0, y0, x1, y1, chars (0 for pictures). One equi
-    join on the page; what lies apart counts nothing.
+    join on the page, in which boxes of one place count together and regions of one place are one row; what lies apart
+    counts nothing.
     """
-    b = boxes.select("doc", "page", *(F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")), "chars")
+    place = ["doc", "page", "x0", "y0", "x1", "y1"]
+    b = boxes.groupBy(*place).agg(F.sum("chars").alias("chars"), F.count_if(F.col("chars") == 0).alias("pictures"))
+    b = b.select("doc", "page", *(F.col(c).alias(f"b_{c}") for c in place[2:]), "chars", "pictures")
     wide = F.least("x1", "b_x1") - F.greatest("x0", "b_x0")
     high = F.least("y1", "b_y1") - F.greatest("y0", "b_y0")
     touches = (wide > 0) & (high > 0)
-    sums = regions.join(b, ["doc", "page"], "left").groupBy("doc", "page", "region", "x0", "y0", "x1", "y1").agg(
-        F.sum(F.when(touches, F.col("chars"))).alias("c"), F.sum(F.when(touches & (F.col("chars") == 0), wide * high)).alias("a")
+    sums = regions.select(*place).distinct().join(b, ["doc", "page"], "left").groupBy(*place).agg(
+        F.sum(F.when(touches, F.col("chars"))).alias("c"), F.sum(F.when(touches & (F.col("pictures") > 0), wide * high * F.col("pictures"))).alias("a")
     )
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in place]
+    sums = regions.alias("r").join(sums.alias("s"), same, "left").select("r.*", "s.c", "s.a")
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     full = lambda part, whole: F.least(F.lit(1.0), F.coalesce(part, F.lit(0.0)) / whole)
     return sums.select("doc", "page", "region", full(F.col("c").cast("double"), F.greatest(F.lit(80.0), area / 180)).alias("text_density"), full(F.col("a"), F.greatest(F.lit(1.0), area)).alias("image_density"))
