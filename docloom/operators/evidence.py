@@ -392,10 +392,14 @@ def caption_assets(refs: DataFrame, assets: DataFrame) -> DataFrame:
     ``refs``: ref_id, doc_id, label; ``assets``: id, doc_id, label, caption. Only assets of the same document count.
     """
     fold = lambda c: F.lower(text.strip(F.coalesce(c, F.lit(""))))
+    rows = refs.select("ref_id", "doc_id", fold("label").alias("wanted")).where("wanted <> ''")
+    # Labels and captions that a document has often meet once; the smallest id stands for all assets alike.
+    asked = rows.select("doc_id", "wanted").distinct()
     own = assets.select("doc_id", F.col("id").alias("a"), fold("label").alias("l"), fold("caption").alias("c"))
-    rows = refs.select("ref_id", "doc_id", fold("label").alias("wanted")).where("wanted <> ''").join(own, "doc_id")
-    hit = F.when(F.col("l") == F.col("wanted"), 0).when(F.contains("c", F.col("wanted")), 1)
-    return rows.where(hit.isNotNull()).groupBy("ref_id").agg(F.min_by("a", F.struct(hit, "a")).alias("asset_id"))
+    labelled = asked.join(own.groupBy("doc_id", F.col("l").alias("wanted")).agg(F.min("a").alias("a")), ["doc_id", "wanted"]).withColumn("hit", F.lit(0))
+    captioned = asked.join(own.groupBy("doc_id", "c").agg(F.min("a").alias("a")), "doc_id").where(F.contains("c", F.col("wanted"))).withColumn("hit", F.lit(1))
+    best = labelled.select("doc_id", "wanted", "hit", "a").unionByName(captioned.select("doc_id", "wanted", "hit", "a")).groupBy("doc_id", "wanted").agg(F.min(F.struct("hit", "a")).alias("b"))
+    return rows.join(best, ["doc_id", "wanted"]).groupBy("ref_id").agg(F.min("b").alias("b")).select("ref_id", F.col("b.a").alias("asset_id"))
 
 
 @BOOK.add(f"""WITH {cte('a', ASSETS)}, r AS (SELECT id AS ref_id, doc_id, CASE WHEN id % 3 = 0 THEN lower(label) WHEN id % 3 = 1 THEN split_part(caption, ' ', 3) ELSE ' ' END AS label FROM a),
