@@ -84,8 +84,9 @@ def caption_candidates(page: Column, least: int = 20, most: int = 1200) -> Colum
     found = F.transform(F.regexp_extract_all(F.coalesce(page, F.lit("")), F.lit(pattern), F.lit(1)), text.collapse)
     found = F.filter(found, lambda c: F.length(c).between(least, most))
     label = lambda c: F.regexp_replace(F.lower(F.regexp_extract(c, r"(?i)^((?:fig\.?|figure|table)\s*\d+)", 1)), r"\s+", "")
-    labels = F.transform(found, label)
-    return F.filter(found, lambda c, i: F.array_position(labels, label(c)) == i + 1)
+    # Captions and labels are bound once each, not taken from the page again for every caption.
+    first = lambda own, labels: F.filter(own, lambda c, i: F.array_position(labels, F.get(labels, i)) == i + 1)
+    return F.transform(F.array(found), lambda own: F.transform(F.array(F.transform(own, label)), lambda labels: first(own, labels))[0])[0]
 
 
 _EVENT_JSON = """CASE event_id % 6 WHEN 0 THEN '{"job_id": 7, "n": {"a": [1, 2]}}' WHEN 1 THEN '{"job_id": "7"}' WHEN 2 THEN '{"job_id": 2.5}' WHEN 3 THEN '{bad' WHEN 4 THEN '[1]' ELSE props END"""
