@@ -38,11 +38,17 @@ def captions_to_boxes(captions: DataFrame, boxes: DataFrame, gap: float = 0.34,
     """The region of each caption: the union of the boxes above it on its page that are near and share columns with it.
 
     captions: doc, page, label, x0, y0, x1, y1, width, height; boxes: doc, page, x0, y0, x1, y1. An equi join on the page
-    with the range as its residual; a caption without boxes gets the strip above it.
+    with the range as its residual, in which boxes and captions of one place are one row each; a caption without boxes gets
+    the strip above it.
     """
-    b = boxes.select("doc", "page", *(F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))
+    b = boxes.select("doc", "page", *(F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1"))).distinct()
+    # Captions of a page with one label have one region, wherever they stand.
+    named = ["doc", "page", "label"]
+    place = ["x0", "y0", "x1", "y1", "width", "height"]
     near = (F.col("b_y1") <= F.col("y0") + 2) & (F.col("y0") - F.col("b_y1") <= F.col("height") * gap) & (F.least("x1", "b_x1") > F.greatest("x0", "b_x0"))
-    found = captions.join(b, ["doc", "page"]).where(near).groupBy("doc", "page", "label").agg(F.min("b_x0").alias("u0"), F.min("b_y0").alias("v0"), F.max("b_x1").alias("u1"), F.max("b_y1").alias("v1"))
+    ends = {"u0": F.min, "v0": F.min, "u1": F.max, "v1": F.max}
+    found = captions.select("doc", "page", *place).distinct().join(b, ["doc", "page"]).where(near).groupBy("doc", "page", *place).agg(*(how(f"b_{c}").alias(e) for (e, how), c in zip(ends.items(), ("x0", "y0", "x1", "y1"), strict=True)))
+    found = captions.join(found, ["doc", "page", *place]).groupBy(*named).agg(*(how(e).alias(e) for e, how in ends.items()))
     rows = captions.join(found, ["doc", "page", "label"], "left")
     inside = lambda x, high: F.greatest(F.lit(0.0), F.least(high, x))
     return rows.select(
