@@ -45,7 +45,7 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: token ids of each text, with digests of the ids and of the bytes they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = bpe.decode(bpe.encode(docs, path), path)
+    both = bpe.encode(docs, path, decoded="decoded")
     return both.select("doc_id", "ids", *bpe.digests())
 
 

@@ -25,7 +25,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from .shared import text_batches
 
 #: About so many bytes of words and their ids a worker keeps between blocks; beyond, it starts anew and replays them again.
-CACHE_BYTES = 100_000_000
+CACHE_BYTES = 50_000_000
 #: Pattern of the contract's tokenizer for texts in which no character is beyond U+024F, a control separator or a number
 #: that is no digit; the same matches as public_tokenizers.PATTERN there, in a third of the time.
 _LATIN = re.compile(r" ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -158,7 +158,7 @@ class _Encoder:
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
 
 
-def _blocks(column: pa.Array, rows: int = 2_000, chars: int = 4_000_000) -> Iterator[list[str]]:
+def _blocks(column: pa.Array, rows: int = 2_000, chars: int = 1_000_000) -> Iterator[list[str]]:
     """The texts of a column in runs of bounded size."""
     block, size = [], 0
     for value in column:
@@ -171,9 +171,18 @@ def _blocks(column: pa.Array, rows: int = 2_000, chars: int = 4_000_000) -> Iter
         yield block
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _bytes_of(ids: pa.Array, token: dict[int, bytes]) -> pa.Array:
+    """The bytes that each list of ids stands for."""
+    rows = (row.values if row.is_valid else None for row in ids)
+    texts = (None if row is None else b"".join(map(token.__getitem__, row.to_numpy(zero_copy_only=False).tolist())) for row in rows)
+    return pa.array(list(texts), pa.binary())
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", decoded: str | None = None) -> DataFrame:
     """(id, ids): the token ids of each whole text, one row for each row of ``docs``.
 
+    With ``decoded``, the name of a third column, the ids are decoded as by ``decode``, in the same Python workers.
+
     Null and empty texts have no ids. Repeated ids stay separate rows, other columns are ignored. Of a long text all of
     its words are in memory at once; a single word (a run of letters without a break) takes about 100 bytes for each of its own.
     """
@@ -185,14 +194,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder.of(ranks_path, pattern, ranks.value)
+        token = {rank: piece for piece, rank in ranks.value.items()} if decoded else {}
         for batch in batches:
             at = 0
             for block in _blocks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), encoder.encode(block)], ["id", "ids"])
+                ids = encoder.encode(block)
+                more = [_bytes_of(ids, token)] if decoded else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), ids, *more], names)
                 at += len(block)
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    kind, names = dict(docs.dtypes)[id_col], ["id", "ids", *([decoded] if decoded else [])]
+    schema = f"id {kind}, ids array<int>" + (f", `{decoded}` binary" if decoded else "")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -204,9 +217,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out: str =
         token = {rank: piece for piece, rank in ranks.value.items()}
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(ids_col))
-            rows = (row.values if row.is_valid else None for row in ids)
-            texts = (None if row is None else b"".join(map(token.__getitem__, row.to_numpy(zero_copy_only=False).tolist())) for row in rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(texts), pa.binary())], [*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _bytes_of(ids, token)], [*batch.schema.names, out])
 
     return encoded.mapInArrow(run, schema)
 
@@ -221,8 +232,8 @@ def digests() -> list[Column]:
 
 
 def roundtrip(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """The digests of op2: what ``encode`` made of each text and what ``decode`` makes of its ids."""
-    return decode(encode(docs, ranks_path), ranks_path).select("doc_id", *digests())
+    """The digests of op2: what ``encode`` makes of each text and what its ids decode to."""
+    return encode(docs, ranks_path, decoded="decoded").select("doc_id", *digests())
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
