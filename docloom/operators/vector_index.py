@@ -3,10 +3,15 @@
 Unit vectors are dealt to the nearest of a fixed number of centroids. A query is at least its distance to the centroid less
 the cell's radius away from any vector of a cell. The nearest cells that together hold k vectors give a first k-th
 distance; then only cells that can hold something as near are read. The result is that of a scan of all vectors.
+
+A cell meets its queries in blocks of bounded size, each as one product of matrices; what comes near the k-th place is
+scored again component by component, so that equal vectors have equal scores wherever they stand.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +23,8 @@ from docloom.plans.book import Book, scratch, table, written
 BOOK = Book()
 #: Cells, vectors that centroids are fitted on (the index holds all), rounds of the fit, and room for rounding.
 CELLS, FIT_ROWS, ROUNDS, ROOM = 64, 20_000, 10, 1e-6
+#: Vectors of a block on average, queries of one product, and how far a product may be from the score summed in order.
+BLOCK, AT_ONCE, SLACK = 8_000, 256, 1e-9
 
 
 def _unit(vector: str) -> Column:
@@ -26,9 +33,28 @@ def _unit(vector: str) -> Column:
     return F.transform(length, lambda n: F.transform(vector, lambda x: x.cast("double") / n))[0]
 
 
-def _apart(a: str, b: str) -> Column:
-    """Euclidean distance of two unit vectors."""
-    return F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * numbers.dot(F.col(a), F.col(b))))
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, summed from the first component to the last as ``numbers.dot`` does."""
+    return np.cumsum(a * b, axis=1)[:, -1]
+
+
+def _block_best(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(query, vec_id, score): the k best of a block for each query."""
+    found = []
+    if len(queries) and len(vectors):
+        ids, own = vectors["vec_id"].to_numpy(), np.stack(vectors["embedding"].to_numpy()).astype(np.float64)
+        lengths = np.sqrt(_in_order(own, own))
+        units = (own / lengths[:, None]).T
+        for at in range(0, len(queries), AT_ONCE):
+            part = queries.iloc[at : at + AT_ONCE]
+            asked = np.stack(part["unit"].to_numpy()).astype(np.float64)
+            for key, q, near in zip(part["query"], asked, asked @ units, strict=True):
+                least = np.partition(near, -k)[-k] if len(near) > k else -np.inf
+                some = np.flatnonzero(near >= least - SLACK)
+                score = _in_order(own[some], q[None, :]) / (lengths[some] * np.sqrt(_in_order(q[None, :], q[None, :])))
+                best = np.lexsort((ids[some], -score))[:k]
+                found.append(pd.DataFrame({"query": key, "vec_id": ids[some][best], "score": score[best]}))
+    return pd.concat(found) if found else pd.DataFrame({"query": [], "vec_id": [], "score": []})
 
 
 class VectorIndex:
@@ -39,10 +65,11 @@ class VectorIndex:
 
     @classmethod
     def build(cls, vectors: DataFrame, path: str, cells: int = CELLS, id_col: str = "vec_id", vector_col: str = "embedding") -> VectorIndex:
-        """Index all ``vectors`` of one length that are not zero; null ones are left out, as they are near to nothing."""
+        """Index all ``vectors`` of one length that are not zero; null ones and ones with components that are null or not finite are left out, as they are near to nothing."""
         spark = vectors.sparkSession
         rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding")).where("embedding is not null")
-        rows = rows.where(numbers.dot(F.col("embedding"), F.col("embedding")) > 0).withColumn("unit", _unit("embedding"))
+        squares = numbers.dot(F.col("embedding"), F.col("embedding"))
+        rows = rows.where((squares > 0) & (squares < float("inf"))).withColumn("unit", _unit("embedding"))
         fitted = rows.withColumn("v", array_to_vector("unit"))
         n = rows.count()
         sample = fitted.sample(min(1.0, FIT_ROWS / max(n, 1)), 7) if n > FIT_ROWS else fitted
@@ -67,11 +94,17 @@ class VectorIndex:
         near = written(near, "away")  # read three times
         before = F.sum("n").over(Window.partitionBy("query").orderBy("away", "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
         first = near.withColumn("before", before).where(F.col("before") < k).select("query", "unit", "cell")
-        reach = self._best(first, k).groupBy("query").agg(F.when(F.count("*") == k, F.max("apart")).otherwise(F.lit(float("inf"))).alias("reach"))
+        apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("score")))
+        reach = self._best(first, k).groupBy("query").agg(F.when(F.count("*") == k, apart).otherwise(F.lit(float("inf"))).alias("reach"))
         return first, near.join(reach, "query").where(F.col("away") - F.col("radius") <= F.col("reach") + ROOM).select("query", "unit", "cell")
 
     def _best(self, pairs: DataFrame, k: int) -> DataFrame:
-        met = pairs.withColumnRenamed("unit", "q").join(self.vectors, "cell").select("query", "vec_id", _apart("unit", "q").alias("apart"), numbers.cosine(F.col("embedding"), F.col("q")).alias("score"))
+        ids = dict(pairs.dtypes)["query"], dict(self.vectors.dtypes)["vec_id"]
+        parts = self.cells.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        asked = pairs.join(F.broadcast(parts), "cell").select("query", "unit", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        held = self.vectors.join(F.broadcast(parts), "cell").select("vec_id", "embedding", "cell", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"))
+        both = asked.groupBy("cell", "block").cogroup(held.groupBy("cell", "block"))
+        met = both.applyInPandas(lambda q, v: _block_best(q, v, k), f"query {ids[0]}, vec_id {ids[1]}, score double")
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
         return met.withColumn("place", place).where(F.col("place") <= k)
 

@@ -98,3 +98,19 @@ def test_share_of_vectors_visited(spark, tmp_path):
     own = df.where("vec_id < 20").select(F.col("vec_id").alias("query"), F.transform("embedding", lambda x: x / F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, y: s + y * y))).alias("unit"))
     visited = index.visits(own, 10)[1].join(index.cells, "cell").agg(F.sum("n")).first()[0]
     assert visited < 20 * 4_000 / 3
+
+
+def test_blocks_score_copies_alike(monkeypatch):
+    """Copies tie wherever they stand in a block, so the smaller ids come first; scores are those of sums in order."""
+    import pandas as pd
+
+    from docloom.operators import vector_index
+
+    monkeypatch.setattr(vector_index, "AT_ONCE", 2)
+    v = np.random.default_rng(1).normal(size=(90, 33))
+    v[[5, 40, 77, 88]] = v[60]
+    vectors = pd.DataFrame({"vec_id": np.arange(90)[::-1], "embedding": list(v)})
+    queries = pd.DataFrame({"query": [1, 2, 3], "unit": [v[60] / np.linalg.norm(v[60]), v[0], v[1]]})
+    got = vector_index._block_best(queries, vectors, 3)
+    assert got[got["query"] == 1]["vec_id"].tolist() == [1, 12, 29] and got[got["query"] == 1]["score"].nunique() == 1
+    assert got.groupby("query").size().tolist() == [3, 3, 3]
