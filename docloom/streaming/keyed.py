@@ -24,15 +24,68 @@ STATES = ("pending", "processing", "done", "failed")
 PROGRESS = "job_id long, item_id long, kind string, ms long, items long, pending long, processing long, done long, failed long, percent double, version long"
 TRIES = "job_id long, attempt int, ms long, status string, next_ms long"
 ADMITTED = "key long, id long, ms long, admitted_ms long"
+#: Jobs with consecutive ids that share a call of a processor, of progress and of tries, and items of a job that are read and
+#: written together: a call, a timer and every access to state cost far more than a row does.
+JOBS_AT_ONCE, JOBS_OF_TRIES, ITEMS_AT_ONCE = 16, 1_000, 64
 #: Times are milliseconds in state and in rows, so that no time zone of a worker matters.
 ProgressRow, TryRow, AdmittedRow = (Row(*(c.split()[0] for c in schema.split(", "))) for schema in (PROGRESS, TRIES, ADMITTED))
 
 
+def _plain(waiting: Row) -> tuple:
+    """A waiting job as tuples: rows in rows cannot be written to state."""
+    return waiting[0], tuple(waiting[1]), *waiting[2:]
+
+
+class _Jobs:
+    """State of one call of JobProgress: counts and waiting times of its jobs, and the parts of their items that were read."""
+
+    def __init__(self, state: Any, items: Any):
+        counts, waiting, self.timer = state.get() or ((), (), None)
+        self.state, self.items, self.parts = state, items, {}
+        self.counts = {job: dict(zip(("items", *STATES, "version"), rest, strict=True)) for job, *rest in counts}
+        self.waiting = {(job, item): due for job, item, due in waiting}
+
+    def part(self, job: int, item: int) -> dict[int, tuple]:
+        """The items that are kept with this one: state, time of the last change, its id, when it is due, times queued again."""
+        at = (job, None if item is None else item // ITEMS_AT_ONCE)
+        if at not in self.parts:
+            held = self.items.getValue(at) if self.items.containsKey(at) else None
+            self.parts[at] = {i: tuple(rest) for i, *rest in held[0]} if held else {}
+        return self.parts[at]
+
+    def requeue(self, job: int, item: int, at: int) -> Iterator[Row]:
+        state, _, number, due, requeued = self.part(job, item)[item]
+        if state == "processing" and due == at and not requeued:
+            self.part(job, item)[item] = ("pending", at, number, 0, 1)
+            self.waiting.pop((job, item), None)
+            counts = self.counts[job]
+            counts["processing"], counts["pending"], counts["version"] = counts["processing"] - 1, counts["pending"] + 1, counts["version"] + 1
+            yield self.row(job, "requeued", item, at)
+
+    def row(self, job: int, kind: str, item: int | None, ms: int) -> Row:
+        counts = self.counts[job]
+        done = counts["done"] + counts["failed"]
+        return ProgressRow(job, item, kind, ms, *(counts[c] for c in ("items", *STATES)), round(100.0 * done / counts["items"], 1), counts["version"])
+
+    def keep(self, handle: StatefulProcessorHandle) -> None:
+        """Write what was read, once, and set the timer to the first due time."""
+        for at, part in self.parts.items():
+            self.items.updateValue(at, ([(i, *rest) for i, rest in part.items()],))
+        due = min(self.waiting.values(), default=None)
+        if due != self.timer:
+            if self.timer is not None:
+                handle.deleteTimer(self.timer)
+            if due is not None:
+                handle.registerTimer(due)
+        self.state.update(([(job, *c.values()) for job, c in self.counts.items()], [(*at, ms) for at, ms in self.waiting.items()], due))
+
+
 class JobProgress(StatefulProcessor):
-    """Rows of items' changes (item_id, state, ts, id) by job: progress after each batch, and items queued again.
+    """Rows of items' changes (job_id, item_id, state, ts, id) by runs of jobs: progress after each batch, and items queued again.
 
     An item that is in work and has not moved for ``stale`` seconds waits again, once. A change that is older than the
-    item's last one is passed over. State: each item, counts of the job, and which items are due when.
+    item's last one is passed over. State: items in parts of ITEMS_AT_ONCE, so that a part is read and written once a batch;
+    counts of the jobs and which items are due when, with one timer for the first of them.
     """
 
     def __init__(self, stale: int):
@@ -40,33 +93,21 @@ class JobProgress(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.items = handle.getMapState("items", "item_id long", "state string, moved long, id long, due long, requeued int")
-        self.due = handle.getMapState("due", "at long", "items array<long>")
-        self.counts = handle.getValueState("counts", "items long, pending long, processing long, done long, failed long, version long")
-
-    def _count(self) -> dict[str, int]:
-        now = self.counts.get() if self.counts.exists() else (0, 0, 0, 0, 0, 0)
-        return dict(zip(("items", *STATES, "version"), now, strict=True))
-
-    def _row(self, key: Any, counts: dict[str, int], kind: str, item: int | None, ms: int) -> Row:
-        done = counts["done"] + counts["failed"]
-        return ProgressRow(key[0], item, kind, ms, *(counts[c] for c in ("items", *STATES)), round(100.0 * done / counts["items"], 1), counts["version"])
-
-    def _requeue(self, key: Any, item: int, at: int, counts: dict[str, int]) -> Iterator[Row]:
-        state, _, number, due, requeued = self.items.getValue((item,))
-        if state == "processing" and due == at and not requeued:
-            self.items.updateValue((item,), ("pending", at, number, 0, 1))
-            counts["processing"], counts["pending"], counts["version"] = counts["processing"] - 1, counts["pending"] + 1, counts["version"] + 1
-            yield self._row(key, counts, "requeued", item, at)
+        self.items = handle.getMapState("items", "job_id long, part long", "items array<struct<item_id: long, state: string, moved: long, id: long, due: long, requeued: int>>")
+        counts = ", ".join(f"{c}: long" for c in ("job_id", "items", *STATES, "version"))
+        self.jobs = handle.getValueState("jobs", f"counts array<struct<{counts}>>, waiting array<struct<job_id: long, item_id: long, due: long>>, timer long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        counts, last = self._count(), 0
+        own, last = _Jobs(self.jobs, self.items), {}
         for r in sorted(rows, key=lambda r: (r.ms, r.id)):
-            ms, item = r.ms, (r.item_id,)
-            if self.items.containsKey(item):
-                if self.items.getValue(item)[3] and self.items.getValue(item)[3] < ms:
-                    yield from self._requeue(key, r.item_id, self.items.getValue(item)[3], counts)
-                before, moved, number, _, requeued = self.items.getValue(item)
+            job, item, ms = r.job_id, r.item_id, r.ms
+            counts = own.counts.setdefault(job, dict.fromkeys(("items", *STATES, "version"), 0))
+            part = own.part(job, item)
+            last.setdefault(job, 0)
+            if item in part:
+                if part[item][3] and part[item][3] < ms:
+                    yield from own.requeue(job, item, part[item][3])
+                before, moved, number, _, requeued = part[item]
                 if (moved, number) > (ms, r.id):
                     continue
                 counts[before] -= 1
@@ -74,63 +115,81 @@ class JobProgress(StatefulProcessor):
                 requeued = 0
                 counts["items"] += 1
             due = ms + self.stale if r.state == "processing" and not requeued else 0
+            own.waiting.pop((job, item), None)
             if due:
-                same = self.due.getValue((due,))[0] if self.due.containsKey((due,)) else []
-                self.due.updateValue((due,), ([*same, r.item_id],))
-                self.handle.registerTimer(due)
+                own.waiting[job, item] = due
             counts[r.state] += 1
-            self.items.updateValue(item, (r.state, ms, r.id, due, requeued))
-            last = ms
-        counts["version"] += 1
-        self.counts.update(tuple(counts.values()))
-        yield self._row(key, counts, "progress", None, last)
+            part[item] = (r.state, ms, r.id, due, requeued)
+            last[job] = ms
+        for job, ms in last.items():
+            own.counts[job]["version"] += 1
+            yield own.row(job, "progress", None, ms)
+        own.keep(self.handle)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        at, counts = expiredTimerInfo.getExpiryTimeInMs(), self._count()
-        if self.due.containsKey((at,)):
-            for item in self.due.getValue((at,))[0]:
-                yield from self._requeue(key, item, at, counts)
-            self.due.removeKey((at,))
-            self.counts.update(tuple(counts.values()))
+        own, now = _Jobs(self.jobs, self.items), max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        own.timer = None
+        for at, (job, item) in sorted((due, at) for at, due in own.waiting.items() if due <= now):
+            yield from own.requeue(job, item, at)
+        own.keep(self.handle)
 
 
 class Retries(StatefulProcessor):
-    """Jobs (ts and whatever ``failed`` needs) by id, each tried until it is done or failed ``most`` times; later tries come by timer.
+    """Jobs (job_id, ts and whatever ``failed`` needs) by runs of ids, each tried until it is done or failed ``most`` times; later tries come by timer.
 
     ``failed`` (row as a dictionary, attempt) says whether a try fails. The wait before the next is ``delay`` seconds times
-    ``factor`` for each try before. A job that is submitted again is passed over.
+    ``factor`` for each try before. A job that is submitted again is passed over. State: the ids of a run that have come and
+    its jobs that wait, no more than JOBS_OF_TRIES of either, with one timer for the first of them.
     """
 
     def __init__(self, failed: Callable[[dict, int], bool], columns: str, delay: int, most: int, factor: int = 1):
         self.failed, self.columns, self.delay, self.most, self.factor = failed, columns, delay, most, factor
+        self.names = [c.split()[0] for c in columns.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.job = handle.getValueState("job", f"{self.columns}, attempt int")
+        self.jobs = handle.getValueState("jobs", f"seen array<long>, waiting array<struct<job_id: long, job: struct<{self.columns}>, attempt: int, due: long>>, timer long")
 
-    def _tries(self, key: Any, job: dict, attempt: int, ms: int, now: int) -> Iterator[Row]:
-        """The try at ``ms`` and all that are due by ``now``, as after a long pause; the next one gets a timer."""
+    def _tries(self, number: int, job: tuple, attempt: int, ms: int, now: int, waiting: list[tuple]) -> Iterator[Row]:
+        """The try at ``ms`` and all that are due by ``now``, as after a long pause; the next one is added to ``waiting``."""
+        given = dict(zip(self.names, job, strict=True))
         while True:
-            failed = self.failed(job, attempt)
+            failed = self.failed(given, attempt)
             again = ms + self.delay * 1_000 * self.factor ** (attempt - 1) if failed and attempt < self.most else None
-            yield TryRow(key[0], attempt, ms, "done" if not failed else "failed" if again is None else "pending", again)
+            yield TryRow(number, attempt, ms, "done" if not failed else "failed" if again is None else "pending", again)
             if again is None or again > now:
                 break
             ms, attempt = again, attempt + 1
-        self.job.update((*job.values(), attempt))
         if again is not None:
-            self.handle.registerTimer(again)
+            waiting.append((number, job, attempt, again))
+
+    def _keep(self, seen: list[int], waiting: list[tuple], timer: int | None) -> None:
+        due = min((w[3] for w in waiting), default=None)
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        self.jobs.update((seen, waiting, due))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        first = min(rows, key=lambda r: r.ms)
-        if not self.job.exists():
-            names = [c.split()[0] for c in self.columns.split(", ")]
-            yield from self._tries(key, {n: first[n] for n in names}, 1, first.ms, 0)
+        seen, waiting, timer = self.jobs.get() or ([], [], None)
+        known, first, waiting = set(seen), {}, [_plain(w) for w in waiting]
+        for r in rows:
+            if r.job_id not in known and (r.job_id not in first or r.ms < first[r.job_id].ms):
+                first[r.job_id] = r
+        for number, r in first.items():
+            yield from self._tries(number, tuple(r[n] for n in self.names), 1, r.ms, 0, waiting)
+        if first:
+            self._keep([*seen, *first], waiting, timer)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        *job, attempt = self.job.get()
-        names = [c.split()[0] for c in self.columns.split(", ")]
-        yield from self._tries(key, dict(zip(names, job, strict=True)), attempt + 1, expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        (seen, jobs, _), now = self.jobs.get(), max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        waiting = [_plain(w) for w in jobs if w[3] > now]
+        for number, job, attempt, due in map(_plain, jobs):
+            if due <= now:
+                yield from self._tries(number, job, attempt + 1, due, now, waiting)
+        self._keep(seen, waiting, None)
 
 
 class SlidingLimit(StatefulProcessor):
@@ -158,8 +217,8 @@ class SlidingLimit(StatefulProcessor):
 
 def progress_stream(changes: DataFrame, stale: int, late: str = "0 seconds") -> DataFrame:
     """Progress rows of a stream of changes (job_id, item_id, state, ts, id); the last version of a job is its state now."""
-    rows = changes.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts")).groupBy("job_id")
-    return rows.transformWithState(JobProgress(stale), PROGRESS, "Append", "EventTime").withColumn("at", F.timestamp_millis("ms")).drop("ms")
+    rows = changes.withWatermark("ts", late).select(F.expr(f"job_id div {JOBS_AT_ONCE}").alias("jobs"), "job_id", "item_id", "state", "id", "ts", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("jobs").transformWithState(JobProgress(stale), PROGRESS, "Append", "EventTime").withColumn("at", F.timestamp_millis("ms")).drop("ms")
 
 
 def progress_batch(changes: DataFrame, stale: int, until: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -182,8 +241,9 @@ def progress_batch(changes: DataFrame, stale: int, until: DataFrame) -> tuple[Da
 
 def tries_stream(jobs: DataFrame, failed: Callable[[dict, int], bool], columns: str, delay: int, most: int, factor: int = 1, late: str = "0 seconds") -> DataFrame:
     """Each try of a stream of jobs (job_id, ts, ``columns``) with its time, outcome and next time."""
-    rows = jobs.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts")).groupBy("job_id")
-    out = rows.transformWithState(Retries(failed, columns, delay, most, factor), TRIES, "Append", "EventTime")
+    processor = Retries(failed, columns, delay, most, factor)
+    rows = jobs.withWatermark("ts", late).select(F.expr(f"job_id div {JOBS_OF_TRIES}").alias("jobs"), "job_id", *processor.names, "ts", F.unix_millis("ts").alias("ms"))
+    out = rows.groupBy("jobs").transformWithState(processor, TRIES, "Append", "EventTime")
     return out.select("job_id", "attempt", F.timestamp_millis("ms").alias("at"), "status", F.timestamp_millis("next_ms").alias("next_run"))
 
 

@@ -1,6 +1,7 @@
 """Keyed state: what streams put out does not depend on restarts, and equals the batch twins."""
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,3 +49,16 @@ def test_sliding_limit(spark):
         times = sorted(t for (k, _), t in stream.items() if k == key)
         assert all((c - a).total_seconds() >= 60 for a, c in zip(times, times[2:], strict=False))
     assert stream[0, 4] == at(60) and stream[0, 12] == at(300)
+
+
+@pytest.mark.parametrize("work", ["tries", "progress"])
+def test_jobs_share_calls_and_timers(spark, tmp_path, work):
+    """1,600 waiting jobs in few runs of ids: a timer and a call for a run, not for each job."""
+    rows = spark.range(1_600).selectExpr("id AS job_id", "id % 3 AS item_id", "'processing' AS state", "timestamp_seconds(1700000000 + id % 7) AS ts", "id", "id % 4 AS fails")
+    rows.write.parquet(f"{tmp_path}/in")
+    streams = {"tries": lambda s: op.tries_stream(s, lambda job, n: n <= job["fails"], "fails long", 10, 3, 2), "progress": lambda s: op.progress_stream(s, 50)}
+    with op.rocks(spark):
+        query = op.drain(streams[work](spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")), lambda df, k: df.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={k}"), f"{tmp_path}/c")
+        query.awaitTermination()
+    timers = sum(int(o["customMetrics"]["numRegisteredTimers"]) for p in map(json.loads, (p.json for p in query.recentProgress)) for o in p["stateOperators"])
+    assert spark.read.parquet(f"{tmp_path}/out").select("job_id").distinct().count() == 1_600 and 0 < timers <= 100
