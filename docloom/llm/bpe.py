@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,11 +172,24 @@ def _blocks(column: pa.Array, rows: int = 2_000, chars: int = 1_000_000) -> Iter
         yield block
 
 
-def _bytes_of(ids: pa.Array, token: dict[int, bytes]) -> pa.Array:
-    """The bytes that each list of ids stands for."""
-    rows = (row.values if row.is_valid else None for row in ids)
-    texts = (None if row is None else b"".join(map(token.__getitem__, row.to_numpy(zero_copy_only=False).tolist())) for row in rows)
-    return pa.array(list(texts), pa.binary())
+def _pieces(ranks: dict[bytes, int]) -> pa.Array:
+    """The bytes of each token at the place of its rank."""
+    pieces: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return pa.array(pieces, pa.binary())
+
+
+def _bytes_of(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
+    """The bytes that each list of ids stands for: the tokens of all lists are taken at once, a list's bytes lie side by side there."""
+    flat = pieces.take(ids.flatten())
+    if flat.null_count:
+        raise KeyError("an id is no token's rank")
+    _, bounds, data = flat.buffers()
+    starts = np.frombuffer(bounds, np.int32)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
+    ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_pylist()])
+    valid = pc.is_valid(ids).buffers()[1] if ids.null_count else None
+    return pa.Array.from_buffers(pa.binary(), len(ids), [valid, pa.py_buffer(starts[ends]), data if data is not None else pa.py_buffer(b"")])
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", decoded: str | None = None) -> DataFrame:
@@ -194,12 +208,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder.of(ranks_path, pattern, ranks.value)
-        token = {rank: piece for piece, rank in ranks.value.items()} if decoded else {}
+        pieces = _pieces(ranks.value) if decoded else None
         for batch in batches:
             at = 0
             for block in _blocks(batch.column(1)):
                 ids = encoder.encode(block)
-                more = [_bytes_of(ids, token)] if decoded else []
+                more = [_bytes_of(ids, pieces)] if decoded else []
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), ids, *more], names)
                 at += len(block)
 
@@ -214,10 +228,10 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out: str =
     schema = StructType([*encoded.schema.fields, StructField(out, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: piece for piece, rank in ranks.value.items()}
+        pieces = _pieces(ranks.value)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(ids_col))
-            yield pa.RecordBatch.from_arrays([*batch.columns, _bytes_of(ids, token)], [*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _bytes_of(ids, pieces)], [*batch.schema.names, out])
 
     return encoded.mapInArrow(run, schema)
 

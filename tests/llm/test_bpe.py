@@ -2,6 +2,7 @@ import base64
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -76,3 +77,13 @@ def test_ranks_with_gaps(spark, tmp_path):
     path.write_text("".join(f"{base64.b64encode(k).decode()} {v}\n" for k, v in ranks.items()))
     both = bpe.decode(bpe.encode(spark.createDataFrame([(1, "abc xab")], "doc_id long, text string"), str(path)), str(path)).first()
     assert both.ids == [900, 64, 240, 700] and bytes(both.decoded) == b"abc xab"
+
+
+def test_bytes_of_lists_taken_at_once():
+    pieces = bpe._pieces({b"a": 0, b"": 1, "é".encode(): 3})
+    ids = pa.array([[0, 3], None, [], [3, 1, 0]], pa.list_(pa.int32()))
+    assert bpe._bytes_of(ids, pieces).to_pylist() == ["aé".encode(), None, b"", "éa".encode()]
+    assert bpe._bytes_of(ids.slice(1, 3), pieces).to_pylist() == [None, b"", "éa".encode()]
+    assert bpe._bytes_of(ids.slice(1, 2), pieces).to_pylist() == [None, b""] and bpe._bytes_of(ids.slice(0, 0), pieces).to_pylist() == []
+    with pytest.raises(KeyError):
+        bpe._bytes_of(pa.array([[2]], pa.list_(pa.int32())), pieces)
