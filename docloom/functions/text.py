@@ -27,11 +27,12 @@ CJK = "㐀-䶿一-鿿豈-﫿"
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_extract(text, r"(?Us)^\s*(.*\S)?", 1)
 
 
 def collapse(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    # Single spaces stay as they are, and no other white space is left to strip.
+    return F.trim(F.regexp_replace(text, r"(?U)\s{2,}|[^\S ]", " "))
 
 
 def estimate_tokens(text: Column) -> Column:
