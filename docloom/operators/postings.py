@@ -7,8 +7,12 @@ lie in folders by shard. A search reads the folders of its grams, and of the tex
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +24,59 @@ BOOK = Book()
 GRAM, SHARD_TEXTS, FOLDERS = 3, 1_000, 64
 
 
-def grams(value: Column) -> Column:
-    """Distinct runs of three characters of a lower-cased text; a look-ahead finds them all in one pass."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(value), F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+#: Characters of a shard's texts whose grams are sorted at once.
+AT_ONCE = 4_000_000
+
+
+def _runs(columns: list[list[str | None]], ranks: list[int]) -> Iterator[tuple[list[int], list[str]]]:
+    """Ranks and texts in runs of bounded size; a longer text is cut, its pieces share the characters of the grams at the cut."""
+    held, size = ([], []), 0
+    for column in columns:
+        for rank, value in zip(ranks, column, strict=True):
+            for at in range(0, len(value or "") - GRAM + 1 if rank >= 0 else 0, AT_ONCE):
+                held[0].append(rank)
+                held[1].append(value[at : at + AT_ONCE + GRAM - 1])
+                size += len(held[1][-1])
+                if size >= AT_ONCE:
+                    yield held
+                    held, size = ([], []), 0
+    if held[0]:
+        yield held
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def postings_of(texts: pa.Table) -> pa.Table:
+    """(shard, gram, ids) of one shard; ``texts``: shard, id, then lower-cased columns. Rows with a null id are left out.
+
+    A gram and the rank of its text's id are one number, so one sort gives the grams and the ids of each in order.
+    """
+    ids, columns = texts.column(1).combine_chunks(), [c.to_pylist() for c in texts.columns[2:]]
+    order = pc.sort_indices(ids).to_numpy()[: len(ids) - ids.null_count]  # nulls come last
+    rank, n = np.full(len(ids), -1), max(1, len(order))
+    rank[order] = np.arange(len(order))
+    letters = np.array(sorted(map(ord, set().union(*(v for c in columns for v in c if v)))), np.int64)
+    k, place = max(1, len(letters)), np.zeros(letters.max(initial=0) + 1, np.int64)
+    place[letters] = np.arange(len(letters))
+    found = [np.zeros(0, np.int64)]
+    for owners, run in _runs(columns, rank.tolist()):
+        sizes = np.array([*map(len, run)])
+        code = place[np.frombuffer("".join(run).encode("utf-32-le"), np.uint32)]
+        key = ((code[:-2] * k + code[1:-1]) * k + code[2:]) * n + np.repeat(owners, sizes)[:-2]
+        inside = np.ones(len(code), bool)  # a gram does not run over the end of its text
+        inside[np.cumsum(sizes) - 1] = inside[np.cumsum(sizes) - 2] = False
+        found.append(_distinct(key[inside[:-2]]))
+    keys = _distinct(np.concatenate(found))
+    grams = keys // n
+    starts = np.flatnonzero(np.diff(grams, prepend=-1))
+    names = grams[starts]
+    spelled = letters[np.stack([names // (k * k), names // k % k, names % k], axis=1)].astype("<u4").tobytes().decode("utf-32-le") if len(names) else ""
+    lists = pa.ListArray.from_arrays(pa.array([*starts, len(keys)], pa.int32()), ids.take(pa.array(order[keys % n], pa.int64())))
+    shard = pa.array(np.full(len(names), texts.column(0)[0].as_py()), pa.int32())
+    return pa.table({"shard": shard, "gram": pa.array([spelled[i : i + GRAM] for i in range(0, len(spelled), GRAM)], pa.string()), "ids": lists})
 
 
 def _folder(gram: Column) -> Column:
@@ -42,15 +96,17 @@ class Postings:
     def build(cls, docs: DataFrame, path: str, columns: list[str], id_col: str = "doc_id") -> Postings:
         """Index ``columns`` of ``docs``, whose ids are unique; null values hold nothing.
 
-        Texts are shuffled once, to their shards; the postings of a shard are made where its texts are.
+        Texts are shuffled to their shards, and once more with their shard's other texts to be worked on as one; their grams
+        are sorted there as numbers and leave it as one row for each gram of the shard. A shard has SHARD_TEXTS texts on average.
         """
         shards = max(1, -(-docs.count() // SHARD_TEXTS))
         shard = F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int")
         own = docs.select(id_col, *(c for c in docs.columns if c != id_col))
         own.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", id_col).write.partitionBy("shard").parquet(f"{path}/texts")
         texts = docs.sparkSession.read.parquet(f"{path}/texts")
-        found = F.array_distinct(F.flatten(F.array(*(F.coalesce(grams(F.col(c)), F.array().cast("array<string>")) for c in columns))))
-        rows = texts.select("shard", F.col(id_col).alias("id"), F.explode(found).alias("gram")).groupBy("shard", "gram").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        ids = dict(texts.dtypes)[id_col]
+        low = texts.select("shard", F.col(id_col).alias("id"), *(F.lower(c).alias(f"c{n}") for n, c in enumerate(columns)))
+        rows = low.groupBy("shard").applyInArrow(postings_of, f"shard int, gram string, ids array<{ids}>")
         rows.withColumn("folder", _folder(F.col("gram"))).repartition("folder").sortWithinPartitions("folder", "gram", "shard").write.partitionBy("folder").parquet(f"{path}/postings")
         return cls(docs.sparkSession, path)
 
