@@ -1,7 +1,7 @@
 """Operator 2, byte-level BPE encoding and decoding by merge replay.
 
-Instead of running the merges word by word, a block of documents is reduced to its distinct words, all of them are laid
-out as one linked list of tokens, and an inverted index leads from each mergeable token pair to the positions where it
+Instead of running the merges word by word, a block of documents is reduced to its distinct words, thousands of them are
+laid out as one linked list of tokens, and an inverted index leads from each mergeable token pair to the positions where it
 stands. The merges are then replayed in the order of their ranks: a merge visits just the positions in its entry and
 updates just the two neighbours of each. A word's ids depend on that word alone, so blocks need no exchange, and the
 words a Python worker has replayed are kept for its next blocks in a cache of bounded size.
@@ -27,6 +27,8 @@ from .shared import text_batches
 
 #: About so many bytes of words and their ids a worker keeps between blocks; beyond, it starts anew and replays them again.
 CACHE_BYTES = 50_000_000
+#: So many words are laid out as one list and replayed together: their tokens and index stay in a processor's cache, which more do not.
+WORDS_AT_ONCE = 4_000
 #: Pattern of the contract's tokenizer for texts in which no character is beyond U+024F, a control separator or a number
 #: that is no digit; the same matches as public_tokenizers.PATTERN there, in a third of the time.
 _LATIN = re.compile(r" ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -58,42 +60,46 @@ def replay(words: list[bytes], single: list[int], pairs: dict[int, int]) -> list
 
     ``single`` has the tokens of single bytes, ``pairs`` is what ``merges`` made.
     """
-    tokens: list[int] = list(map(single.__getitem__, b"".join(words)))
-    size = len(tokens)
-    left, right = list(range(-1, size - 1)), list(range(1, size + 1))
-    starts, at = [], 0
-    for word in words:
-        starts.append(at)
-        if word:
-            left[at] = -1
-            at += len(word)
-            right[at - 1] = -1
+    start = np.array(single, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+    size = len(start)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes) - sizes
+    some = starts[sizes > 0]
+    left, right = np.arange(-1, size - 1), np.arange(1, size + 1)
+    left[some], right[(starts + sizes - 1)[sizes > 0]] = -1, -1
+    # The index: for each merge the places where its pair stands, from left to right; ``due`` is the merge due at a place.
+    codes, which = np.unique(start[:-1] * WIDE + start[1:], return_inverse=True)
+    due = np.full(size, -1, np.int64)
+    due[:-1] = np.array([pairs.get(code, -1) for code in codes.tolist()], np.int64)[which] if size > 1 else -1
+    due[right < 0] = -1
+    order = np.argsort(due, kind="stable")
+    order = order[np.searchsorted(due[order], 0) :]
+    ranks = due[order]
+    bounds = np.flatnonzero(np.diff(ranks, prepend=-1, append=-1)).tolist()
+    at = order.tolist()
+    index: dict[int, list[int]] = {rank: at[a:b] for rank, a, b in zip(ranks[bounds[:-1]].tolist(), bounds[:-1], bounds[1:], strict=True)}
+    tokens, left, right, due = start.tolist(), left.tolist(), right.tolist(), due.tolist()
     merged = pairs.get
-    index: dict[int, list[int]] = {}
-    for i, j in enumerate(right):
-        if j >= 0 and (rank := merged(tokens[i] * WIDE + tokens[j])) is not None:
-            if rank in index:
-                index[rank].append(i)
-            else:
-                index[rank] = [i]
-    queue = list(index)
-    heapq.heapify(queue)
+    queue = list(index)  # in order, so a heap
     while queue:
         rank = heapq.heappop(queue)
         places = index.pop(rank, None)
         if places is None:
             continue
         places.sort()  # in a word, from left to right
+        wide = rank * WIDE
         for n, i in enumerate(places):
-            j = right[i]
-            if j < 0 or tokens[i] < 0 or merged(tokens[i] * WIDE + tokens[j]) != rank:
+            if due[i] != rank:
                 continue
+            j = right[i]
             tokens[i], tokens[j] = rank, -1
             right[i] = k = right[j]
+            due[i] = due[j] = -1
             sooner = False
             if k >= 0:
                 left[k] = i
-                if (new := merged(rank * WIDE + tokens[k])) is not None:
+                if (new := merged(wide + tokens[k])) is not None:
+                    due[i] = new
                     if new in index:
                         index[new].append(i)
                     else:
@@ -101,13 +107,17 @@ def replay(words: list[bytes], single: list[int], pairs: dict[int, int]) -> list
                         heapq.heappush(queue, new)
                     sooner = new < rank
             h = left[i]
-            if h >= 0 and (new := merged(tokens[h] * WIDE + rank)) is not None:
-                if new in index:
-                    index[new].append(h)
+            if h >= 0:
+                if (new := merged(tokens[h] * WIDE + rank)) is None:
+                    due[h] = -1
                 else:
-                    index[new] = [h]
-                    heapq.heappush(queue, new)
-                sooner |= new < rank
+                    due[h] = new
+                    if new in index:
+                        index[new].append(h)
+                    else:
+                        index[new] = [h]
+                        heapq.heappush(queue, new)
+                    sooner |= new < rank
             if sooner and n + 1 < len(places):  # a merge of lower rank has come up: it goes before the rest of these
                 if rank not in index:
                     index[rank] = []
@@ -118,8 +128,7 @@ def replay(words: list[bytes], single: list[int], pairs: dict[int, int]) -> list
     kept = flat >= 0
     counts = np.concatenate([[0], np.cumsum(kept)]) * 4
     raw = flat[kept].tobytes()
-    ends = [*starts[1:], size]
-    return [raw[a:b] for a, b in zip(counts[starts].tolist() if starts else [], counts[ends].tolist() if starts else [], strict=True)]
+    return [raw[a:b] for a, b in zip(counts[starts].tolist(), counts[starts + sizes].tolist(), strict=True)]
 
 
 class _Encoder:
@@ -152,7 +161,9 @@ class _Encoder:
             self.ids, self.size = {}, 0
         new = list(set(chain.from_iterable(split)) - self.ids.keys())
         raw = [word.encode() for word in new]
-        self.ids.update(zip(new, replay(raw, self.single, self.pairs), strict=True))
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            part = slice(at, at + WORDS_AT_ONCE)
+            self.ids.update(zip(new[part], replay(raw[part], self.single, self.pairs), strict=True))
         self.size += 200 * len(raw) + 5 * sum(map(len, raw))  # with what Python adds to each entry
         ids = [b"".join(map(self.ids.__getitem__, words)) for words in split]
         offsets = np.cumsum([0, *map(len, ids)]) // 4

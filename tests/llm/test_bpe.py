@@ -87,3 +87,20 @@ def test_bytes_of_lists_taken_at_once():
     assert bpe._bytes_of(ids.slice(1, 2), pieces).to_pylist() == [None, b""] and bpe._bytes_of(ids.slice(0, 0), pieces).to_pylist() == []
     with pytest.raises(KeyError):
         bpe._bytes_of(pa.array([[2]], pa.list_(pa.int32())), pieces)
+
+
+def test_words_are_replayed_in_runs(monkeypatch):
+    """However many words are laid out together, a word's ids are its own, and no run is longer than WORDS_AT_ONCE."""
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = ["", "ab" * 40 + " the then thenthe", " é中\U0001f600 don't  x\n\n", "aaaaaaaaa bbbbbbb cc"]
+    sizes, plain = [], bpe.replay
+
+    def counted(words, *rest):
+        sizes.append(len(words))
+        return plain(words, *rest)
+
+    want = bpe._Encoder(public_tokenizers.PATTERN, ranks).encode(texts).to_pylist()
+    monkeypatch.setattr(bpe, "replay", counted)
+    monkeypatch.setattr(bpe, "WORDS_AT_ONCE", 3, raising=False)
+    assert bpe._Encoder(public_tokenizers.PATTERN, ranks).encode(texts).to_pylist() == want
+    assert max(sizes) == 3 and len(sizes) > 2
