@@ -1,7 +1,8 @@
 """Evidence for the plans of a run: where in its document each plan's values are looked for.
 
 All plans of all documents are searched at once. A plan meets the chunks of its own document only, so the join is an equi
-join on the document; of each plan the best chunks are kept in every partition before they are shuffled. What a hit names
+join on the document; while plans are few they go to all tasks and texts and vectors stay where they lie. Of each plan the
+best chunks are kept in every partition before they are shuffled. What a hit names
 is looked up among the sections, tables and figures the document is known to have, and the lists of a plan are filled by
 ordered fallbacks, as tiers of one table of candidates.
 """
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import numbers, text
 from docloom.operators.fragments import keywords
-from docloom.plans.book import Book, table
+from docloom.plans.book import Book, sent, table, written
 
 BOOK = Book()
 #: Kinds of chunks by what they stand for, where a chunk's metadata name it and its section, most hits and characters of a query.
@@ -57,11 +58,14 @@ def nearest_chunks(wanted: DataFrame, chunks: DataFrame, k: int = HITS, least: f
     """
     plans = wanted.select("doc", "field", "q", query_text(wanted).alias("query"))
     score = numbers.cosine(F.col("embedding"), F.col("q"))
-    met = plans.join(chunks.select("doc", "chunk", "embedding"), "doc").select("doc", "field", "chunk", score.alias("score")).where((F.col("score") > 0) & (F.col("score") >= least))
+    met = chunks.select("doc", "chunk", "embedding").join(sent(plans.drop("query")), "doc").select("doc", "field", "chunk", score.alias("score")).where((F.col("score") > 0) & (F.col("score") >= least))
     best = Window.partitionBy("doc", "field").orderBy(F.desc("score"), "chunk")
     near = met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("doc", "field", "place", "chunk")
-    rest = plans.join(near.select("doc", "field").distinct(), ["doc", "field"], "left_anti").where(text.strip(F.col("query")) != "")
-    said = rest.join(chunks.select("doc", "chunk", "text"), "doc").where(F.contains(F.lower("text"), F.lower(text.strip(F.col("query")))))
+    near = written(near, "near")  # a few rows of each plan, read for the hits and for the plans without any
+    rest = plans.select("doc", "field", "query").join(near.select("doc", "field").distinct(), ["doc", "field"], "left_anti").where(text.strip(F.col("query")) != "")
+    if rest.isEmpty():
+        return near
+    said = chunks.select("doc", "chunk", "text").join(sent(rest), "doc").where(F.contains(F.lower("text"), F.lower(text.strip(F.col("query")))))
     first = Window.partitionBy("doc", "field").orderBy("chunk")
     words = said.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k).select("doc", "field", "place", "chunk")
     return near.unionByName(words)
@@ -77,7 +81,8 @@ def meant(wanted: DataFrame, chunks: DataFrame, sources: DataFrame, k: int = HIT
     known = sources.where("label is not null").groupBy("doc", "kind", norm(F.col("label")).alias("key")).agg(F.max_by("label", "seq").alias("known"))
     queries = wanted.select("doc", "field", query_text(wanted).alias("query"))
     kind, meta = F.lower(F.coalesce("chunk_type", F.lit(""))), "metadata"
-    hits = nearest_chunks(wanted, chunks, k).join(chunks.drop("embedding"), ["doc", "chunk"]).join(queries, ["doc", "field"])
+    near = nearest_chunks(wanted, chunks, k).join(queries, ["doc", "field"])
+    hits = chunks.drop("embedding").join(sent(near), ["doc", "chunk"])
     label, section = first_of(meta, LABEL_KEYS), first_of(meta, SECTION_KEYS)
     # Of the sections named elsewhere the first that is known counts: each is tried in order.
     tries = F.array(*(F.struct(F.lit(i).alias("try"), F.coalesce(F.get_json_object(meta, f"$.{key}"), F.lit("")).alias("name")) for i, key in enumerate(OTHER_SECTION_KEYS, 1)))
@@ -117,7 +122,7 @@ def evidence_for(wanted: DataFrame, chunks: DataFrame, sources: DataFrame, pictu
     sections = sources.where("kind = 'section'").withColumn("n", rank("section"))
     if not strict:
         said = own.select("doc", "kind", "seq", "label", F.lower(F.concat_ws(" ", F.when(F.col("kind") == "section", F.col("label")), "body")).alias("said"))
-        hits = plans.join(said, "doc").where(F.exists("terms", lambda t: F.contains(F.col("said"), t)))
+        hits = said.join(sent(plans.drop("needs_figure")), "doc").where(F.exists("terms", lambda t: F.contains(F.col("said"), t)))
         tiers.append(row(hits, F.col("kind"), KEYWORD, F.col("seq"), F.col("label")))
         tiers.append(row(needy.join(pictures, "doc"), "figure", PICTURE, F.col("seq"), F.col("label")))
         tiers.append(row(meant(wanted, chunks, sources, k), F.col("kind"), MEANING, F.col("place"), F.col("label")))
@@ -125,6 +130,8 @@ def evidence_for(wanted: DataFrame, chunks: DataFrame, sources: DataFrame, pictu
         labelled = own.where("kind = 'table'").groupBy("doc").agg(F.min_by(F.struct("seq", "label"), "seq").alias("t"))
         tiers.append(row(plans.join(labelled, "doc"), "table", DEFAULT, F.col("t.seq"), F.col("t.label")))
     rows = reduce(DataFrame.unionByName, tiers).withColumn("label", text.strip(F.col("label"))).where("label <> ''")
+    # A document's sources share labels: of each the first is kept where it is found.
+    rows = rows.groupBy("doc", "field", "kind", "tier", "label").agg(F.min("seq").alias("seq"))
     # Of hints, keywords, first figures and pictures the first tier that has any; hits are added; defaults only where nothing is.
     by = Window.partitionBy("doc", "field", "kind")
     least = F.min(F.when(F.col("tier") <= PICTURE, F.col("tier"))).over(by)
